@@ -34,13 +34,14 @@ def _byte_table(lower: bool) -> np.ndarray:
     table = mix64(np.arange(1, 257, dtype=np.uint64) * _MULT)
     if lower:
         table[65:91] = table[97:123]
-    table[[9, 10, 11, 12, 13, 32]] = 0
     return table
 
 
 _TABLES = {flag: _byte_table(flag) for flag in (False, True)}
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between words: white space, or all that is neither a letter, a digit nor beyond ASCII.
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -84,6 +85,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    space: np.ndarray
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -97,29 +99,30 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         up, down = _power_tables(len(self.data))
-        value = _TABLES[lower][self.data]
+        table = np.where(self.space, np.uint64(0), _TABLES[lower])
+        value = table[self.data]
         value *= up[: len(value)]
         total = np.add.reduceat(value, self.starts)
         total *= down[self.starts]
         return mix64(total + (self.ends - self.starts).astype(np.uint64) * _MULT)
 
 
-def split_words(col: pa.Array) -> Words:
+def split_words(col: pa.Array, space: np.ndarray = SPACE) -> Words:
     offsets, data = string_buffers(col)
     if not len(data):
         empty = np.zeros(0, np.int64)
-        return Words(data, offsets, empty, empty, np.zeros(len(offsets), np.int64))
-    space = _SPACE[data]
+        return Words(data, offsets, empty, empty, np.zeros(len(offsets), np.int64), space)
+    gap = space[data]
     edge = offsets[:-1][offsets[:-1] < len(data)]  # where a row begins, a word may too
-    begin = ~space
-    begin[1:] &= space[:-1]
-    begin[edge] = ~space[edge]
-    close = ~space
-    close[:-1] &= space[1:]
+    begin = ~gap
+    begin[1:] &= gap[:-1]
+    begin[edge] = ~gap[edge]
+    close = ~gap
+    close[:-1] &= gap[1:]
     last = offsets[1:][offsets[1:] > 0] - 1
-    close[last] = ~space[last]
+    close[last] = ~gap[last]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(close) + 1
-    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
+    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), space)
 
 
 def window_hashes(word: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
