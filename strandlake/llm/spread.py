@@ -24,11 +24,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def buckets(spark: SparkSession) -> int:
-    """Number of chunks and of buckets: follows the session's shuffle partitions, which follow the data."""
+def chunks(spark: SparkSession) -> int:
+    """Number of chunks: some for each of the session's shuffle partitions, which follow the data."""
     return 4 * partitions(spark)
 
 
+def buckets(spark: SparkSession) -> int:
+    """Number of buckets: one a partition, as every chunk sends a row to nearly every bucket."""
+    return partitions(spark)
+
+
 def chunk_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
 

@@ -250,7 +250,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, digest: bool = Fal
         raise ValueError(f"windows of under {ANCHOR + PERIOD - 1} words have no certain anchor")
     spark = docs.sparkSession
     n, p = spread.buckets(spark), spread.partitions(spark)
-    texts = spread.by_chunk(docs, ["doc_id", "text"], n)
+    texts = spread.by_chunk(docs, ["doc_id", "text"], spread.chunks(spark))
     one = (
         texts.groupBy("chunk").applyInArrow(_send_anchors(n, window), spread.SENT)
         .repartition(p, "bucket").groupBy("bucket").applyInArrow(_shared, spread.ANSWER_DDL)
