@@ -1 +1 @@
-"""Operators."""
+"""Operators on k-mer tables and graphs."""
