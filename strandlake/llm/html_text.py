@@ -142,6 +142,7 @@ TABLE = (
     (5, 0.0, 9, 0.0, 6, 0.2, 0, 1, 0, 1), (2, 0.0, 1, 0.0, 2, 0.0, 0, 1, 0, 1), (14, 0.5, 30, 0.0, 30, 0.0, 0, 1, 0, 1),
     (90, 0.0, 3, 0.0, 0, 0.0, 0, 1, 0, 1), (20, 0.05, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (6, 0.0, 70, 0.0, 0, 0.0, 0, 1, 0, 1),
     (20, 0.0, 40, 0.0, 4, 1.0, 0, 1, 0, 1), (35, 0.0, 30, 0.0, 3, 1.0, 0, 1, 0, 1), (8, 0.0, 50, 0.0, 2, 1.0, 0, 1, 0, 1),
+    (3, 0.0, 40, 0.0, 2, 1.0, 0, 1, 0, 1), (5, 0.0, 60, 0.0, 4, 1.0, 0, 1, 0, 1), (2, 0.0, 20, 0.0, 3, 0.9, 0, 1, 0, 1),
     (15, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 1), (30, 0.05, 20, 0.0, 5, 1.0, 0, 0, 0, 1), (11, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 1),
     (45, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 1), (7, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1, 1), (6, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1, 1),
     (50, 0.0, 3, 1.0, 3, 1.0, 1, 0, 0, 0), (18, 0.0, 40, 0.0, 3, 1.0, 1, 1, 0, 0), (55, 0.1, 60, 0.0, 2, 1.0, 1, 1, 0, 0),

@@ -89,9 +89,9 @@ def answers(table: pa.Table, marks: np.ndarray, lengths: np.ndarray, number: int
     )
 
 
-def answered(table: pa.Table, number: int) -> np.ndarray:
+def answered(table: pa.Table, number: int, dtype=np.uint8) -> np.ndarray:
     """The marks of a chunk's round, in the order of its sorted keys."""
     import pyarrow.compute as pc
 
     part = table.filter(pc.equal(table.column("round"), number)).sort_by("bucket")
-    return joined(part.column("marks"), np.uint8)[0]
+    return joined(part.column("marks"), dtype)[0]
