@@ -14,7 +14,9 @@ each on their own.  An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.store import cut
+from strandlake.llm.words import byte_letters
 
 LENGTH = 2048
 OPEN_BINS = 1024
@@ -30,7 +33,7 @@ END_ID = 0
 #: Tasks whose open bins one task of the next round packs together.
 FAN_IN = 16
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 
 def tokenizer_path() -> str:
@@ -39,31 +42,63 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_MARKS = ".,;:?!\"()[]{}<>|/\\*$%&#@+=-_~^`"
+
+
 class Encoder:
-    """Ids of whole texts.  This vocabulary drops white space and never joins across it, so
-    each word has ids of its own, which are remembered as little-endian 32-bit bytes."""
+    """Ids of whole texts as little-endian 32-bit bytes.
+
+    This vocabulary drops white space and never joins across it, nor between letters and
+    marks, so a word has ids of its own, and so have its letters and the marks after
+    them.  Letters that no normaliser would change go straight to the merges; any other
+    word goes through the whole tokenizer.  Both are remembered.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _letters(self, core: str) -> bytes:
+        found = self.parts.get(core)
+        if found is None:
+            shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[core] = array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+        return found
+
+    def _whole(self, word: str) -> bytes:
+        found = self.parts.get(word)
+        if found is None:
+            found = self.parts[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return found
+
+    def word(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        if core.isalpha() and len(core) <= 64:
+            if core.isascii():
+                return self._letters(core.lower()) + self._whole(word[len(core) :])
+            if core.islower() and unicodedata.is_normalized("NFC", core):
+                return self._letters(core) + self._whole(word[len(core) :])
+        return self._whole(word)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        fresh = set()
-        for w in words:
-            fresh.update(w)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = [w for w in fresh if w not in self.known]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {"": b""}
+        known, out = self.words, []
+        for text in texts:
+            words = text.replace("\n", " ").split(" ") if text else []
+            for w in set(words):
+                if w not in known:
+                    known[w] = self.word(w)
+            out.append(b"".join(map(known.__getitem__, words)))
+        return out
 
 
 class BestFit:

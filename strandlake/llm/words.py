@@ -164,3 +164,10 @@ def slices(table: pa.RecordBatch | pa.Table, column: str, most: int = SLICE_BYTE
         to = min(n, max(to, at + 1))
         yield table.slice(at, to - at)
         at = to
+
+
+def byte_letters() -> dict[str, int]:
+    """How a byte-level vocabulary writes each byte: printable ones as themselves, the others from U+0100 on in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
