@@ -1,16 +1,17 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from strandlake.llm import decontaminate, html_text, language_id, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from strandlake.llm import decontaminate, html_text, language_id, lm_score, ngram_join, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
-    "op8_html_extraction": html_text.op8_html_extraction,
-    "op10_toxicity": toxicity.op10_toxicity,
     "op3_language_id": language_id.op3_language_id,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_html_extraction": html_text.op8_html_extraction,
+    "op9_lm_scoring": lm_score.op9_lm_scoring,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
