@@ -24,6 +24,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandlake.llm import spread
 from strandlake.llm.words import SLICE_BYTES, Words, slices, split_words, window_hashes, window_starts
@@ -193,9 +196,9 @@ def _kept_text(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, gone: np
     return data[lo:hi][keep].tobytes()
 
 
-def _finish(window: int, digest: bool):
+def _finish(window: int, digest: bool, schema: pa.Schema):
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, counts, removed, out = [], [], [], []
+        tables = []
         if left.num_rows:
             chunk = _Chunk(left, window)
             found = _candidates(chunk, spread.answered(right, 1))
@@ -212,45 +215,51 @@ def _finish(window: int, digest: bool):
                 np.add.at(edge, dropped + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 n_gone = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
-                raw = w.data.tobytes()
-                ids.append(part.column("doc_id"))
-                counts.append(w.counts())
-                removed.append(n_gone)
-                for i, n in enumerate(n_gone):
-                    lo, hi, f, t = int(w.offsets[i]), int(w.offsets[i + 1]), w.first[i], w.first[i + 1]
-                    if digest:
-                        if n:
-                            words = [raw[w.starts[j] : w.ends[j]] for j in (np.flatnonzero(~gone[f:t]) + f).tolist()]
-                        else:
-                            words = raw[lo:hi].split()
-                        out.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    else:
-                        text = _kept_text(w.data, w.starts[f:t], w.ends[f:t], gone[f:t], lo, hi) if n else None
-                        out.append(None if text is None else text.decode())
-        ids_col = pa.concat_arrays([c for x in ids for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])]) if ids else pa.array([], pa.int64())
-        return pa.table(
-            {
-                "doc_id": ids_col.cast(pa.int64()),
-                "n_words": pa.array(_flat(counts, np.int64).astype(np.int64)),
-                "n_removed": pa.array(_flat(removed, np.int64).astype(np.int64)),
-                "kept_sha256" if digest else "kept_text": pa.array(out, pa.string()),
-            }
-        )
+                out = _digests(w, gone, n_gone) if digest else _texts(w, gone, n_gone)
+                last = pa.array(out, pa.string())
+                if not digest:  # a text that loses nothing stays as it is, null too
+                    last = pc.coalesce(last, part.column("text").cast(pa.string()))
+                extra = [part.column("rest")] if "rest" in schema.names else []
+                columns = [part.column("doc_id").cast(pa.int64()), pa.array(w.counts()), pa.array(n_gone), last, *extra]
+                tables.append(pa.table(columns, names=schema.names))
+        return pa.concat_tables(tables) if tables else schema.empty_table()
 
     return finish
 
 
-def substring_dedup(docs: DataFrame, *, window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and, for each document, kept_text (null where nothing is
-    removed) or with ``digest`` kept_sha256 of the kept words joined by one space.
+def _digests(w: Words, gone: np.ndarray, n_gone: np.ndarray) -> list[str]:
+    raw, out = w.data.tobytes(), []
+    for i, n in enumerate(n_gone):
+        if n:
+            f, t = w.first[i], w.first[i + 1]
+            words = [raw[w.starts[j] : w.ends[j]] for j in (np.flatnonzero(~gone[f:t]) + f).tolist()]
+        else:
+            words = raw[w.offsets[i] : w.offsets[i + 1]].split()
+        out.append(hashlib.sha256(b" ".join(words)).hexdigest())
+    return out
+
+
+def _texts(w: Words, gone: np.ndarray, n_gone: np.ndarray) -> list[str | None]:
+    out: list[str | None] = []
+    for i, n in enumerate(n_gone):
+        f, t = w.first[i], w.first[i + 1]
+        out.append(_kept_text(w.data, w.starts[f:t], w.ends[f:t], gone[f:t], int(w.offsets[i]), int(w.offsets[i + 1])).decode() if n else None)
+    return out
+
 
-    ``docs`` needs doc_id and text; other columns are ignored.  ``window`` is at least 13.
+def substring_dedup(docs: DataFrame, *, window: int = WINDOW, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, the text that is left (or with ``digest`` kept_sha256 of
+    its words joined by one space), and the columns named in ``keep``, for each row.
+
+    ``docs`` needs doc_id and text.  ``window`` is at least 13.
     """
     if window < ANCHOR + PERIOD - 1:
         raise ValueError(f"windows of under {ANCHOR + PERIOD - 1} words have no certain anchor")
     spark = docs.sparkSession
     n, p = spread.buckets(spark), spread.partitions(spark)
-    texts = spread.by_chunk(docs, ["doc_id", "text"], spread.chunks(spark))
+    rest = [F.struct(*[F.col(c) for c in keep]).alias("rest")] if keep else []
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    texts = spread.by_chunk(picked, picked.columns, spread.chunks(spark))
     one = (
         texts.groupBy("chunk").applyInArrow(_send_anchors(n, window), spread.SENT)
         .repartition(p, "bucket").groupBy("bucket").applyInArrow(_shared, spread.ANSWER_DDL)
@@ -261,12 +270,14 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, digest: bool = Fal
         .repartition(p, "bucket").groupBy("bucket").applyInArrow(_earlier, spread.ANSWER_DDL)
         .repartition(p, "chunk")
     )
-    kept = "kept_sha256 string" if digest else "kept_text string"
+    kept = "kept_sha256" if digest else "text"
+    ddl = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(kept, T.StringType())])
+    if keep:
+        ddl = ddl.add("rest", picked.schema["rest"].dataType)
+    schema = to_arrow_schema(ddl)
     # the union keeps both rounds' answers on the chunk's partitioning
-    return (
-        texts.groupBy("chunk").cogroup(one.union(two).groupBy("chunk"))
-        .applyInArrow(_finish(window, digest), f"doc_id long, n_words long, n_removed long, {kept}")
-    )
+    out = texts.groupBy("chunk").cogroup(one.union(two).groupBy("chunk")).applyInArrow(_finish(window, digest, schema), ddl)
+    return out.select("doc_id", "n_words", "n_removed", kept, *[F.col(f"rest.`{c}`").alias(c) for c in keep])
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
