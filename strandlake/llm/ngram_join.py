@@ -180,31 +180,43 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     open_ = entries.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token")
     entries = entries.filter("doc_id <> hub").join(open_, "token", "left_semi")
     ratio = np.log(100.0 / percent)
-    entries = cut(
-        entries.select(
-            "token", "doc_id", "n", "s", "component", (F.col("n") - F.col("pos")).alias("rest"), F.coalesce("o", "s").alias("in_hub"),
-            F.when(F.col("o").isNull(), F.col("s")).otherwise(F.col("s") - F.col("o")).alias("off_hub"),
-            F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int").alias("len"), F.floor(F.col("pos") / 8).cast("int").alias("block"),
-        )
-    )
-    key = ["token", "component", "len", "block"]
-    blocks = entries.groupBy(*key).agg(F.min("n").alias("n"), F.max("rest").alias("rest"), F.max("s").alias("s"), F.max("in_hub").alias("in_hub"), F.max("off_hub").alias("off_hub"))
     measures = ["n", "s", "rest", "in_hub", "off_hub"]
+    entries = entries.select(
+        "token", "doc_id", "n", "s", "component", (F.col("n") - F.col("pos")).alias("rest"), F.coalesce("o", "s").alias("in_hub"),
+        F.when(F.col("o").isNull(), F.col("s")).otherwise(F.col("s") - F.col("o")).alias("off_hub"),
+    )
 
     def side(frame: DataFrame, tag: str, keep: list[str]) -> DataFrame:
-        return frame.select("token", *[F.col(c).alias(f"{c}{tag}") for c in keep])
+        return frame.select(F.col("token").alias(f"token{tag}"), *[F.col(c).alias(f"{c}{tag}") for c in keep])
+
+    def bounds(*extra):
+        return [F.max(c).alias(c) for c in ("rest", "s", "in_hub", "off_hub")] + list(extra)
 
     def able():
-        """Whether the bounds of two blocks or entries leave room for a link."""
+        """Whether the bounds of two sides leave room for a link."""
         need = _need("n1", "n2", percent)
         near = F.least("in_hub1", "in_hub2") + F.least("off_hub1", "off_hub2")
         return (F.least("s1", "s2") >= need) & (F.least("rest1", "rest2") >= need) & (near >= need)
 
-    left, right = (side(blocks, t, ["component", "len", "block", *measures]) for t in "12")
-    pairs = left.join(right, "token").filter((F.col("component1") < F.col("component2")) & (F.abs(F.col("len1") - F.col("len2")) <= 1) & able())
-    pairs = pairs.select("token", "component1", "len1", "block1", "component2", "len2", "block2")
-    left, right = (side(entries, t, ["component", "len", "block", "doc_id", *measures]) for t in "12")
-    close = pairs.join(left, ["token", "component1", "len1", "block1"]).join(right, ["token", "component2", "len2", "block2"]).filter(able())
+    # first, each entry against its list's sets of each size as wholes: most have no partner left
+    sizes = entries.groupBy("token", "n").agg(*bounds(F.min("component").alias("c0"), F.max("component").alias("c1")))
+    one = side(entries, "1", ["doc_id", "component", *measures])
+    two = side(sizes, "2", ["c0", "c1", *measures])
+    other = (F.col("c02") != F.col("component1")) | (F.col("c12") != F.col("component1"))
+    some = one.join(two, (F.col("token1") == F.col("token2")) & other & able(), "left_semi")
+    entries = cut(
+        some.select(*[F.col(f"{c}1").alias(c) for c in ("token", "doc_id", "component", *measures)])
+        .withColumn("len", F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int"))
+        .withColumn("block", F.floor((F.col("n") - F.col("rest")) / 8).cast("int"))
+    )
+    key = ["component", "len", "block"]
+    blocks = entries.groupBy("token", *key).agg(*bounds(F.min("n").alias("n")))
+    left, right = (side(blocks, t, [*key, *measures]) for t in "12")
+    near = (F.col("component1") < F.col("component2")) & (F.abs(F.col("len1") - F.col("len2")) <= 1) & able()
+    pairs = left.join(right, F.col("token1") == F.col("token2")).filter(near).drop(*[f"{c}1" for c in measures])
+    left, right = (side(entries, t, [*key, "doc_id", *measures]) for t in "12")
+    close = pairs.join(left, ["token1", *[f"{c}1" for c in key]]).filter(able()).drop(*[f"{c}2" for c in measures])
+    close = close.join(right, ["token2", *[f"{c}2" for c in key]]).filter(able())
     rest = close.select(F.col("doc_id1").alias("x"), F.col("doc_id2").alias("y")).distinct()
     return first.unionAll(_verified(rest, sets, percent).filter("linked").select("x", "y"))
 
