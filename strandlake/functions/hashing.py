@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MURMUR_SEED = 0xC062FB4A
 FINGERPRINT_MASK = 0xFFFC00
@@ -103,27 +104,27 @@ def _signed(value: int) -> int:
     return value - 2**64 if value >= 2**63 else value
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _wang_udf(x: pd.Series) -> pd.Series:
     return pd.Series(wang(_u64(x)).view(np.int64))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _mix_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(hash_mix(_u64(a), _u64(b)).view(np.int64))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _murmur_udf(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else murmur3_bytes(bytes(x)))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _crc_udf(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else _signed(crc64_bytes(bytes(x))))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _limbs_udf(seq: pd.Series) -> pd.Series:
     return seq.map(lambda x: None if x is None else limb_bytes(x))
 
@@ -150,7 +151,7 @@ def buckets(hashed: Column, n: int) -> Column:
     if n < 1:
         raise ValueError("there must be a bucket")
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def place(h: pd.Series) -> pd.Series:
         first = _u64(h)
         ways, now = [], first

@@ -285,7 +285,8 @@ def matrix_market_file(spark, sf_dir):
     return matrices.matrix_market_lines(found.matrix, found.size()).select("line")
 
 
-@query(f"WITH {_edges(K)} SELECT j AS col, (1 + (SELECT count(*) FROM x WHERE x.col < j))::BIGINT AS ptr FROM (SELECT unnest(range(1, (SELECT count(*) FROM n) + 2)) AS j)")
+@query(f"""WITH {_edges(K)}, p AS (SELECT col, count(*) AS k FROM x GROUP BY col), j AS (SELECT unnest(range(1, (SELECT count(*) FROM n) + 2)) AS col)
+SELECT j.col, (1 + coalesce(sum(coalesce(p.k, 0)) OVER (ORDER BY j.col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS ptr FROM j LEFT JOIN p ON p.col = j.col""")
 def harwell_boeing_pointers(spark, sf_dir):
     found = assemble(documents(spark, sf_dir), K)
     return matrices.column_pointers(found.matrix, found.size())
