@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,14 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def _settle_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Settled edges, with their number and a checksum taken while they are written."""
+    seen = Observation()
+    checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    out = settle(edges.observe(seen, F.count(F.lit(1)).alias("n"), checksum.alias("s")))
+    return out, (seen.get["n"], seen.get["s"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex links its larger neighbours to the least vertex around it."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -51,16 +59,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Self loops make a vertex a component of its own.  Null ends are dropped.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    now = settle(pairs.filter("a <> b").distinct())
-    before = None
-    for _ in range(max_rounds):
-        now = settle(_small_star(_large_star(now)))
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if tuple(seen) == before:
+    now, before = _settle_edges(pairs.filter("a <> b").distinct())
+    for _ in range(max_rounds if before[0] else 0):
+        now, seen = _settle_edges(_small_star(_large_star(now)))
+        if seen == before:
             break
-        before = tuple(seen)
+        before = seen
     else:
-        raise RuntimeError("the components haven't settled")
+        if before[0]:
+            raise RuntimeError("the components haven't settled")
     stars = now.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
     vertices = pairs.select(F.col("a").alias("vertex")).union(pairs.select(F.col("b").alias("vertex"))).distinct()
     return vertices.join(stars, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
