@@ -157,8 +157,8 @@ def shared_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     return texts.groupBy("chunk").cogroup(told.repartition(p, "chunk").groupBy("chunk")).applyInArrow(_keep_shared(k, percent), SHARED)
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y) links between different sets, enough of them to connect every two sets that links connect."""
+def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, component) for the sets that link with another; component is the least doc_id reached."""
     sets = sets.withColumn("u", F.col("n") - F.col("s"))
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100.0 - F.lit(1e-9)) + 1 - F.col("u")
     posts = sets.select("doc_id", "n", "s", "u", F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("at", "token"))
@@ -171,7 +171,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     hubs = posts.filter(fits).select(F.col("hub").alias("x"), F.col("doc_id").alias("y")).distinct()
     known = cut(_verified(hubs, sets, percent))
     first = known.filter("linked").select("x", "y")
-    comps = connected_components(first, "x", "y").select(F.col("vertex").alias("doc_id"), "component")
+    comps = cut(connected_components(first, "x", "y").select(F.col("vertex").alias("doc_id"), "component"))
     # entries of lists that aren't in one component yet; a set that the hub can't reach has overlap 0..s with it
     entries = (
         posts.join(comps, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -218,7 +218,14 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     close = pairs.join(left, ["token1", *[f"{c}1" for c in key]]).filter(able()).drop(*[f"{c}2" for c in measures])
     close = close.join(right, ["token2", *[f"{c}2" for c in key]]).filter(able())
     rest = close.select(F.col("doc_id1").alias("x"), F.col("doc_id2").alias("y")).distinct()
-    return first.unionAll(_verified(rest, sets, percent).filter("linked").select("x", "y"))
+    # what these links join are whole components
+    found = cut(_verified(rest, sets, percent).filter("linked").select("x", "y"))
+    for end in ("x", "y"):
+        own = comps.select(F.col("doc_id").alias(end), F.col("component").alias("c"))
+        found = found.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    joined = connected_components(found, "x", "y").select(F.col("vertex").alias("component"), F.col("component").alias("least"))
+    every = comps.unionAll(joined.select(F.col("component").alias("doc_id"), "component")).dropDuplicates(["doc_id"])
+    return every.join(joined, "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
 
 
 def components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -227,7 +234,7 @@ def components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT) -> Da
     sets = cut(picked.mapInArrow(_digests(k), "doc_id long, n_shingles long, s1 long, s2 long"))
     classes = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     able = cut(shared_sets(picked, classes, k, percent))
-    comps = connected_components(links(able, percent), "x", "y").select(F.col("vertex").alias("rep"), "component")
+    comps = linked_sets(able, percent).withColumnRenamed("doc_id", "rep")
     reach = classes.join(comps, "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     return sets.join(reach, ["n_shingles", "s1", "s2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
