@@ -112,8 +112,9 @@ class Block:
             near = np.zeros(w.first[row + 1] - w.first[row] + 2, bool)
             for j in range(self.min_tile):
                 near[at[mine] - w.first[row] + j] = True
-            near[:-1] |= near[1:]  # an unlike token stays between stretches that don't touch
-            text = h[w.first[row] : w.first[row + 1]][near[:-2]]
+            near = near[:-2]
+            apart = np.append(near[1:], False) & ~near  # a token that is like no other stays between stretches
+            text = np.where(near, h[w.first[row] : w.first[row + 1]], np.uint64(0))[near | apart]
             for item in np.unique(items):
                 tokens = self.tokens[item]
                 tiles = tile(tokens, text, self.min_tile)
