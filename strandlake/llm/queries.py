@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from strandlake.llm import decontaminate, html_text, language_id, lm_score, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from strandlake.llm import decontaminate, html_text, language_id, license_scan, lm_score, ngram_join, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_language_id": language_id.op3_language_id,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
