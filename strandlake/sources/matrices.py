@@ -65,13 +65,16 @@ def write_matrix(matrix: DataFrame, n: int, path: str, fmt: str = "mm", single:
 
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     """((row, col, val), n, m) of an integer coordinate file; raises where the banner or the size line is wrong."""
-    lines = spark.read.text(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     banner = lines.filter(F.col("value").startswith("%%")).head(2)
-    if [r[0].rstrip() for r in banner] != [BANNER]:
+    if [r["value"].rstrip() for r in banner] != [BANNER]:
         raise ValueError(f"{path} isn't an integer coordinate Matrix Market file")
-    body = lines.filter(~F.col("value").startswith("%") & (F.trim("value") != "")).select(F.split(F.trim("value"), "\\s+").alias("x"))
-    numbers = body.select(*[F.col("x")[i].cast("bigint").alias(c) for i, c in enumerate(("row", "col", "val"))], F.monotonically_increasing_id().alias("at"))
-    size = numbers.orderBy("at").first()  # the parts of a file are read in order, so this is its first line
+    body = lines.filter(~F.col("value").startswith("%") & (F.trim("value") != "")).withColumn("x", F.split(F.trim("value"), "\\s+"))
+    cells = [F.col("x")[i].cast("bigint").alias(c) for i, c in enumerate(("row", "col", "val"))]
+    numbers = body.select(*cells, "file", "block", F.monotonically_increasing_id().alias("at"))
+    # parts come in any order, so the size line is the first of the part with the banner
+    size = numbers.filter(F.col("file") == banner[0]["file"]).orderBy("block", "at").first()
     if size is None or size["row"] != size["col"]:
         raise ValueError(f"{path} has no size line of a square matrix")
-    return numbers.filter(F.col("at") != size["at"]).drop("at"), size["row"], size["val"]
+    mine = (F.col("file") == size["file"]) & (F.col("block") == size["block"]) & (F.col("at") == size["at"])
+    return numbers.filter(~mine).select("row", "col", "val"), size["row"], size["val"]

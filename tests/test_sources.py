@@ -64,6 +64,11 @@ def test_matrix_market_round_trip(spark, tmp_path):
     assert text == f"{matrices.BANNER}\n3 3 3\n1 3 7\n1 3 7\n2 1 5\n"
     got, n, m = matrices.read_matrix_market(spark, str(tmp_path / "m"))
     assert (n, m, rows(got, "row", "col", "val")) == (3, 3, [(1, 3, 7), (1, 3, 7), (2, 1, 5)])
+    many = spark.range(1, 2001).selectExpr("id as row", "2001 - id as col", "id * 3 as val")
+    matrices.write_matrix(many, 2000, str(tmp_path / "parts"))
+    assert len(list((tmp_path / "parts").glob("part-*"))) > 1
+    got, n, m = matrices.read_matrix_market(spark, str(tmp_path / "parts"))
+    assert (n, m, rows(got, "row", "col", "val")) == (2000, 2000, rows(many, "row", "col", "val"))
     with pytest.raises(ValueError):
         matrices.read_matrix_market(spark, put(tmp_path, "bad.mm", "%%MatrixMarket matrix array real general\n1 1\n"))
 
