@@ -243,3 +243,19 @@ def components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT) -> Da
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {WORDS - 1}], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {WORDS - 2}, least(len(ws), 1) + 1))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= {PERCENT} * (a.n + b.n - o)),
+g AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l UNION SELECT doc_id, doc_id FROM w),
+t(vertex, least_vertex) USING KEY (vertex) AS (
+  SELECT DISTINCT a, a FROM g
+  UNION
+  (SELECT g.b, min(t.least_vertex) FROM t JOIN g ON g.a = t.vertex JOIN recurring.t AS now ON now.vertex = g.b WHERE t.least_vertex < now.least_vertex GROUP BY g.b))
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, t.least_vertex AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN t ON t.vertex = w.doc_id
+"""

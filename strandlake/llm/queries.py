@@ -16,5 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_ngram_jaccard_join": ngram_join.OP4_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }

@@ -283,3 +283,16 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, digest: bool = Fal
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup(docs, digest=True)
+
+
+OP6_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+m AS (SELECT k, min(doc_id) AS d FROM p GROUP BY k),
+g AS (SELECT DISTINCT doc_id, j FROM (SELECT p.doc_id, unnest(range(p.i, p.i + {WINDOW})) AS j FROM p JOIN m ON p.k = m.k WHERE m.d < p.doc_id)),
+e AS (SELECT doc_id, ws[j] AS x, j FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w)),
+t AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.j) AS kept FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.j = g.j WHERE g.j IS NULL GROUP BY e.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN t ON w.doc_id = t.doc_id
+"""
