@@ -6,7 +6,8 @@ furniture by tag, or by a word of a class, id or role; an article; a heading).
 decision tree, grown from the small labelled table below, keeps or drops each block.
 
 Defined results: null and empty pages give an empty text.  Comments, scripts, styles
-and other unseen elements are dropped whole, also when they are never closed.  Text
+and other unseen elements are dropped whole; a script or style that is never closed runs to the page's
+end, any other to the next block.  Text
 outside any tag is a block.  Character references are decoded once, with or without
 their semicolon as HTML has it.  Repeated rows give the same text each.
 """
@@ -40,10 +41,13 @@ HINTS = frozenset(
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(UNSEEN) + r")\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*/>|<(?P<code>script|style)\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=code)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(x for x in UNSEEN if x not in ("script", "style")) + r")\b(?![:-])(?:[^'\">]|\"[^\"]*\"|'[^']*')*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNSEEN}
+_BLOCK_TAG = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS, key=len, reverse=True)) + r")(?=[\s/>])", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -61,39 +65,64 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _hinted(attrs: str) -> bool:
+def _hinted(attrs: str, hints: frozenset = HINTS) -> bool:
     for found in _NAMED.finditer(attrs):
         value = (found[1] or found[2] or found[3] or "").lower()
         for word in value.split():
-            if word in HINTS or any(part in HINTS for part in re.split(r"[-_]+|(?<=\D)(?=\d)", word)):
+            if word in hints or any(part in hints for part in re.split(r"[-_]+|(?<=\D)(?=\d)", word)):
                 return True
-    return bool(_HIDDEN.search(attrs)) if attrs else False
+    return False
+
+
+def _end_of_unseen(page: str, at: int, name: str, around: str, closes: dict[str, int]) -> int:
+    """Where an unseen element ends: after its end tag, or at the next block's tag if its enclosing block ends before that."""
+    close = closes.get(name, 0)
+    if 0 <= close < at:
+        found = _CLOSE[name].search(page, at)
+        close = closes[name] = found.start() if found else -1
+    if close >= 0:
+        depth = 1
+        for m in re.finditer(rf"<(/?){around}(?=[\s/>])", page[at:close], re.I) if around else ():
+            depth += -1 if m[1] else 1
+            if not depth:
+                break
+        if depth:
+            return page.index(">", close) + 1
+    found = _BLOCK_TAG.search(page, at)
+    return found.start() if found else len(page)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's flat text blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, and whether it is or lies in furniture, an article, a heading
+    # name, whether it is or lies in furniture by tag, an article, a heading, and the numbers of the elements around it that a hint marks
+    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []
+    marks: list[tuple[int, ...]] = []  # beside out
+    holding: set[int] = set()  # hinted elements that hold an article: their hint doesn't count
+    closes: dict[str, int] = {}
     parts: list[str] = []
-    linked = anchor = 0
+    linked = anchor = number = 0
 
     def flush():
         nonlocal linked
         text = " ".join(_html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            top = stack[-1] if stack else ("", False, False, False)
-            out.append(Block(text, len(text.split()), linked, *top[1:]))
+            top = stack[-1] if stack else ("", False, False, False, ())
+            out.append(Block(text, len(text.split()), linked, *top[1:4]))
+            marks.append(top[4])
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
             if anchor:
                 linked += len(text.split())
         at = m.end()
+        if m["raw"]:
+            at = _end_of_unseen(page, at, m["raw"].lower(), stack[-1][0] if stack else "", closes)
         name = m["name"]
         if name is None:
             continue
@@ -116,18 +145,29 @@ def blocks(page: str) -> list[Block]:
             else:
                 if name in _ENDS_P and stack and stack[-1][0] == "p":
                     stack.pop()
-                _, bad, good, head = stack[-1] if stack else ("", False, False, False)
-                own = _hinted(m["attrs"]) if m["attrs"] else False
+                _, bad, good, head, inside = stack[-1] if stack else ("", False, False, False, ())
+                own = hinted = False
+                if m["attrs"]:
+                    own = bool(_HIDDEN.search(m["attrs"]))
+                    hinted = _hinted(m["attrs"], HINTS - {"header"} if good else HINTS)
                 furniture = bad or own or (name in FURNITURE and not (name in ("header", "figure") and good))
                 heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-                stack.append((name, furniture, good or name in ("article", "main"), heading or (head and name != "div")))
-        elif name not in VOID and not m["close"] and m["attrs"] and name in ("span", "ins", "label") and _hinted(m["attrs"]):
+                if name in ("article", "main"):
+                    if not hinted:  # a comment marked up as an article leaves its section as it is
+                        holding.update(inside)
+                elif hinted and name not in ("body", "html"):
+                    number += 1
+                    inside = (*inside, number)
+                stack.append((name, furniture, good or name in ("article", "main"), heading or (head and name != "div"), inside))
+        elif name not in VOID and not m["close"] and m["attrs"] and name in ("span", "ins", "label") and (_hinted(m["attrs"]) or _HIDDEN.search(m["attrs"])):
             parts.append(" ")
     if at < len(page):
         rest = page[at:]
         cut = rest.rfind("<")  # a tag that the page's end cuts off
         parts.append(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z]", rest[cut:]) else rest)
     flush()
+    for block, inside in zip(out, marks, strict=True):
+        block.furniture = block.furniture or any(i not in holding for i in inside)
     return out
 
 

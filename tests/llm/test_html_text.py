@@ -49,3 +49,19 @@ def test_tables(spark):
     got = h.extract(pages).collect()
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert h.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article><p>{ARTICLE}</p><svg class="i"/><p>{ARTICLE}</p></article>', f"<article><p>{ARTICLE}</p><button>Go<p>{ARTICLE}</p></article>",
+        f"<article><p>{ARTICLE}</p><div><video src=x></div><p>{ARTICLE}</p></article><video></video>", f"<body class='home right-sidebar'><p>{ARTICLE}</p><p>{ARTICLE}</p></body>",
+        f"<div class='content with-sidebar'><article><p>{ARTICLE}</p><p>{ARTICLE}</p></article></div>",
+    ],
+)
+def test_nothing_is_lost_after_unclosed_elements_or_inside_hinted_ones(page):
+    assert h.main_text(page) == f"{ARTICLE}\n\n{ARTICLE}"
+
+
+def test_entry_header_in_an_article():
+    assert h.main_text(f"<article><div class='entry-header'><h1>A title here</h1></div><p>{ARTICLE}</p></article>") == f"A title here\n\n{ARTICLE}"
