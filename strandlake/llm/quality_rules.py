@@ -1,9 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a feature with a cost and rejects a share of the documents.  Both are
-estimated on a bounded sample, rules are ordered by rejection per cost, and in each
-batch a rule looks only at documents that none before it has rejected.  A document is
-kept when no rule rejects it, so the order changes the work, never the verdict.
+Each rule needs some features of a text.  On a sample every feature is timed by itself,
+and every rule is asked about every document: tasks send back how many documents have
+each combination of verdicts, and the seconds of each feature.  The cascade then takes,
+again and again, the rule that rejects most of the documents still standing for each
+second of the features it needs beyond those at hand.  In each batch a rule looks only
+at documents that none before it has rejected, and features found once stay at hand.  A
+document is kept when no rule rejects it, so the order changes the work, never the
+verdict.
 
 Defined results: null and empty texts have no words and fail ``few_words``.  Repeated
 rows are judged alike, one result each.  An empty sample leaves the rules as declared.
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.words import Words, slices, split_words, string_buffers, window_hashes, window_starts
 
-#: Rows of the sample on which costs and selectivity are estimated.
+#: Expected rows of the sample on which costs and selectivity are estimated.
 SAMPLE_ROWS = 2000
+SAMPLE_SEED = 7
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -41,21 +46,40 @@ _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(2
 
 
 class Batch:
-    """Features of a slice of documents, each computed once and only for the rows asked for."""
+    """Features of a slice of documents, each computed once, when it is first asked for."""
 
-    def __init__(self, col: pa.Array, rows: np.ndarray | None = None):
-        self.col = col if rows is None else col.take(pa.array(rows))
+    def __init__(self, col: pa.Array):
+        self.col = col
         self._known: dict[str, np.ndarray] = {}
+        self._words: Words | None = None
+        self.seconds: dict[str, float] = {}
+        self._inner = 0.0
+
+    def _timed(self, name: str, make):
+        """Its seconds are its own, without those of the features it asks for."""
+        began, outer, self._inner = time.perf_counter(), self._inner, 0.0
+        out = make()
+        took = time.perf_counter() - began
+        self.seconds[name] = took - self._inner
+        self._inner = outer + took
+        return out
 
     def get(self, name: str) -> np.ndarray:
         if name not in self._known:
-            self._known[name] = _FEATURES[name](self)
+            self._known[name] = self._timed(name, lambda: _FEATURES[name](self))
         return self._known[name]
 
     def words(self) -> Words:
-        if "words" not in self._known:
-            self._known["words"] = split_words(self.col)
-        return self._known["words"]
+        if self._words is None:
+            self._words = self._timed("words", lambda: split_words(self.col))
+        return self._words
+
+    def narrowed(self, rows: np.ndarray) -> Batch:
+        """Only these rows (ascending), with all that is known of them."""
+        out = Batch(self.col.take(pa.array(rows)))
+        out._known = {name: value[..., rows] for name, value in self._known.items()}
+        out._words = self._words.narrowed(rows) if self._words is not None else None
+        return out
 
     def per_row(self, table: np.ndarray) -> np.ndarray:
         """How many bytes of each row the table marks."""
@@ -132,52 +156,95 @@ BASE_RULES = ("few_words", "repeated_words")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+#: Seconds of the features and numbers of documents by verdicts, bit i for rule i.
+Estimate = tuple[dict[str, float], dict[int, int]]
+
+
+def estimate(texts: pa.Array, rules: tuple[Rule, ...] = RULES, repeats: int = 2) -> Estimate:
+    """From all rules on all texts, slice by slice; of several timings of a feature the least counts."""
+    seconds: dict[str, float] = {}
+    verdicts: dict[int, int] = {}
+    for part in slices(pa.table({"text": texts}), "text"):
+        least: dict[str, float] = {}
+        for _ in range(repeats):
+            batch = Batch(part.column("text").combine_chunks())
+            found = sum((r.rejects(batch).astype(np.int64) << i for i, r in enumerate(rules)), np.zeros(len(batch.col), np.int64))
+            least = {name: min(took, least.get(name, took)) for name, took in batch.seconds.items()}
+        for name, took in least.items():
+            seconds[name] = seconds.get(name, 0.0) + took
+        for pattern, n in zip(*(x.tolist() for x in np.unique(found, return_counts=True)), strict=True):
+            verdicts[pattern] = verdicts.get(pattern, 0) + n
+    return seconds, verdicts
+
+
+def needs(rule: Rule) -> frozenset[str]:
+    """The features that a rule asks for, with those that they ask for."""
+    batch = Batch(pa.array(["a b c"]))
+    rule.rejects(batch)
+    return frozenset(batch.seconds)
+
+
+def cascade(found: Estimate, rules: tuple[Rule, ...] = RULES, at_hand: frozenset[str] = frozenset()) -> tuple[str, ...]:
+    """Names of the rules in the order of documents newly rejected per second; ties as declared."""
+    seconds, verdicts = found
+    left, names = list(enumerate(rules)), []
+    have = set(at_hand)
+    while left:
+        gain = []
+        for i, rule in left:
+            cost = sum(seconds.get(name, 0.0) for name in needs(rule) - have)
+            gain.append(sum(n for pattern, n in verdicts.items() if pattern >> i & 1) / max(cost, 1e-9))
+        i, rule = left.pop(int(np.argmax(gain)))
+        names.append(rule.name)
+        have |= needs(rule)
+        verdicts = {pattern: n for pattern, n in verdicts.items() if not pattern >> i & 1}
+    return tuple(names)
+
+
 def ordered(texts: pa.Array, rules: tuple[Rule, ...] = RULES) -> tuple[str, ...]:
-    """Names of the rules by rejection per second on a sample, highest first; ties as declared."""
-    if not len(texts):
-        return tuple(r.name for r in rules)
-    gain = {}
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = float(rule.rejects(Batch(texts)).mean())
-        gain[rule.name] = rejected / max(time.perf_counter() - began, 1e-9)
-    return tuple(sorted(gain, key=gain.get, reverse=True))
-
-
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> pa.Array:
-    """Texts of the ``rows`` rows with the lowest hash of doc_id."""
-    low = docs.select("text", F.xxhash64("doc_id").alias("h")).filter(F.col("text").isNotNull())
-    size = low.select(F.octet_length("text").alias("n"), "h").orderBy("h").limit(rows).agg(F.max("h").alias("top"), F.sum("n").alias("n")).first()
-    if size is None or size["top"] is None or size["n"] > 64 << 20:  # a sample of very long texts isn't worth its memory
-        return pa.array([], pa.string())
-    return low.filter(F.col("h") <= size["top"]).select("text").limit(rows).toArrow().column("text").combine_chunks()
-
-
-def survivors(col: pa.Array, names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> np.ndarray:
+    """The cascade for a sample of texts."""
+    return cascade(estimate(texts, rules), rules)
+
+
+def estimated(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Estimate:
+    """The estimate on about ``rows`` rows drawn from ``docs``, taken in the tasks that read them; no text comes to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            seconds, verdicts = estimate(batch.column("text"))
+            names = [*seconds, *[None] * len(verdicts)]
+            patterns = [*[None] * len(seconds), *verdicts]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(patterns, pa.int64()), pa.array([*seconds.values(), *map(float, verdicts.values())], pa.float64())], names=["feature", "verdicts", "amount"])
+
+    drawn = docs.select(F.col("text").cast("string").alias("text")).sample(fraction=min(1.0, rows / max(docs.count(), 1)), seed=SAMPLE_SEED)
+    sums = drawn.mapInArrow(run, "feature string, verdicts long, amount double").groupBy("feature", "verdicts").agg(F.sum("amount").alias("amount")).collect()
+    return {r.feature: r.amount for r in sums if r.feature}, {r.verdicts: int(r.amount) for r in sums if not r.feature}
+
+
+def survivors(batch: Batch, names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> np.ndarray:
     """Which rows no rule rejects, each rule seeing only what those before it left."""
     by_name = {r.name: r for r in rules}
-    alive = np.arange(len(col))
-    batch = Batch(col)
+    out = np.zeros(len(batch.col), bool)
+    alive = np.arange(len(out))
     for name in names:
         if not len(alive):
             break
         bad = by_name[name].rejects(batch)
         if bad.any():
-            alive = alive[~bad]
-            batch = Batch(col, alive)
-    out = np.zeros(len(col), bool)
+            rows = np.flatnonzero(~bad)
+            alive, batch = alive[rows], batch.narrowed(rows)
     out[alive] = True
     return out
 
 
 def quality_filter(docs: DataFrame, *, order: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of ``docs`` that every rule keeps, with all their columns."""
-    names = order or ordered(sample(docs))
+    names = order or cascade(estimated(docs))
 
     def keep(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                yield part.filter(pa.array(survivors(part.column("text"), names)))
+                yield part.filter(pa.array(survivors(Batch(part.column("text")), names)))
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -185,27 +252,26 @@ def quality_filter(docs: DataFrame, *, order: tuple[str, ...] | None = None) ->
 def quality_report(docs: DataFrame, *, order: tuple[str, ...] | None = None) -> DataFrame:
     """For each document its base features, whether a base rule fails it, and the verdict of the cascade.
 
-    The report shows the base features of all rows, so the base rules are decided from
-    them; the others run as a cascade over what is left.
+    The report shows the base features of all rows, so these cost the cascade nothing
+    more: it goes on from them over the rows that the base rules leave.
     """
-    names = tuple(x for x in order or ordered(sample(docs)) if x not in BASE_RULES)
-    by_name = {r.name: r for r in RULES}
+    base = tuple(r for r in RULES if r.name in BASE_RULES)
+    names = order or cascade(estimated(docs), at_hand=frozenset(BASE) | {"words", "lines"})
+    names = tuple(x for x in names if x not in BASE_RULES)
 
     def report(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                col = part.column("text")
-                feats = Batch(col)
-                failed = np.logical_or.reduce([by_name[x].rejects(feats) for x in BASE_RULES])
+                feats = Batch(part.column("text"))
+                values = [pa.array(feats.get(x).astype(np.int64)) for x in BASE]
+                failed = np.logical_or.reduce([r.rejects(feats) for r in base])
                 rows = np.flatnonzero(~failed)
-                kept = np.zeros(len(col), bool)
-                kept[rows] = survivors(col.take(pa.array(rows)), names)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), *[pa.array(feats.get(x).astype(np.int64)) for x in BASE], pa.array(failed), pa.array(kept)],
-                    names=["doc_id", *BASE, "base_failed", "kept"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(report, "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, kept boolean")
+                kept = np.zeros(len(failed), bool)
+                kept[rows] = survivors(feats.narrowed(rows), names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *values, pa.array(failed), pa.array(kept)], names=["doc_id", *BASE, "base_failed", "kept"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(report, "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, kept boolean")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

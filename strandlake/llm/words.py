@@ -42,20 +42,25 @@ _TABLES = {flag: _byte_table(flag) for flag in (False, True)}
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Bytes of words that are hashed at once, and so the length of the power tables that a worker keeps.
+HASH_BYTES = 1 << 18
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for step in (_STEP, pow(_STEP, -1, 1 << 64)):
-            table = np.full(size, step, dtype=np.uint64)
-            table[0] = 1
-            out.append(np.multiply.accumulate(table))
-        _powers = (out[0], out[1])
-    return _powers
+def _accumulated(n: int) -> list[np.ndarray]:
+    out = []
+    for step in (_STEP, pow(_STEP, -1, 1 << 64)):
+        table = np.full(n, step, dtype=np.uint64)
+        table[0] = 1
+        out.append(np.multiply.accumulate(table))
+    return out
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the step and of its inverse; those of a word longer than HASH_BYTES aren't kept."""
+    if not _powers:
+        _powers.extend(_accumulated(HASH_BYTES))
+    return _powers if n <= HASH_BYTES else _accumulated(n)
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +101,31 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; with lower, A-Z count as a-z."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _power_tables(len(self.data))
+        out = np.zeros(len(self.starts), np.uint64)
         table = np.where(self.space, np.uint64(0), _TABLES[lower])
-        value = table[self.data]
-        value *= up[: len(value)]
-        total = np.add.reduceat(value, self.starts)
-        total *= down[self.starts]
-        return mix64(total + (self.ends - self.starts).astype(np.uint64) * _MULT)
+        at = 0
+        while at < len(out):  # powers count from the first word of each stretch
+            begin = int(self.starts[at])
+            to = max(at + 1, int(np.searchsorted(self.ends, begin + HASH_BYTES, "right")))
+            value = table[self.data[begin : int(self.ends[to - 1])]]
+            up, down = _power_tables(len(value))
+            value *= up[: len(value)]
+            place = self.starts[at:to] - begin
+            out[at:to] = np.add.reduceat(value, place) * down[place]
+            at = to
+        return mix64(out + (self.ends - self.starts).astype(np.uint64) * _MULT)
+
+    def narrowed(self, rows: np.ndarray) -> "Words":
+        """The words of some rows, in ascending order, with only these rows' bytes."""
+        size = np.diff(self.offsets)[rows]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        counts = self.counts()[rows]
+        first = np.concatenate([[0], np.cumsum(counts)])
+        parts = [self.data[self.offsets[r] : self.offsets[r + 1]] for r in rows.tolist()]
+        kept = np.repeat(self.first[:-1][rows] - first[:-1], counts) + np.arange(int(first[-1]))
+        moved = np.repeat(offsets[:-1] - self.offsets[:-1][rows], counts)
+        data = np.concatenate(parts) if parts else self.data[:0]
+        return Words(data, offsets, self.starts[kept] + moved, self.ends[kept] + moved, first, self.space)
 
 
 def split_words(col: pa.Array, space: np.ndarray = SPACE) -> Words:

@@ -3,6 +3,7 @@ import re
 
 import pyarrow as pa
 
+from strandlake.llm import words as module
 from strandlake.llm.words import PUNCTUATION, slices, split_words, window_hashes, window_starts
 
 
@@ -43,3 +44,20 @@ def test_slices_cover_every_row_once():
     parts = list(slices(batch, "text", 6))
     assert [i for p in parts for i in p.column("i").to_pylist()] == list(range(6))
     assert len(parts) > 2 and not list(slices(batch.slice(0, 0), "text"))
+
+
+def test_hashes_dont_depend_on_how_many_bytes_are_hashed_at_once(monkeypatch):
+    texts = pa.array([" ".join("ab" * n for n in range(60)), None, "é" * 5000, "a b c", "x" * 40_000 + " y"])
+    w = split_words(texts)
+    whole = w.hashes()
+    monkeypatch.setattr(module, "HASH_BYTES", 64)
+    monkeypatch.setattr(module, "_powers", [])
+    assert (w.hashes() == whole).all() and len(module._powers[0]) == 64
+
+
+def test_narrowed_words_are_those_of_the_rows_alone():
+    texts = pa.array(["one two", None, "", "three  four five ", "six"])
+    rows = module.np.array([1, 3, 4])
+    some, alone = split_words(texts).narrowed(rows), split_words(texts.take(pa.array(rows)))
+    assert some.hashes().tolist() == alone.hashes().tolist() and some.first.tolist() == alone.first.tolist()
+    assert some.starts.tolist() == alone.starts.tolist() and some.data.tolist() == alone.data.tolist()
