@@ -1,21 +1,28 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut into flat blocks at block-level tags.  Each block has its word count and
-link density, those of the blocks before and after it, and what encloses it (page
-furniture by tag, or by a word of a class, id or role; an article; a heading).  A
-decision tree, grown from the small labelled table below, keeps or drops each block.
+A page is cut into flat blocks at block-level tags, in one pass over its characters.
+Each block has its word count and link density, those of the blocks before and after
+it, and what encloses it (page furniture; an article; a heading).  A decision tree,
+grown from the small labelled table below, keeps or drops each block.
+
+Elements are furniture by their tag or by a word of their class, id or role.  A page's
+wrapper often has such a word too (``has-sidebar``, a form around all): a mark doesn't
+count on html, body, main and article, nor on an element that holds an article, nor on
+one that holds most of the page's words while nothing else on the page reads like text.
 
 Defined results: null and empty pages give an empty text.  Comments, scripts, styles
-and other unseen elements are dropped whole; a script or style that is never closed runs to the page's
-end, any other to the next block.  Text
-outside any tag is a block.  Character references are decoded once, with or without
-their semicolon as HTML has it.  Repeated rows give the same text each.
+and other unseen elements are dropped whole; a comment, script or style that is never
+closed runs to the page's end, any other to the next block.  A tag that the page's end
+cuts off is dropped; a quote that is never closed is no quote.  Text outside any tag is
+a block.  Character references are decoded once, with or without their semicolon as
+HTML has it, and not across tags.  Repeated rows give the same text each.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +37,7 @@ BLOCKS = frozenset(
 )
 UNSEEN = "script style noscript template textarea select svg math iframe object canvas audio video head title button".split()
 FURNITURE = frozenset("nav aside footer header form menu dialog figure fieldset search".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+FIRM = FURNITURE - {"form", "fieldset"}
 # Words of a class, id or role that name page furniture.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner banners sponsor sponsored sponsors promo promotion promoted "
@@ -40,16 +47,21 @@ HINTS = frozenset(
     "disqus discussion feedback login search form contentinfo complementary tags tagcloud outbrain taboola".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*/>|<(?P<code>script|style)\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=code)\s*>|\Z)"
-    r"|<(?P<raw>" + "|".join(x for x in UNSEEN if x not in ("script", "style")) + r")\b(?![:-])(?:[^'\">]|\"[^\"]*\"|'[^']*')*>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNSEEN}
+#: Hints that on a paragraph of an article describe its style.
+STYLES = frozenset(("warning", "disclaimer"))
+PARAGRAPHS = frozenset("p li blockquote pre td dd".split())
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in UNSEEN}
 _BLOCK_TAG = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS, key=len, reverse=True)) + r")(?=[\s/>])", re.I)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|[\s\"'])(?:aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*?display\s*:\s*none|'[^']*?display\s*:\s*none))", re.I)
+_HIDDEN_FLAG = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", re.I)
+_PARTS = re.compile(r"[-_]+|(?<=\D)(?=\d)")
+#: A block of so many words with at most this density reads like text.
+TEXT_WORDS, TEXT_DENSITY = 20, 0.3
 
 
 @dataclass
@@ -57,7 +69,7 @@ class Block:
     text: str
     words: int
     linked: int
-    furniture: bool
+    furniture: int  # 0, 1 for a style of a paragraph in an article, 2
     article: bool
     heading: bool
 
@@ -65,112 +77,229 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _hinted(attrs: str, hints: frozenset = HINTS) -> bool:
-    for found in _NAMED.finditer(attrs):
-        value = (found[1] or found[2] or found[3] or "").lower()
-        for word in value.split():
-            if word in hints or any(part in hints for part in re.split(r"[-_]+|(?<=\D)(?=\d)", word)):
-                return True
-    return False
-
-
-def _end_of_unseen(page: str, at: int, name: str, around: str, closes: dict[str, int]) -> int:
-    """Where an unseen element ends: after its end tag, or at the next block's tag if its enclosing block ends before that."""
-    close = closes.get(name, 0)
-    if 0 <= close < at:
-        found = _CLOSE[name].search(page, at)
-        close = closes[name] = found.start() if found else -1
-    if close >= 0:
-        depth = 1
-        for m in re.finditer(rf"<(/?){around}(?=[\s/>])", page[at:close], re.I) if around else ():
-            depth += -1 if m[1] else 1
-            if not depth:
-                break
-        if depth:
-            return page.index(">", close) + 1
-    found = _BLOCK_TAG.search(page, at)
-    return found.start() if found else len(page)
+NONE, STYLE, WEAK, STRONG, SURE = range(5)
+
+
+def _hint(attrs: str, less: frozenset = frozenset()) -> int:
+    """How surely class, id or role name furniture: STRONG if a word of them says nothing else, WEAK if a part of one does."""
+    found = NONE
+    for m in _NAMED.finditer(attrs):
+        for word in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [x for x in _PARTS.split(word) if x]
+            hints = sum(x in HINTS and x not in less for x in parts)
+            if word in HINTS and word not in less or parts and hints == len(parts):
+                found = STRONG
+            elif hints:
+                found = max(found, WEAK)
+    return found
+
+
+def _styled(attrs: str) -> bool:
+    """Whether the only words that name furniture are STYLES."""
+    return _hint(attrs, STYLES) == NONE
+
+
+def _hidden(attrs: str) -> bool:
+    low = attrs.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    return bool(_HIDDEN.search(attrs) or _HIDDEN_FLAG.search(_QUOTED.sub("''", attrs)))
+
+
+class _Page:
+    """Searches in a page; what isn't found from one place isn't looked for from a later one."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()
+        self.closes: dict[str, tuple[int, int]] = {}
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def close(self, name: str, at: int) -> tuple[int, int]:
+        """Where the next end tag of an unseen element begins and ends; (-1, -1) if there is none."""
+        known = self.closes.get(name)
+        if known is None or 0 <= known[0] < at:
+            m = _CLOSE[name].search(self.page, at)
+            end = self.page.find(">", m.end()) if m else -1
+            known = self.closes[name] = (m.start(), end + 1) if end >= 0 else (-1, -1)
+        return known
+
+    def tag_end(self, at: int) -> int:
+        """After the tag's >, quoted attribute values skipped; -1 if the page ends first."""
+        while m := _STOP.search(self.page, at):
+            at = m.end()
+            if not m[1]:
+                return at
+            shut = self.find(m[1], at)
+            at = shut + 1 if shut >= 0 else at
+        return -1
+
+    def unseen_end(self, at: int, name: str, around: str) -> int:
+        """Where an unseen element ends: after its end tag, or at the next block's tag if its enclosing block ends before that."""
+        begin, end = self.close(name, at)
+        if name in ("script", "style"):
+            return end if begin >= 0 else len(self.page)
+        if begin >= 0:
+            depth = 1
+            for m in _around(around).finditer(self.page, at, begin) if around else ():
+                depth += -1 if m[1] else 1
+                if not depth:
+                    break
+            if depth:
+                return end
+        found = _BLOCK_TAG.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+
+def _around(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I)
+
+
+@dataclass
+class _Mark:
+    """An element that may be furniture, with what it holds."""
+
+    parent: int
+    surety: int
+    article: bool = False  # whether it holds one
+    words: int = 0
+    texts: int = 0
+
+
+def _furniture(marks: list[_Mark], inner: list[int], found: list[Block]) -> list[int]:
+    """For each mark how surely what it holds is furniture, wrappers left out; mark 0 is the page."""
+    for mark, block in zip(inner, found, strict=True):
+        marks[mark].words += block.words
+        marks[mark].texts += block.words >= TEXT_WORDS and block.density() <= TEXT_DENSITY
+    own = [m.texts for m in marks]
+    for mark in reversed(marks[1:]):
+        above = marks[mark.parent]
+        above.article |= mark.article
+        above.texts += mark.texts
+        if mark.surety != SURE:  # sure furniture isn't counted among the words of what is around it
+            above.words += mark.words
+    out, free = [NONE], own[0]
+    for i, mark in enumerate(marks[1:], 1):
+        surety = mark.surety
+        if surety in (WEAK, STRONG):
+            most = 2 * mark.words > marks[0].words and not free and mark.texts >= (1 if surety == WEAK else 2)
+            if mark.article or most:
+                surety = NONE
+        out.append(max(out[mark.parent], surety))
+        if out[i] == NONE:
+            free += own[i]
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     """The page's flat text blocks in order."""
     out: list[Block] = []
-    # name, whether it is or lies in furniture by tag, an article, a heading, and the numbers of the elements around it that a hint marks
-    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []
-    marks: list[tuple[int, ...]] = []  # beside out
-    holding: set[int] = set()  # hinted elements that hold an article: their hint doesn't count
-    closes: dict[str, int] = {}
+    # name, the number of the innermost mark, whether it is or lies in an article, in a heading
+    stack: list[tuple[str, int, bool, bool]] = []
+    open_: Counter = Counter()  # names on the stack
+    marks, inner = [_Mark(0, NONE)], []
     parts: list[str] = []
-    linked = anchor = number = 0
+    linked = anchor = 0
+    look = _Page(page)
+
+    def text(a: int, b: int):
+        nonlocal linked
+        part = page[a:b]
+        if "&" in part:
+            part = _html.unescape(part)
+        parts.append(part)
+        if anchor:
+            linked += len(part.split())
 
     def flush():
         nonlocal linked
-        text = " ".join(_html.unescape("".join(parts)).split())
+        words = "".join(parts).split()
         parts.clear()
-        if text:
-            top = stack[-1] if stack else ("", False, False, False, ())
-            out.append(Block(text, len(text.split()), linked, *top[1:4]))
-            marks.append(top[4])
+        if words:
+            _, mark, good, head = stack[-1] if stack else ("", 0, False, False)
+            out.append(Block(" ".join(words), len(words), linked, NONE, good, head))
+            inner.append(mark)
         linked = 0
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            text = page[at : m.start()]
-            parts.append(text)
-            if anchor:
-                linked += len(text.split())
-        at = m.end()
-        if m["raw"]:
-            at = _end_of_unseen(page, at, m["raw"].lower(), stack[-1][0] if stack else "", closes)
-        name = m["name"]
-        if name is None:
+    at = begin = 0  # where the next tag is looked for, and where the text before it begins
+    while (at := look.find("<", at)) >= 0:
+        m = _OPEN.match(page, at)
+        if m is None:
+            if page.startswith("<!--", at):
+                end = at + 5 if page.startswith("<!-->", at) else look.find("-->", at + 3 if page.startswith("<!--->", at) else at + 4) + 3
+                end = end if end > at else len(page)
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = look.find(">", at) + 1 or len(page)
+            else:
+                at += 1
+                continue  # a sign, not a tag
+            text(begin, at)
+            at = begin = end
             continue
-        name = name.lower()
+        text(begin, at)
+        end = look.tag_end(m.end())
+        if end < 0:
+            at = begin = len(page)
+            break
+        closes, name = m[1], m[2].lower()
+        attrs = page[m.end() : end - 1]
+        at = end
+        if name in _CLOSE and not closes and not (name in ("svg", "math") and attrs.endswith("/")):
+            at = look.unseen_end(end, name, stack[-1][0] if stack else "")
+        begin = at
         if name == "a":
-            anchor = 0 if m["close"] else 1
-            parts.append("")
+            anchor = 0 if closes else 1
         elif name == "br":
             parts.append(" ")
         elif name in BLOCKS:
             flush()
             if name == "hr":
                 continue
-            anchor = 0 if m["close"] else anchor
-            if m["close"]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+            if closes:
+                anchor = 0
+                while open_[name]:
+                    last = stack.pop()[0]
+                    open_[last] -= 1
+                    if last == name:
                         break
-            else:
+            elif name not in _CLOSE:
                 if name in _ENDS_P and stack and stack[-1][0] == "p":
-                    stack.pop()
-                _, bad, good, head, inside = stack[-1] if stack else ("", False, False, False, ())
-                own = hinted = False
-                if m["attrs"]:
-                    own = bool(_HIDDEN.search(m["attrs"]))
-                    hinted = _hinted(m["attrs"], HINTS - {"header"} if good else HINTS)
-                furniture = bad or own or (name in FURNITURE and not (name in ("header", "figure") and good))
-                heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
+                    open_[stack.pop()[0]] -= 1
+                _, mark, good, head = stack[-1] if stack else ("", 0, False, False)
+                own = NONE
+                if name in FURNITURE and not (good and name in ("header", "figure")):
+                    own = SURE if name in FIRM else WEAK
+                if attrs:
+                    hint = _hint(attrs, _HEADERS if good else frozenset()) if name not in ("body", "html") else NONE
+                    if hint and good and name in PARAGRAPHS and _styled(attrs):
+                        hint = STYLE
+                    own = SURE if _hidden(attrs) else max(own, hint)
                 if name in ("article", "main"):
-                    if not hinted:  # a comment marked up as an article leaves its section as it is
-                        holding.update(inside)
-                elif hinted and name not in ("body", "html"):
-                    number += 1
-                    inside = (*inside, number)
-                stack.append((name, furniture, good or name in ("article", "main"), heading or (head and name != "div"), inside))
-        elif name not in VOID and not m["close"] and m["attrs"] and name in ("span", "ins", "label") and (_hinted(m["attrs"]) or _HIDDEN.search(m["attrs"])):
-            parts.append(" ")
-    if at < len(page):
-        rest = page[at:]
-        cut = rest.rfind("<")  # a tag that the page's end cuts off
-        parts.append(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z]", rest[cut:]) else rest)
+                    if own in (NONE, WEAK):  # a comment marked up as an article leaves its section as it is
+                        marks[mark].article = True
+                        own = NONE
+                if own:
+                    marks.append(_Mark(mark, own))
+                    mark = len(marks) - 1
+                stack.append((name, mark, good or name in ("article", "main"), name in _HEADINGS or (head and name != "div")))
+                open_[name] += 1
+    text(begin, len(page))
     flush()
-    for block, inside in zip(out, marks, strict=True):
-        block.furniture = block.furniture or any(i not in holding for i in inside)
+    surety = _furniture(marks, inner, out)
+    for block, mark in zip(out, inner, strict=True):
+        block.furniture = min(surety[mark], 2)
     return out
 
 
+_HEADERS = frozenset(("header",))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _ENDS_P = BLOCKS - {"body", "html", "head"}
 
 FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "furniture", "article", "heading")
@@ -185,7 +314,7 @@ TABLE = (
     (3, 0.0, 40, 0.0, 2, 1.0, 0, 1, 0, 1), (5, 0.0, 60, 0.0, 4, 1.0, 0, 1, 0, 1), (2, 0.0, 20, 0.0, 3, 0.9, 0, 1, 0, 1),
     (15, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 1), (30, 0.05, 20, 0.0, 5, 1.0, 0, 0, 0, 1), (11, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 1),
     (45, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 1), (7, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1, 1), (6, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1, 1),
-    (50, 0.0, 3, 1.0, 3, 1.0, 1, 0, 0, 0), (18, 0.0, 40, 0.0, 3, 1.0, 1, 1, 0, 0), (55, 0.1, 60, 0.0, 2, 1.0, 1, 1, 0, 0),
+    (50, 0.0, 3, 1.0, 3, 1.0, 2, 0, 0, 0), (18, 0.0, 40, 0.0, 3, 1.0, 2, 1, 0, 0), (55, 0.1, 60, 0.0, 2, 1.0, 2, 1, 0, 0),
     (4, 1.0, 40, 0.0, 4, 1.0, 0, 1, 0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 1, 0, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 0, 0),
     (6, 0.9, 5, 1.0, 6, 1.0, 0, 1, 0, 0), (10, 1.0, 30, 0.0, 0, 0.0, 0, 1, 0, 0),
     (50, 0.0, 40, 0.0, 45, 0.0, 0, 0, 0, 1), (35, 0.02, 20, 0.0, 60, 0.0, 0, 0, 0, 1), (16, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
@@ -194,10 +323,12 @@ TABLE = (
     (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
     (6, 0.8, 4, 1.0, 5, 1.0, 0, 0, 0, 0), (4, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (12, 0.7, 6, 1.0, 8, 0.9, 0, 0, 0, 0),
     (5, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1, 0), (25, 0.9, 20, 0.8, 30, 0.9, 0, 0, 0, 0),
-    (60, 0.0, 50, 0.0, 3, 0.0, 1, 0, 0, 0), (12, 0.0, 3, 1.0, 9, 0.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0),
-    (30, 0.1, 1, 0.0, 20, 0.1, 1, 0, 0, 0), (8, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 1, 0, 1, 0),
-    (40, 0.0, 45, 0.0, 50, 0.0, 1, 1, 0, 0), (9, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0, 0), (4, 0.0, 30, 0.0, 25, 0.0, 1, 1, 1, 0),
-    (22, 0.2, 50, 0.0, 12, 0.5, 1, 1, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 1, 1, 0, 0), (100, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0),
+    (60, 0.0, 50, 0.0, 3, 0.0, 2, 0, 0, 0), (12, 0.0, 3, 1.0, 9, 0.0, 2, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0),
+    (30, 0.1, 1, 0.0, 20, 0.1, 2, 0, 0, 0), (8, 0.0, 70, 0.0, 0, 0.0, 2, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 2, 0, 1, 0),
+    (40, 0.0, 45, 0.0, 50, 0.0, 2, 1, 0, 0), (9, 0.0, 60, 0.0, 70, 0.0, 2, 1, 0, 0), (4, 0.0, 30, 0.0, 25, 0.0, 2, 1, 1, 0),
+    (22, 0.2, 50, 0.0, 12, 0.5, 2, 1, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 2, 1, 0, 0), (100, 0.0, 0, 0.0, 0, 0.0, 2, 0, 0, 0),
+    (2, 0.0, 1, 1.0, 25, 0.0, 0, 0, 1, 1), (1, 0.0, 3, 1.0, 40, 0.0, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 30, 0.0, 0, 0, 1, 1),
+    (14, 0.0, 40, 0.0, 50, 0.0, 1, 1, 0, 1), (30, 0.05, 60, 0.0, 20, 0.0, 1, 1, 0, 1), (6, 0.0, 30, 0.0, 70, 0.0, 1, 1, 0, 1), (4, 1.0, 30, 0.0, 40, 0.0, 1, 1, 0, 0),
 )
 MAX_DEPTH = 6
 

@@ -65,3 +65,104 @@ def test_nothing_is_lost_after_unclosed_elements_or_inside_hinted_ones(page):
 
 def test_entry_header_in_an_article():
     assert h.main_text(f"<article><div class='entry-header'><h1>A title here</h1></div><p>{ARTICLE}</p></article>") == f"A title here\n\n{ARTICLE}"
+
+
+NAV = "<nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>"
+FOOT = "<footer>All rights reserved by somebody in the year of the page and so on, with many words in this line of the footer of the page</footer>"
+LONG = "This paragraph has more than twenty words in it so that everyone who reads the page can see that it is the text and not furniture."
+
+
+@pytest.mark.parametrize(
+    ("begin", "end"),
+    [
+        ("<body class='has-sidebar'>", "</body>"), ("<div class='single comments-open'>", "</div>"), ("<div class='main-content no-sidebar'>", "</div>"),
+        ("<div class='content-rail-layout'>", "</div>"), ("<form id=all action=/x>", "</form>"), ("<p title='the hidden story'>", "</p>"),
+    ],
+)
+def test_a_wrapper_is_no_furniture_whatever_its_class(begin, end):
+    assert h.main_text(f"{begin}{NAV}<h1>The title</h1><p>{LONG}</p><p>{ARTICLE}</p>{FOOT}{end}") == f"The title\n\n{LONG}\n\n{ARTICLE}"
+
+
+def test_furniture_that_holds_most_words_stays_furniture_beside_a_text():
+    assert h.main_text(f"<div class=post><h1>The title</h1><p>{LONG}</p></div><div id=comments>{f'<p>{LONG} I agree.</p>' * 20}</div>") == f"The title\n\n{LONG}"
+    assert h.main_text("<form><label>User name</label><label>Password</label><p>Forgot your password?</p></form>") == ""
+    assert h.main_text(f"<div style='display: none'><p>{LONG}</p><p>{LONG}</p></div>") == ""
+    assert h.main_text(f"<article><p>{LONG}</p><p class=warning>Mind the step.</p><p class=ad>Buy it now.</p><p>{LONG}</p></article>") == f"{LONG}\n\nMind the step.\n\n{LONG}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="', "<a b='x\">", "<!--", "<script>", "</", "< ", "<svg>", "<p><textarea>", '<i x="y" ', "&amp", "<div class=ad>x"])
+def test_broken_markup_takes_time_in_proportion(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        h.main_text(piece * (n // len(piece)))
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(1_600_000) < 0.5 + 24 * seconds(200_000)  # eight times the length; sixty-four times if it were quadratic
+
+
+def _pieces(page):
+    """Block texts as the standard parser sees them."""
+    from html.parser import HTMLParser
+
+    class Cutter(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.parts, self.out, self.unseen = [], [], 0
+
+        def flush(self):
+            text = " ".join("".join(self.parts).split())
+            self.parts = []
+            if text:
+                self.out.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag in h.BLOCKS and not self.unseen:
+                self.flush()
+            self.unseen += tag in h.UNSEEN
+            if tag == "br" and not self.unseen:
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            self.unseen -= tag in h.UNSEEN
+            if tag in h.BLOCKS and not self.unseen:
+                self.flush()
+
+        def handle_data(self, data):
+            if not self.unseen:
+                self.parts.append(data)
+
+    cutter = Cutter()
+    cutter.feed(page)
+    cutter.close()
+    cutter.flush()
+    return cutter.out
+
+
+def test_blocks_are_those_of_the_standard_parser():
+    import random
+
+    rng = random.Random(8)
+    words = ["one", "two ", " three", "&amp;", "&eacute;t&eacute;", "a<b>c</b>d", "4 < 5", "<br>", "\n", "<!-- <p>no</p> -->", "<i title='x > y'>z</i>", "&#x41;"]
+
+    def some(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.4 or depth > 5:
+                out.append("".join(rng.choices(words, k=rng.randint(1, 5))))
+            elif kind < 0.5:
+                name = rng.choice(["script", "style", "textarea", "select", "noscript", "svg"])
+                out.append(f"<{name} x='1'>{'unseen words' if name in ('script', 'style', 'textarea') else some(9)}</{name}>")
+            elif kind < 0.6:
+                out.append(f"<{rng.choice(['a', 'span', 'em'])} class=\"x\">" + some(9) + "</span>")
+            else:
+                name = rng.choice(["div", "P", "section", "article", "ul", "li", "td", "h2", "nav"])
+                out.append(f"<{name} id=k{depth}>{some(depth + 1)}</{name}>")
+        return "".join(out)
+
+    for _ in range(400):
+        page = some(0)
+        assert [b.text for b in h.blocks(page)] == _pieces(page), page
