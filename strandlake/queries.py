@@ -67,13 +67,13 @@ def _counts(k: int, table: str = "documents", key: str = "doc_id") -> str:
     return f"""{_seqs(table, key)},
 m AS (SELECT substring(seq, i, {k}) AS m FROM (SELECT seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM s)),
 r AS (SELECT m, count(*) AS c FROM m GROUP BY m),
-c AS (SELECT least(m, {_rc("m")}) AS kmer, sum(c)::BIGINT AS cnt FROM r GROUP BY 1)"""
+c AS MATERIALIZED (SELECT least(m, {_rc("m")}) AS kmer, sum(c)::BIGINT AS cnt FROM r GROUP BY 1)"""
 
 
 def _edges(k: int, table: str = "documents", key: str = "doc_id") -> str:
     return f"""{_counts(k, table, key)},
-o AS (SELECT DISTINCT kmer, cnt FROM (SELECT kmer, cnt FROM c UNION ALL SELECT {_rc("kmer")}, cnt FROM c)),
-e AS (SELECT a.kmer AS u, b.kmer AS v, b.cnt AS w FROM o a JOIN o b ON substring(a.kmer, 2) = substring(b.kmer, 1, {k - 1})),
+o AS MATERIALIZED (SELECT DISTINCT kmer, cnt FROM (SELECT kmer, cnt FROM c UNION ALL SELECT {_rc("kmer")}, cnt FROM c)),
+e AS MATERIALIZED (SELECT a.kmer AS u, b.kmer AS v, b.cnt AS w FROM o a JOIN o b ON substring(a.kmer, 2) = substring(b.kmer, 1, {k - 1})),
 n AS (SELECT u AS kmer FROM e UNION SELECT v FROM e),
 d AS (SELECT kmer, row_number() OVER (ORDER BY kmer) AS id FROM n),
 x AS (SELECT a.id AS "row", b.id AS col, w AS val FROM e JOIN d a ON e.u = a.kmer JOIN d b ON e.v = b.kmer)"""
