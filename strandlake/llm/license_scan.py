@@ -202,10 +202,10 @@ def coverage(words: list[str], family: str) -> float:
     return max(len(mine & pairs) / len(pairs) for f, pairs in _TEMPLATE_PAIRS if f == family)
 
 
-def classify(paragraph: str) -> tuple[str, float, float]:
+def classify(paragraph: str, model: Classifier | None = None) -> tuple[str, float, float]:
     """Family, its probability and the coverage of its template; the family is ``prose`` for anything else."""
     words = tokens(paragraph)
-    p = classifier().probabilities(words)
+    p = (model or classifier()).probabilities(words)
     best = int(p[: len(FAMILIES)].argmax())
     family, cover = FAMILIES[best], coverage(words, FAMILIES[best])
     if p[best] >= MIN_PROBABILITY and cover >= MIN_COVERAGE:
@@ -215,10 +215,10 @@ def classify(paragraph: str) -> tuple[str, float, float]:
     return PROSE, float(p[-1]), cover
 
 
-def verdicts(lines: list[str]) -> list[tuple[str, float, float]]:
+def verdicts(lines: list[str], model: Classifier | None = None) -> list[tuple[str, float, float]]:
     """What a paragraph of these lines is: its family as a whole, and others that one of its lines confirms."""
-    whole = classify(" ".join(lines))
-    own = [v for v in map(classify, lines) if v[0] in FAMILIES] if len(lines) > 1 else []
+    whole = classify(" ".join(lines), model)
+    own = [v for v in (classify(x, model) for x in lines) if v[0] in FAMILIES] if len(lines) > 1 else []
     if whole[0] in FAMILIES:
         return [whole] + [v for v in own if v[0] != whole[0]]
     return own or [whole] * (whole[0] != PROSE)
@@ -271,6 +271,7 @@ FOUND = "doc_id long, family string, n_paragraphs long, probability double, cove
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document and licence family: paragraphs, and the best probability and coverage among them."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(classifier())  # 2 MB, trained once
 
     def run(batches):
         for batch in batches:
@@ -278,7 +279,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 ids, rows = part.column("doc_id").to_pylist(), []
                 for row, found in candidates(part.column("text")).items():
                     mine: dict[str, list] = {}
-                    for family, p, cover in (v for lines in found for v in verdicts(lines)):
+                    for family, p, cover in (v for lines in found for v in verdicts(lines, shared.value)):
                         now = mine.setdefault(family, [0, 0.0, 0.0])
                         now[:] = now[0] + 1, max(now[1], p), max(now[2], cover)
                     rows += [(ids[row], family, *now) for family, now in sorted(mine.items())]
