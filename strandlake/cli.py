@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import functions as F
 
 from strandlake import __version__
 from strandlake.operators import curve, graph
+from strandlake.operators.components import shared_folder
 from strandlake.plans.assembly import assemble
 from strandlake.session import session
 from strandlake.sources import matrices, reads
+from strandlake.sources.files import spooled
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--compat", action="store_true", help="lose each file's last record as older tools do")
     a.add_argument("-v", "--verbose", action="store_true")
     a.add_argument("out")
-    a.add_argument("files", nargs="+")
+    a.add_argument("files", nargs="*", help="without any, standard input is read; name its format with --fasta or --fastq")
     c = sub.add_parser("components", help="sizes of a matrix's components")
     c.add_argument("file")
     e = sub.add_parser("curve", help="components left as the heaviest edges go")
@@ -45,7 +48,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session(**({"spark.master": f"local[{args.threads}]"} if getattr(args, "threads", None) else {}))
     if args.command == "assemble":
-        found = assemble(reads.encoded(reads.read(spark, args.files, args.fmt, args.compat)), args.k, saturate=args.saturate, seeds=args.n)
+        files = args.files or [spooled(spark, sys.stdin.buffer, f"{shared_folder(spark)}/files/stdin-{uuid.uuid4().hex}")]
+        found = assemble(reads.encoded(reads.read(spark, files, args.fmt, args.compat)), args.k, saturate=args.saturate, seeds=args.n)
         matrices.write_matrix(found.matrix, found.size(), args.out, args.out_fmt)
         if args.verbose:
             print(f"{found.size()} nodes, {found.edges.count()} edges", file=sys.stderr)

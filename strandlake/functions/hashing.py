@@ -17,8 +17,15 @@ FINGERPRINT_MASK = 0xFFFC00
 BUCKET_WAYS = 4
 
 
+#: Fewer texts than this are hashed one after the other: a step over arrays would cost more.
+FEW = 16
+
+
 def _u64(values: pd.Series) -> np.ndarray:
-    return np.array([int(v) & (2**64 - 1) for v in values], np.uint64)
+    return values.to_numpy(np.int64).view(np.uint64)
+
+
+# The steps and constants of the mixes and checksums below are fixed values of published functions.
 
 
 def wang(x: np.ndarray) -> np.ndarray:
@@ -69,6 +76,44 @@ def murmur3_bytes(data: bytes, seed: int = MURMUR_SEED) -> int:
     return h ^ h >> 16
 
 
+def _stacked(texts: list[bytes], unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end, longest first: their order, whole units in each, where each begins, and the units."""
+    sizes = np.array([len(x) // unit for x in texts], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    flat = b"".join(texts[i][: n * unit] for i, n in zip(order.tolist(), sizes.tolist(), strict=True))
+    return order, sizes, np.cumsum(sizes) - sizes, np.frombuffer(flat, np.uint32 if unit == 4 else np.uint8)
+
+
+def murmur3_many(texts: list[bytes], seed: int = MURMUR_SEED) -> np.ndarray:
+    """murmur3_bytes of each text; the first blocks of all are mixed together, then the second ones, and so on."""
+    if len(texts) < FEW:
+        return np.array([murmur3_bytes(x, seed) for x in texts], np.int64)
+    u = np.uint32
+    order, sizes, begin, blocks = _stacked(texts, 4)
+
+    def scramble(k):
+        k = k * u(0xCC9E2D51)
+        return (k << u(15) | k >> u(17)) * u(0x1B873593)
+
+    h = np.full(len(texts), seed, np.uint32)
+    going = np.searchsorted(-sizes, -np.arange(int(sizes[FEW - 1])), "left")
+    for i, n in enumerate(going.tolist()):
+        x = h[:n] ^ scramble(blocks[begin[:n] + i])
+        h[:n] = (x << u(13) | x >> u(19)) * u(5) + u(0xE6546B64)
+    lengths = np.array([len(texts[i]) for i in order.tolist()], np.int64)
+    rest = np.array([int.from_bytes(texts[i][n * 4 :], "little") for i, n in zip(order.tolist(), sizes.tolist(), strict=True)], np.uint64)
+    h ^= scramble(rest.astype(np.uint32))  # nothing left is 0, which changes nothing
+    h ^= lengths.astype(np.uint32)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> u(shift)) * u(factor)
+    out = np.empty(len(texts), np.int64)
+    out[order] = h ^ h >> u(16)
+    for i in order[sizes > sizes[FEW - 1]].tolist():  # the few that are longer
+        out[i] = murmur3_bytes(texts[i], seed)
+    return out
+
+
 def _crc_table() -> list[int]:
     table = []
     for n in range(256):
@@ -89,19 +134,41 @@ def crc64_bytes(data: bytes, crc: int = 0) -> int:
     return crc ^ 2**64 - 1
 
 
+def crc64_many(texts: list[bytes]) -> np.ndarray:
+    """crc64_bytes of each text as unsigned numbers, a byte of all at a time."""
+    if len(texts) < FEW:
+        return np.array([crc64_bytes(x) for x in texts], np.uint64)
+    order, sizes, begin, data = _stacked(texts, 1)
+    table, crc = np.array(_CRC, np.uint64), np.full(len(texts), 2**64 - 1, np.uint64)
+    together = int(sizes[FEW - 1])
+    going = np.searchsorted(-sizes, -np.arange(together), "left")
+    for i, n in enumerate(going.tolist()):
+        crc[:n] = table[(crc[:n] ^ data[begin[:n] + i]) & np.uint64(255)] ^ crc[:n] >> np.uint64(8)
+    out = np.empty(len(texts), np.uint64)
+    out[order] = ~crc
+    for i in order[sizes > together].tolist():  # the few that are longer
+        out[i] = crc64_bytes(texts[i][together:], int(out[i]))
+    return out
+
+
+_CODES = np.zeros(256, np.uint8)
+_CODES[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+
+
 def limb_bytes(seq: str) -> bytes:
     """A sequence as 64-bit little-endian words of 32 bases, base 0 lowest."""
-    out = b""
-    for i in range(0, len(seq), 32):
-        word = 0
-        for j, base in enumerate(seq[i : i + 32]):
-            word |= "ACGT".index(base) << 2 * j
-        out += word.to_bytes(8, "little")
-    return out
+    codes = np.zeros(-(-len(seq) // 32) * 32, np.uint8)
+    codes[: len(seq)] = _CODES[np.frombuffer(seq.encode(), np.uint8)]
+    four = codes.reshape(-1, 4)
+    return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
 
 
-def _signed(value: int) -> int:
-    return value - 2**64 if value >= 2**63 else value
+def _each(data: pd.Series, many) -> pd.Series:
+    """A batch's values by ``many``; null for null."""
+    there = data.notna().to_numpy()
+    out = pd.Series(pd.array([pd.NA] * len(data), "Int64"))
+    out[there] = many([bytes(x) for x in data[there]]).view(np.int64)
+    return out
 
 
 @F.pandas_udf(T.LongType())
@@ -116,12 +183,12 @@ def _mix_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.LongType())
 def _murmur_udf(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else murmur3_bytes(bytes(x)))
+    return _each(data, murmur3_many)
 
 
 @F.pandas_udf(T.LongType())
 def _crc_udf(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else _signed(crc64_bytes(bytes(x))))
+    return _each(data, crc64_many)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -129,12 +196,19 @@ def _limbs_udf(seq: pd.Series) -> pd.Series:
     return seq.map(lambda x: None if x is None else limb_bytes(x))
 
 
+def signed(number: Column) -> Column:
+    """The BIGINT with the same 64 bits; 0 for null."""
+    wide = number.cast("decimal(20,0)")
+    low = F.when(wide > F.lit(2**63 - 1), wide - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(wide)
+    return F.coalesce(low.cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def kmer_hash(packed: Column) -> Column:
-    return _wang_udf(packed.cast("decimal(20,0)"))
+    return F.when(packed.isNotNull(), _wang_udf(signed(packed)))
 
 
 def kmer_hash_mix(a: Column, b: Column) -> Column:
-    return _mix_udf(a.cast("decimal(20,0)"), b.cast("decimal(20,0)"))
+    return F.when(a.isNotNull() & b.isNotNull(), _mix_udf(signed(a), signed(b)))
 
 
 def unsigned(number: Column) -> Column:
@@ -160,7 +234,7 @@ def buckets(hashed: Column, n: int) -> Column:
             ways.append((now % np.uint64(n)).astype(np.int64))
         return pd.Series(list(np.stack(ways, 1)) if len(first) else [])
 
-    return place(hashed.cast("decimal(20,0)"))
+    return F.when(hashed.isNotNull(), place(signed(hashed)))
 
 
 def murmur3(data: Column) -> Column:

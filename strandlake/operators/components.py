@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir; only where it is unset a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset and all tasks run on this machine, a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.components import connected_components, settle
 from strandlake.operators.graph import dense_ids
+from strandlake.operators.sampling import draw
 
 
 def ordered(edge_frame: DataFrame, u: str = "u", v: str = "v", w: str = "w", seed: int | None = None) -> DataFrame:
-    """(u, v, pos): positions from 0 by falling weight; ties by ends, or shuffled by a seeded hash."""
+    """(u, v, pos): positions from 0 by falling weight; ties by ends, or shuffled by a seeded draw."""
     picked = edge_frame.select(F.col(u).alias("u"), F.col(v).alias("v"), F.col(w).cast("bigint").alias("w"))
-    tie: Column = F.lit(0).cast("bigint") if seed is None else F.xxhash64("u", "v", F.lit(seed))
+    tie: Column = F.lit(0).cast("bigint") if seed is None else draw(seed, "u", "v")
     copy = F.row_number().over(Window.partitionBy("u", "v", "w").orderBy("w"))  # edges may stand more than once
     keyed = picked.withColumn("copy", copy).withColumn("key", F.struct((-F.col("w")).alias("w"), tie.alias("tie"), "u", "v", "copy"))
     return dense_ids(keyed, "key", first=0).select("u", "v", F.col("id").alias("pos"))

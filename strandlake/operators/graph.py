@@ -126,6 +126,14 @@ def component_sizes(edge_frame: DataFrame, level: str = "oriented") -> DataFrame
     return dense_ids(sizes, "component", first=0).select(F.col("id").alias("component"), "size")
 
 
+def component_count(edge_frame: DataFrame, n_vertices: DataFrame | None = None, u: str = "u", v: str = "v") -> DataFrame:
+    """(components): how many there are; with ``n_vertices``, one row (n), vertices on no edge are one each."""
+    found = connected_components(edge_frame, u, v).agg(F.count(F.lit(1)).alias("touched"), F.count_if(F.col("vertex") == F.col("component")).alias("components"))
+    if n_vertices is None:
+        return found.select("components")
+    return found.crossJoin(n_vertices.select("n")).select((F.col("components") + F.col("n") - F.col("touched")).alias("components"))  # one row each
+
+
 def reachable(edge_frame: DataFrame, seeds: DataFrame) -> DataFrame:
     """Edges of the components that hold a seed; seeds are canonical k-mers and reach along both strands."""
     found = settle(vertex_components(edge_frame, "canonical"))

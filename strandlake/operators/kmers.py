@@ -6,22 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import nucleotide as nt
+from strandlake.operators.sampling import digest_number
 
 #: Where a fixed-width counter of ten bits stops.
 SATURATED = 1023
+#: Windows that are cut from a read at a time: a chromosome is many rows, not one array.
+STRETCH = 1 << 16
+#: Cells in each way of a count sketch, and its ways (at most four).
+SKETCH_WIDTH = 1 << 16
+SKETCH_DEPTH = 4
 
 
-def kmers(reads: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+def kmers(reads: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = (), stretch: int = STRETCH) -> DataFrame:
     """One row per window of k bases: (kept columns, kmer).  Reads shorter than k give none.
 
-    Windows are cut from the bytes: cutting a string by characters walks it from its start each time.
+    Reads are first cut into stretches that overlap by k - 1 bases, so no row holds more
+    than ``stretch`` windows.  Windows are cut from the bytes: cutting a string by
+    characters walks it from its start each time.
     """
     nt.check_k(k)
-    raw = F.col(seq).cast("binary")
-    places = F.sequence(F.lit(1), F.octet_length(raw) - k + 1)
-    windows = F.transform(places, lambda i: F.substring(raw, i, F.lit(k)))
+    raw, piece = F.col(seq).cast("binary"), F.col("kmer")
+    starts = F.sequence(F.lit(1), F.octet_length(raw) - k + 1, F.lit(stretch))
+    stretches = F.transform(starts, lambda i: F.substring(raw, i, F.lit(stretch + k - 1)))
+    places = F.sequence(F.lit(1), F.octet_length(piece) - k + 1)
+    windows = F.transform(places, lambda i: F.substring(piece, i, F.lit(k)))
     long = reads.filter(F.octet_length(F.col(seq)) >= k)
-    return long.select(*keep, F.explode(windows).alias("kmer")).withColumn("kmer", F.col("kmer").cast("string"))
+    cut = long.select(*keep, F.explode(stretches).alias("kmer"))
+    return cut.select(*keep, F.explode(windows).alias("kmer")).withColumn("kmer", F.col("kmer").cast("string"))
 
 
 def count(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -61,6 +72,29 @@ def seeds_approximate(reads: DataFrame, k: int, n: int, tracked: int = 10_000, s
     return top.select(F.inline("top")).select(F.col("item").alias("kmer"), F.col("count").alias("cnt"))
 
 
+def _ways(frame: DataFrame, width: int, depth: int) -> DataFrame:
+    """(kmer, way, cell): the cells of each k-mer's ways."""
+    if not 1 <= depth <= 4 or width < 1:
+        raise ValueError("a sketch has one to four ways of at least one cell")
+    cells = [F.struct(F.lit(i).alias("way"), (digest_number(F.col("kmer"), i) % width).alias("cell")) for i in range(depth)]
+    return frame.select("kmer", F.inline(F.array(*cells)))
+
+
+def sketch(reads: DataFrame, k: int, width: int = SKETCH_WIDTH, depth: int = SKETCH_DEPTH, seq: str = "seq") -> DataFrame:
+    """(way, cell, cnt): a count-min sketch of the canonical k-mers, summed in each task before the shuffle.
+
+    It has at most ``width * depth`` rows whatever the reads; exact counts have one for each distinct k-mer.
+    """
+    found = kmers(reads, k, seq).select(nt.canonical(F.col("kmer")).alias("kmer"))
+    return _ways(found, width, depth).groupBy("way", "cell").agg(F.count("*").alias("cnt"))
+
+
+def sketch_lookup(keys: DataFrame, cells: DataFrame, width: int = SKETCH_WIDTH, depth: int = SKETCH_DEPTH) -> DataFrame:
+    """(kmer, cnt) of distinct keys by a sketch of this width and depth: never below the exact count."""
+    found = _ways(keys.select("kmer"), width, depth).join(cells, ["way", "cell"], "left")
+    return found.groupBy("kmer").agg(F.min(F.coalesce("cnt", F.lit(0).cast("bigint"))).alias("cnt"))
+
+
 def lookup(keys: DataFrame, counts: DataFrame) -> DataFrame:
     """Counts of given k-mers, 0 for those not there."""
     return keys.join(counts, "kmer", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)).cast("bigint"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import hashing
 from strandlake.functions import nucleotide as nt
-from strandlake.operators import curve, graph, kmers
+from strandlake.operators import curve, graph, kmers, sampling
 from strandlake.operators.components import settle, shared_folder
 from strandlake.plans.assembly import assemble
 from strandlake.sources import matrices, reads
+from strandlake.streaming import counts as streams
 
 K = 15
 SEEDS = 20
@@ -79,9 +80,18 @@ d AS (SELECT kmer, row_number() OVER (ORDER BY kmer) AS id FROM n),
 x AS (SELECT a.id AS "row", b.id AS col, w AS val FROM e JOIN d a ON e.u = a.kmer JOIN d b ON e.v = b.kmer)"""
 
 
+def _draw_sql(text: str, at: int = 0) -> str:
+    return f"('0x' || substring(md5({text}), {8 * at + 1}, 8))::UBIGINT"
+
+
 # ---- reads and sequences
 
 
+@query(f"WITH {_seqs()} SELECT doc_id, seq FROM s WHERE {_draw_sql("'11:' || doc_id")} < {sampling.DRAWS // 4}")
+def read_sample(spark, sf_dir):
+    return sampling.sample(documents(spark, sf_dir), 0.25, 11, "doc_id")
+
+
 @query(f"WITH {_seqs()} SELECT doc_id, " + ", ".join(f"(length(seq) - length(replace(seq, '{b}', '')))::BIGINT AS n_{b.lower()}" for b in "ACGT") + " FROM s")
 def base_composition(spark, sf_dir):
     return kmers.base_composition(documents(spark, sf_dir), "doc_id")
@@ -208,6 +218,30 @@ def kmer_pack(spark, sf_dir):
     return packed.withColumn("unpacked", nt.unpack(F.col("packed"), K))
 
 
+@query(f"WITH {_counts(K)} SELECT kmer, ({_number} % {4**7})::BIGINT AS last7 FROM c")
+def kmer_masks(spark, sf_dir):
+    packed = nt.pack(F.col("kmer"), K)
+    return kmers.count_canonical(documents(spark, sf_dir), K).select("kmer", packed.bitwiseAND(F.lit(nt.mask(7))).alias("last7"))
+
+
+@query(f"""WITH {_counts(K)}, w AS (SELECT kmer, cnt, 0 AS way, {_draw_sql("kmer", 0)} % {kmers.SKETCH_WIDTH} AS cell FROM c
+{" ".join(f"UNION ALL SELECT kmer, cnt, {i}, {_draw_sql('kmer', i)} % {kmers.SKETCH_WIDTH} FROM c" for i in range(1, kmers.SKETCH_DEPTH))}),
+t AS (SELECT way, cell, sum(cnt)::BIGINT AS cnt FROM w GROUP BY way, cell) SELECT kmer, min(t.cnt) AS cnt FROM w JOIN t USING (way, cell) GROUP BY kmer""")
+def kmer_sketch_counts(spark, sf_dir):
+    found = documents(spark, sf_dir)
+    return kmers.sketch_lookup(kmers.count_canonical(found, K), kmers.sketch(found, K))
+
+
+@query(f"WITH {_counts(11)} SELECT kmer, cnt FROM c")
+def kmer_count_streamed(spark, sf_dir):
+    path = f"{sf_dir}/documents.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/{{documents}}.parquet")  # a pattern: the table may be one file
+    out = _scratch(spark, "counts")
+    running = streams.running_counts(reads.from_text(stream, "text"), 11).writeStream.outputMode("complete").trigger(availableNow=True)
+    running.option("checkpointLocation", _scratch(spark, "stream")).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query(f"WITH {_counts(11)} SELECT kmer, cnt FROM c WHERE substring(kmer, 1, 10) = substring(kmer, 2) OR substring(kmer, 1, 9) = substring(kmer, 3) OR substring(kmer, 1, 8) = substring(kmer, 4)")
 def kmer_low_period(spark, sf_dir):
     return kmers.count_canonical(documents(spark, sf_dir), 11).filter(nt.low_period(F.col("kmer"), 11))
@@ -292,7 +326,20 @@ def harwell_boeing_pointers(spark, sf_dir):
     return matrices.column_pointers(found.matrix, found.size())
 
 
-@query()
+def _wide(number: str, width: int) -> str:
+    return f"lpad(({number})::VARCHAR, {width}, ' ')"
+
+
+@query(f"""WITH {_edges(K)}, z AS (SELECT (SELECT count(*) FROM n) AS n, (SELECT count(*) FROM e) AS m),
+p AS (SELECT col, count(*) AS k FROM x GROUP BY col), j AS (SELECT unnest(range(1, (SELECT n FROM z) + 2)) AS col),
+q AS (SELECT j.col, 1 + coalesce(sum(coalesce(p.k, 0)) OVER (ORDER BY j.col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ptr FROM j LEFT JOIN p ON p.col = j.col)
+SELECT 0 AS section, 0::BIGINT AS a, 0::BIGINT AS b, '{matrices.TITLE:<72}{matrices.KEY:<8}' AS line
+UNION ALL SELECT 0, 1, 0, concat({_wide("n + 2 * m + 1", 14)}, {_wide("n + 1", 14)}, {_wide("m", 14)}, {_wide("m", 14)}, {_wide("0", 14)}) FROM z
+UNION ALL SELECT 0, 2, 0, concat('RUA', {_wide("n", 25)}, {_wide("n", 14)}, {_wide("m", 14)}, {_wide("0", 14)}) FROM z
+UNION ALL SELECT 0, 3, 0, '{"(1I11)":>16}{"(1I11)":>16}{"(1E9.0)":>20}{"":20}'
+UNION ALL SELECT 1, col, 0, {_wide("ptr::BIGINT", 11)} FROM q
+UNION ALL SELECT 2, col, "row", {_wide('"row"', 11)} FROM x
+UNION ALL SELECT 3, col, "row", {_wide("val", 9)} FROM x""")
 def harwell_boeing_file(spark, sf_dir):
     found = assemble(documents(spark, sf_dir), K)
     return matrices.harwell_boeing_lines(found.matrix, found.size()).select("section", "a", "b", "line")
@@ -329,7 +376,28 @@ def seed_reachable(spark, sf_dir):
     return graph.reachable(settle(graph.edges(counts, 11)), kmers.seeds(counts, SEEDS))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BENCH_GRAPH}, g AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e){_LEAST}
+SELECT (count(DISTINCT least_vertex) + (SELECT count(*) FROM o) - count(*))::BIGINT AS components FROM t""")
+def component_count(spark, sf_dir):
+    counts = settle(kmers.count_canonical(benchmark(spark, sf_dir), 11))
+    strands = F.when(F.col("kmer") == nt.reverse_complement(F.col("kmer")), 1).otherwise(2)
+    return graph.component_count(settle(graph.edges(counts, 11)), counts.agg(F.sum(strands).alias("n")))
+
+
+@query(f"""WITH {_edges(K)} SELECT u, v, row_number() OVER (ORDER BY w DESC, {_draw_sql("concat_ws(':', '7', u, v)")}, u, v) - 1 AS pos FROM e""")
+def edge_shuffle(spark, sf_dir):
+    return curve.ordered(assemble(documents(spark, sf_dir), K).edges, seed=7)
+
+
+@query(f"""WITH RECURSIVE {_BENCH_GRAPH}, p AS MATERIALIZED (SELECT "row" AS u, col AS v, row_number() OVER (ORDER BY val DESC, "row", col) - 1 AS pos FROM x),
+cuts AS MATERIALIZED (SELECT unnest(range(0, (SELECT count(*) FROM p), 100)) AS pos),
+g AS MATERIALIZED (SELECT cuts.pos, u AS a, v AS b FROM cuts JOIN p ON p.pos >= cuts.pos UNION SELECT cuts.pos, v, u FROM cuts JOIN p ON p.pos >= cuts.pos),
+t(pos, vertex, least_vertex) USING KEY (pos, vertex) AS (
+  SELECT cuts.pos, d.id, d.id FROM cuts CROSS JOIN d
+  UNION
+  (SELECT g.pos, g.b, min(t.least_vertex) FROM t JOIN g ON g.pos = t.pos AND g.a = t.vertex JOIN recurring.t AS now ON now.pos = g.pos AND now.vertex = g.b
+   WHERE t.least_vertex < now.least_vertex GROUP BY g.pos, g.b))
+SELECT pos, count(DISTINCT least_vertex)::BIGINT AS components FROM t GROUP BY pos""")
 def expansion_curve(spark, sf_dir):
     found = assemble(benchmark(spark, sf_dir), 11)
     return curve.expansion_curve(found.matrix, 100, u="row", v="col", w="val")
@@ -337,19 +405,82 @@ def expansion_curve(spark, sf_dir):
 
 # ---- hashes
 
+_ALL = "18446744073709551615::UHUGEINT"
 
-@query()
+
+def _after(source: str, *steps: tuple[str, str]) -> str:
+    """Rows of source with columns computed one after the other."""
+    for name, value in steps:
+        source = f"(SELECT * EXCLUDE ({name}), {value} AS {name} FROM {source})"
+    return source
+
+
+def _mix_sql(first: str, now: str) -> list[tuple[str, str]]:
+    """Steps that put the mix of two hashes in ``now``."""
+    off, by = int(hashing._OFF), int(hashing._MIX)
+    mixed = [("y", f"(xor(({first} + {2**64 - off}::UHUGEINT) & {_ALL}, {now}) * {by}::UHUGEINT) & {_ALL}"), ("y", "xor(y, y >> 47)")]
+    return mixed + [("y", f"(xor({now}, y) * {by}::UHUGEINT) & {_ALL}"), ("y", "xor(y, y >> 47)"), (now, f"(y * {by}::UHUGEINT) & {_ALL}")]
+
+
+_WANG = [
+    ("h", f"({_ALL} - h + h * {1 << 21}::UHUGEINT) & {_ALL}"), ("h", "xor(h, h >> 24)"), ("h", f"(h * {1 + 8 + 256}::UHUGEINT) & {_ALL}"), ("h", "xor(h, h >> 14)"),
+    ("h", f"(h * {1 + 4 + 16}::UHUGEINT) & {_ALL}"), ("h", "xor(h, h >> 28)"), ("h", f"(h * {1 + (1 << 31)}::UHUGEINT) & {_ALL}"), ("z", "h"),
+]
+_BUCKETS = 3_125_000
+_WAYS = [step for i in range(hashing.BUCKET_WAYS) for step in [*_mix_sql("h", "z"), (f"bucket_{i}", f"(z % {_BUCKETS})::BIGINT")]]
+_KMER_VALUE = "list_sum(list_transform(range(1, 26), lambda i: (instr('ACGT', kmer[i]) - 1)::HUGEINT * (4::HUGEINT ** (25 - i))::HUGEINT))::UHUGEINT"
+
+
+@query(f"""WITH {_counts(25, "benchmark", "item_id")},
+q AS (SELECT kmer, {_KMER_VALUE} AS h, 0::UHUGEINT AS y, 0::UHUGEINT AS z, {", ".join(f"0::BIGINT AS bucket_{i}" for i in range(hashing.BUCKET_WAYS))} FROM c)
+SELECT kmer, (CASE WHEN h >= {2**63}::UHUGEINT THEN h::HUGEINT - {2**64}::HUGEINT ELSE h::HUGEINT END)::BIGINT AS hash, (h & {hashing.FINGERPRINT_MASK}::UHUGEINT)::BIGINT AS fingerprint,
+{", ".join(f"bucket_{i}" for i in range(hashing.BUCKET_WAYS))} FROM {_after("q", *_WANG, *_WAYS)}""")
 def kmer_hashes(spark, sf_dir):
     packed = kmers.count_canonical(benchmark(spark, sf_dir), 25).select("kmer", nt.pack(F.col("kmer"), 25).alias("packed"))
     hashed = packed.withColumn("hash", hashing.kmer_hash(F.col("packed")))
-    return hashed.select("kmer", "hash", hashing.fingerprint(F.col("hash")).alias("fingerprint"), hashing.buckets(F.col("hash"), 3_125_000).alias("buckets"))
+    placed = hashed.withColumn("buckets", hashing.buckets(F.col("hash"), _BUCKETS))
+    return placed.select("kmer", "hash", hashing.fingerprint(F.col("hash")).alias("fingerprint"), *[F.col("buckets")[i].alias(f"bucket_{i}") for i in range(hashing.BUCKET_WAYS)])
 
 
-@query()
+_ONES = f"{2**64 - 1}::UBIGINT"
+_LOW = f"{2**32 - 1}::UBIGINT"
+_TEXT_BYTES = "list_transform(range(length(hex) // 2), lambda i: ('0x' || substring(hex, 2 * i + 1, 2))::UBIGINT)"
+_SEQ_BYTES = "list_transform(range(length(code) // 4), lambda i: (code[4 * i + 1]::UBIGINT + 4 * code[4 * i + 2]::UBIGINT + 16 * code[4 * i + 3]::UBIGINT + 64 * code[4 * i + 4]::UBIGINT)::UBIGINT)"
+
+
+def _crc_sql(data: str) -> str:
+    done = f"xor(list_reduce({data}, lambda c, b: xor(crc[(1 + (xor(c, b) & 255::UBIGINT))::BIGINT], c >> 8), {_ONES}), {_ONES})::HUGEINT"
+    return f"(CASE WHEN {done} >= {2**63} THEN {done} - {2**64}::HUGEINT ELSE {done} END)::BIGINT"
+
+
+def _scrambled(k: str) -> str:
+    first = f"(({k}) * {0xCC9E2D51}::UBIGINT & {_LOW})"
+    return f"(((({first} << 15) | ({first} >> 17)) & {_LOW}) * {0x1B873593}::UBIGINT & {_LOW})"
+
+
+def _murmur_sql(data: str) -> str:
+    def word(i: str) -> str:
+        return " + ".join(f"coalesce({data}[(4 * {i} + {j + 1})::BIGINT], 0)::UBIGINT * {256**j}::UBIGINT" for j in range(4))
+
+    mixed = "xor(h, k)"
+    blocks = f"list_transform(range(len({data}) // 4), lambda i: {_scrambled(word('i'))}::UBIGINT)"
+    h = f"list_reduce({blocks}, lambda h, k: (((({mixed} << 13) | ({mixed} >> 19)) & {_LOW}) * 5::UBIGINT + {0xE6546B64}::UBIGINT) & {_LOW}, {hashing.MURMUR_SEED}::UBIGINT)"
+    h = f"xor(xor({h}, {_scrambled(word(f'(len({data}) // 4)'))}), len({data})::UBIGINT)"
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = f"list_transform([{h}], lambda g: xor(g, g >> {shift}) * {factor}::UBIGINT & {_LOW})[1]"
+    return f"list_transform([{h}], lambda g: xor(g, g >> 16))[1]::BIGINT"
+
+
+@query(f"""WITH r AS (SELECT list(v ORDER BY n) AS crc FROM (
+  SELECT n, list_reduce(range(8)::UBIGINT[], lambda c, i: xor(c >> 1, (c & 1::UBIGINT) * {0xC96C5795D7870F42}::UBIGINT), n::UBIGINT) AS v FROM range(256) AS x(n))),
+{_seqs("benchmark", "item_id")}, t AS (SELECT item_id, hex(encode(text)) AS hex FROM benchmark),
+l AS (SELECT t.item_id, hex, rpad(translate(seq, 'ACGT', '0123'), ((length(seq) + 31) // 32 * 32)::INT, '0') AS code FROM t JOIN s ON s.item_id = t.item_id),
+b AS (SELECT item_id, {_TEXT_BYTES} AS tb, {_SEQ_BYTES} AS sb FROM l)
+SELECT item_id, {_murmur_sql("tb")} AS murmur3, {_crc_sql("tb")} AS crc64, {_crc_sql("sb")} AS seq_crc64, {_murmur_sql("sb")} AS seq_murmur3 FROM b, r""")
 def text_checksums(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     seq = nt.encode(F.col("text"))
-    return frame.select("item_id", hashing.murmur3(F.col("text")).alias("murmur3"), hashing.crc64(F.col("text")).alias("crc64"), hashing.sequence_crc64(seq).alias("seq_crc64"))
+    return frame.select("item_id", hashing.murmur3(F.col("text")).alias("murmur3"), hashing.crc64(F.col("text")).alias("crc64"), hashing.sequence_crc64(seq).alias("seq_crc64"), hashing.sequence_murmur3(seq).alias("seq_murmur3"))
 
 
 # ---- files

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import BinaryIO
+
 from pyspark.sql import SparkSession
 
 
@@ -25,6 +27,18 @@ def listed(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, int]]
     return out
 
 
+def spooled(spark: SparkSession, stream: BinaryIO, path: str, block: int = 1 << 20) -> str:
+    """Copies a stream, a block at a time, to a file that every executor can read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    try:
+        while data := stream.read(block):
+            out.write(data)
+    finally:
+        out.close()
+    return path
+
+
 def first_byte(spark: SparkSession, path: str) -> int:
     """-1 for an empty file."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 BANNER = "%%MatrixMarket matrix coordinate integer general"
 TITLE = "adjacency matrix of an overlap graph of k-mers"
+# A fixed value: the label in the first card of the files that users of such tools have.
 KEY = "padjmat"
 
 

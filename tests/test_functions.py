@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import hashing
 from strandlake.functions import nucleotide as nt
+from strandlake.operators import sampling
 
 
 def one(spark, column, **values):
@@ -101,3 +102,28 @@ def test_checksums(spark):
     assert one(spark, hashing.crc64(F.col("s")), s="123456789") == 0x995DC9BBDF1939FA - 2**64
     assert hashing.limb_bytes("C" + "A" * 31 + "G") == (1).to_bytes(8, "little") + (2).to_bytes(8, "little")
     assert one(spark, hashing.sequence_crc64(F.col("s")), s="C") is not None
+
+
+def test_checksums_of_many_texts_at_once():
+    rng = random.Random(5)
+    for n in (0, 3, 16, 40):
+        data = [rng.randbytes(rng.choice((0, 1, 3, 4, 9, 300, 2000))) for _ in range(n)]
+        assert hashing.murmur3_many(data).tolist() == [hashing.murmur3_bytes(x) for x in data]
+        assert hashing.crc64_many(data).tolist() == [hashing.crc64_bytes(x) for x in data]
+
+
+def test_hashes_of_nulls_are_null(spark):
+    frame = spark.createDataFrame([(5, b"a"), (None, None)], "n bigint, t binary")
+    row = frame.filter("n IS NULL").select(hashing.kmer_hash(F.col("n")).alias("h"), hashing.murmur3(F.col("t")).alias("m"), hashing.crc64(F.col("t")).alias("c")).first()
+    assert tuple(row) == (None, None, None)
+
+
+def test_samples_are_seeded_and_nested(spark):
+    frame = spark.range(2000).withColumn("other", F.lit(None).cast("string"))
+    few, more = ({r.id for r in sampling.sample(frame, share, 3).collect()} for share in (0.1, 0.4))
+    assert few < more and 120 < len(few) < 280
+    assert few == {r.id for r in sampling.sample(frame.repartition(7), 0.1, 3).collect()}
+    assert few != {r.id for r in sampling.sample(frame, 0.1, 4).collect()}
+    assert sampling.sample(frame, 0, 3).count() == 0 and sampling.sample(frame, 1, 3).count() == 2000
+    with pytest.raises(ValueError):
+        sampling.sample(frame, 1.5, 3)

@@ -161,3 +161,32 @@ def test_curve_against_recounting(spark, seed):
     assert {r.pos: r.components for r in curve.expansion_curve(frame, 3).collect()} == want
     with pytest.raises(ValueError):
         curve.expansion_curve(frame, 0)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 7])
+def test_windows_of_cut_reads(spark, stretch):
+    seqs = ["ACGTTGCAACGTAC", "ACG", "AC", "TTTTT", "ACGTTGC"]
+    got = sorted(r.kmer for r in kmers.kmers(reads_of(spark, seqs), 3, stretch=stretch).collect())
+    assert got == sorted(s[i : i + 3] for s in seqs for i in range(len(s) - 2))
+
+
+def test_sketch_is_never_below_and_exact_where_cells_are_many(spark):
+    reads = reads_of(spark, GOLDEN * 3)
+    exact = {r.kmer: r.cnt for r in kmers.count_canonical(reads, 3).collect()}
+    keys = spark.createDataFrame([(x,) for x in [*exact, "GGG"]], "kmer string")
+    for width, depth in ((1 << 16, 4), (2, 3), (1, 1)):
+        cells = kmers.sketch(reads, 3, width, depth)
+        assert cells.count() <= width * depth
+        got = {r.kmer: r.cnt for r in kmers.sketch_lookup(keys, cells, width, depth).collect()}
+        assert len(got) == len(exact) + 1 and all(got[x] >= n for x, n in exact.items())
+        if width > 2:
+            assert got == exact | {"GGG": 0}
+    with pytest.raises(ValueError):
+        kmers.sketch(reads, 3, 10, 5)
+
+
+def test_component_count_with_vertices_on_no_edge(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 5), (7, 8)], "u bigint, v bigint")
+    assert graph.component_count(edges).first().components == 3
+    assert graph.component_count(edges, spark.createDataFrame([(10,)], "n bigint")).first().components == 3 + 10 - 6
+    assert graph.component_count(edges.limit(0), spark.createDataFrame([(4,)], "n bigint")).first().components == 4

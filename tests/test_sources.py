@@ -126,3 +126,25 @@ def test_windowed_counts_close_with_the_watermark(spark, tmp_path):
     finally:
         query.stop()
     assert got == [("AAA", 3)]
+
+
+def test_standard_input_is_a_source(spark, tmp_path, monkeypatch):
+    import io
+    import sys
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(sys, "stdin", SimpleNamespace(buffer=io.BytesIO(b">a\nACGTTGCA\n>b\nTTGCAAC\n")))
+    assert cli.main(["assemble", "--fasta", "-k", "3", str(tmp_path / "in.mm")]) == 0
+    (tmp_path / "same.fa").write_text(">a\nACGTTGCA\n>b\nTTGCAAC\n")
+    assert cli.main(["assemble", "-k", "3", str(tmp_path / "file.mm"), str(tmp_path / "same.fa")]) == 0
+    got, want = (sorted(r.value for r in spark.read.text(str(tmp_path / x)).collect()) for x in ("in.mm", "file.mm"))
+    assert got == want and len(got) > 3
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from strandlake.operators.components import shared_folder
+
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf={"spark.master": "spark://host:7077"}))
