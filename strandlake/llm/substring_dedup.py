@@ -161,7 +161,7 @@ def _send_windows(n: int, window: int):
             return spread.packed(0, *[np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64)], n)
         chunk = _Chunk(left, window)
         keys, check, low, _, _ = _windows(chunk, _candidates(chunk, spread.answered(right, 1)))
-        payload = (keys << np.uint64(32)) | check.astype(np.uint64)
+        payload = np.stack([*keys[:, None].view(np.uint32).T, check], axis=1)  # all 96 bits
         tags = low.astype(np.uint32) if len(low) and 0 <= low.min() and low.max() < 2**32 else low
         return spread.packed(left.column("chunk")[0].as_py(), keys, payload, tags, n)
 
@@ -170,14 +170,17 @@ def _send_windows(n: int, window: int):
 
 def _earlier(table: pa.Table) -> pa.Table:
     """1 for each window sent whose smallest document lies in another chunk."""
-    keys, lengths = spread.joined(table.column("keys"), np.uint64)
+    bits, lengths = spread.joined(table.column("keys"), np.uint32)
+    bits, lengths = bits.reshape(-1, 3), lengths // 3
+    keys, check = np.ascontiguousarray(bits[:, :2]).view(np.uint64)[:, 0], bits[:, 2]
     docs = []
     for x, k in zip(table.column("tags").combine_chunks() if table.num_rows else [], lengths, strict=True):
         raw = x.as_buffer()
         docs.append(np.frombuffer(raw, np.uint32 if raw.size == 4 * k else np.int64).astype(np.int64))
     low = _flat(docs, np.int64)
-    order = np.argsort(keys, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
+    order = np.lexsort((check, keys))
+    a, b = keys[order], check[order]
+    begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(keys) else np.zeros(0, np.int64)
     marks = np.zeros(len(keys), np.uint8)
     if len(begin):
         least = np.repeat(np.minimum.reduceat(low[order], begin), np.diff(np.append(begin, len(keys))))
