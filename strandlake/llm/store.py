@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.operators.components import settle as cut
 
-def folder(spark) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine), a folder of the session's own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, read again from a table written to the shared folder: lineage ends there."""
-    spark = frame.sparkSession
-    path = f"{folder(spark)}/strandlake/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+__all__ = ["cut", "remainder"]
 
 
 def remainder(doc_id: Column, n: int) -> Column:
