@@ -32,8 +32,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.components(docs, k=5, percent=80)
     others = found.filter("component_id <> doc_id").select("doc_id").distinct()
     left = docs.join(others, "doc_id", "left_anti")
-    if _repeats(docs):  # rows of one id are one document
-        left = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(left.filter("doc_id IS NULL"))
+    if _repeats(docs):  # rows of one id are one document: the least of them, null before any text
+        least = left.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+        left = least.select("doc_id", "row.*").unionAll(left.filter("doc_id IS NULL").select(*COLUMNS))
     return left.select(*COLUMNS)
 
 
