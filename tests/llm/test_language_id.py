@@ -58,6 +58,6 @@ def test_odd_and_empty_tables(odd, none, docs):
 
 def test_rows_of_one_id_are_sampled_within_the_bound(spark):
     rows = [(1, "ab cd ef gh " * 30, "xx")] * 50 + [(2, "zu zo zi ze " * 30, "yy")]
-    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=4)
+    model = li.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=4)
     assert set(model.samples) == {"xx", "yy"}
-    assert len(model.samples["xx"]) <= 4 * (language_id.SAMPLE_BYTES + 1)
+    assert len(model.samples["xx"]) <= 4 * (li.SAMPLE_BYTES + 1)

@@ -74,5 +74,5 @@ def test_stages_stand_nulls_repeats_and_empty_tables(spark, folder, none, stage)
 def test_of_rows_with_one_id_the_least_stays(spark):
     rows = [(1, "b " * 3, "en", "s", 6), (1, None, "en", "s", None), (1, "a " * 3, "en", "s", 6), (2, "c", None, None, 1), (None, "d", "en", "s", 1), (None, "d", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+    got = sorted(((r.doc_id, r.text) for r in cp.near_copies(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, None), (2, "c"), (None, "d"), (None, "d")], key=str)
