@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from strandlake.llm import decontaminate, html_text, language_id, license_scan, lm_score, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from strandlake.llm import decontaminate, html_text, language_id, lexical_search, license_scan, lm_score, ngram_join, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_lm_scoring": lm_score.op9_lm_scoring,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
 }
 
 ORACLE_SQL = {
     "op4_ngram_jaccard_join": ngram_join.OP4_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
 }
