@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from strandlake.llm import decontaminate, html_text, language_id, lexical_search, license_scan, lm_score, ngram_join, packing, piece_codec, quality_rules, substring_dedup, toxicity
+from strandlake.llm import decontaminate, html_text, language_id, lexical_search, license_scan, lm_score, ngram_join, packing, piece_codec, quality_rules, substring_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_piece_codec": piece_codec.op12_piece_codec,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLE_SQL = {
