@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import nucleotide as nt
+from strandlake.operators import superkmers
 from strandlake.operators.sampling import digest_number
 
 #: Where a fixed-width counter of ten bits stops.
@@ -20,8 +21,8 @@ SKETCH_DEPTH = 4
 def kmers(reads: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = (), stretch: int = STRETCH) -> DataFrame:
     """One row per window of k bases: (kept columns, kmer).  Reads shorter than k give none.
 
-    Reads are first cut into stretches that overlap by k - 1 bases, so no row holds more
-    than ``stretch`` windows.  Windows are cut from the bytes: cutting a string by
+    Reads are first cut into stretches that overlap by k - 1 bases, so no array holds more
+    than ``stretch`` windows; counts of whole tables go by super-k-mers instead.  Windows are cut from the bytes: cutting a string by
     characters walks it from its start each time.
     """
     nt.check_k(k)
@@ -36,14 +37,13 @@ def kmers(reads: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ()
 
 
 def count(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(kmer, cnt) for k-mers as read.  Counted before any shuffle: one k-mer may fill a third of the input."""
-    return kmers(reads, k, seq).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    """(kmer, cnt) for k-mers as read; seq may be any text, whose other bytes count as A."""
+    return superkmers.count(reads, k, seq, canonical=False)
 
 
 def count_canonical(reads: DataFrame, k: int, seq: str = "seq", saturate: int | None = None) -> DataFrame:
-    """(kmer, cnt) with both strands under the lesser k-mer.  Only distinct k-mers are turned round."""
-    once = count(reads, k, seq)
-    both = once.groupBy(nt.canonical(F.col("kmer")).alias("kmer")).agg(F.sum("cnt").alias("cnt"))
+    """(kmer, cnt) with both strands under the lesser k-mer; seq may be any text, whose other bytes count as A."""
+    both = superkmers.count(reads, k, seq)
     return saturated(both, saturate) if saturate is not None else both
 
 

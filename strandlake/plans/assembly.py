@@ -24,7 +24,7 @@ class Assembly:
 
 
 def assemble(reads: DataFrame, k: int, *, saturate: int | None = None, seeds: int | None = None, multigraph: bool = False) -> Assembly:
-    """``reads`` holds encoded reads in seq.  With ``seeds`` only components that the most frequent k-mers reach are kept."""
+    """``reads`` holds reads, encoded or not, in seq.  With ``seeds`` only components that the most frequent k-mers reach are kept."""
     counts = settle(kmers.count_canonical(reads, k, saturate=saturate))
     found = graph.edges(counts, k, multigraph)
     if seeds is not None:

@@ -33,21 +33,21 @@ def query(sql: str | None = None):
     return register
 
 
-def texts(spark: SparkSession, sf_dir: str, table: str, key: str, text: str = "text") -> DataFrame:
-    """A table's texts as encoded reads; a table that comes in fewer parts than there are cores is dealt out first."""
+def texts(spark: SparkSession, sf_dir: str, table: str, key: str, text: str = "text", encode: bool = True) -> DataFrame:
+    """A table's texts as reads, encoded or as they are; a table that comes in fewer parts than there are cores is dealt out first."""
     frame = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, text)
     cores = spark.sparkContext.defaultParallelism
     if frame.rdd.getNumPartitions() < cores:
         frame = frame.repartition(cores)
-    return reads.from_text(frame, text, key)
+    return reads.from_text(frame, text, key) if encode else frame.select(key, F.col(text).alias("seq"))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, "documents", "doc_id")
+def documents(spark: SparkSession, sf_dir: str, encode: bool = True) -> DataFrame:
+    return texts(spark, sf_dir, "documents", "doc_id", encode=encode)
 
 
-def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, "benchmark", "item_id")
+def benchmark(spark: SparkSession, sf_dir: str, encode: bool = True) -> DataFrame:
+    return texts(spark, sf_dir, "benchmark", "item_id", encode=encode)
 
 
 def _encode_sql(text: str) -> str:
@@ -153,32 +153,32 @@ _number = "list_reduce(list_transform(string_split(kmer, ''), lambda x: (strpos(
 
 @query(f"WITH {_counts(11)} SELECT m AS kmer, c::BIGINT AS cnt FROM r")
 def kmer_count(spark, sf_dir):
-    return kmers.count(documents(spark, sf_dir), 11)
+    return kmers.count(documents(spark, sf_dir, encode=False), 11)
 
 
 @query(f"WITH {_counts(11)} SELECT kmer, cnt FROM c")
 def kmer_count_canonical_11(spark, sf_dir):
-    return kmers.count_canonical(documents(spark, sf_dir), 11)
+    return kmers.count_canonical(documents(spark, sf_dir, encode=False), 11)
 
 
 @query(f"WITH {_counts(25)} SELECT kmer, cnt FROM c")
 def kmer_count_canonical_25(spark, sf_dir):
-    return kmers.count_canonical(documents(spark, sf_dir), 25)
+    return kmers.count_canonical(documents(spark, sf_dir, encode=False), 25)
 
 
 @query(f"WITH {_counts(32, 'benchmark', 'item_id')} SELECT kmer, cnt FROM c")
 def kmer_count_canonical_32(spark, sf_dir):
-    return kmers.count_canonical(benchmark(spark, sf_dir), 32)
+    return kmers.count_canonical(benchmark(spark, sf_dir, encode=False), 32)
 
 
 @query(f"WITH {_counts(K)} SELECT kmer, least(cnt, 1023)::BIGINT AS cnt FROM c")
 def kmer_count_saturated(spark, sf_dir):
-    return kmers.count_canonical(documents(spark, sf_dir), K, saturate=kmers.SATURATED)
+    return kmers.count_canonical(documents(spark, sf_dir, encode=False), K, saturate=kmers.SATURATED)
 
 
 @query(f"WITH {_counts(25)} SELECT cnt, count(*)::BIGINT AS n_kmers FROM c GROUP BY cnt")
 def kmer_spectrum(spark, sf_dir):
-    return kmers.spectrum(kmers.count_canonical(documents(spark, sf_dir), 25))
+    return kmers.spectrum(kmers.count_canonical(documents(spark, sf_dir, encode=False), 25))
 
 
 @query(f"WITH {_seqs()} SELECT doc_id, greatest(length(seq) - 24, 0)::BIGINT AS n_kmers FROM s")
@@ -188,7 +188,7 @@ def kmers_per_read(spark, sf_dir):
 
 @query(f"WITH {_counts(25)} SELECT kmer, cnt FROM c ORDER BY cnt DESC, kmer LIMIT {SEEDS}")
 def kmer_seeds(spark, sf_dir):
-    return kmers.seeds(kmers.count_canonical(documents(spark, sf_dir), 25), SEEDS)
+    return kmers.seeds(kmers.count_canonical(documents(spark, sf_dir, encode=False), 25), SEEDS)
 
 
 @query()
@@ -200,28 +200,28 @@ def kmer_seeds_approximate(spark, sf_dir):
 FROM (SELECT z, unnest(range(1, length(z) - {K} + 2)) AS i FROM (SELECT {_encode_sql("text")} AS z FROM benchmark)))
 SELECT q.kmer, coalesce(c.cnt, 0)::BIGINT AS cnt FROM q LEFT JOIN c ON q.kmer = c.kmer""")
 def kmer_lookup(spark, sf_dir):
-    keys = kmers.count_canonical(benchmark(spark, sf_dir), K).select("kmer")
-    return kmers.lookup(keys, kmers.count_canonical(documents(spark, sf_dir), K))
+    keys = kmers.count_canonical(benchmark(spark, sf_dir, encode=False), K).select("kmer")
+    return kmers.lookup(keys, kmers.count_canonical(documents(spark, sf_dir, encode=False), K))
 
 
 @query(f"""WITH {_counts(K)}, q AS (SELECT DISTINCT least(substring(z, i, {K}), {_rc(f"substring(z, i, {K})")}) AS kmer
 FROM (SELECT z, unnest(range(1, length(z) - {K} + 2)) AS i FROM (SELECT {_encode_sql("text")} AS z FROM benchmark)))
 SELECT kmer, cnt FROM c WHERE kmer NOT IN (SELECT kmer FROM q)""")
 def kmer_remove(spark, sf_dir):
-    keys = kmers.count_canonical(benchmark(spark, sf_dir), K)
-    return kmers.remove(kmers.count_canonical(documents(spark, sf_dir), K), keys)
+    keys = kmers.count_canonical(benchmark(spark, sf_dir, encode=False), K)
+    return kmers.remove(kmers.count_canonical(documents(spark, sf_dir, encode=False), K), keys)
 
 
 @query(f"WITH {_counts(K)} SELECT kmer, {_number} AS packed, kmer AS unpacked FROM c")
 def kmer_pack(spark, sf_dir):
-    packed = kmers.count_canonical(documents(spark, sf_dir), K).select("kmer", nt.pack(F.col("kmer"), K).alias("packed"))
+    packed = kmers.count_canonical(documents(spark, sf_dir, encode=False), K).select("kmer", nt.pack(F.col("kmer"), K).alias("packed"))
     return packed.withColumn("unpacked", nt.unpack(F.col("packed"), K))
 
 
 @query(f"WITH {_counts(K)} SELECT kmer, ({_number} % {4**7})::BIGINT AS last7 FROM c")
 def kmer_masks(spark, sf_dir):
     packed = nt.pack(F.col("kmer"), K)
-    return kmers.count_canonical(documents(spark, sf_dir), K).select("kmer", packed.bitwiseAND(F.lit(nt.mask(7))).alias("last7"))
+    return kmers.count_canonical(documents(spark, sf_dir, encode=False), K).select("kmer", packed.bitwiseAND(F.lit(nt.mask(7))).alias("last7"))
 
 
 @query(f"""WITH {_counts(K)}, w AS (SELECT kmer, cnt, 0 AS way, {_draw_sql("kmer", 0)} % {kmers.SKETCH_WIDTH} AS cell FROM c
@@ -229,7 +229,7 @@ def kmer_masks(spark, sf_dir):
 t AS (SELECT way, cell, sum(cnt)::BIGINT AS cnt FROM w GROUP BY way, cell) SELECT kmer, min(t.cnt) AS cnt FROM w JOIN t USING (way, cell) GROUP BY kmer""")
 def kmer_sketch_counts(spark, sf_dir):
     found = documents(spark, sf_dir)
-    return kmers.sketch_lookup(kmers.count_canonical(found, K), kmers.sketch(found, K))
+    return kmers.sketch_lookup(kmers.count_canonical(documents(spark, sf_dir, encode=False), K), kmers.sketch(found, K))
 
 
 @query(f"WITH {_counts(11)} SELECT kmer, cnt FROM c")
@@ -244,13 +244,13 @@ def kmer_count_streamed(spark, sf_dir):
 
 @query(f"WITH {_counts(11)} SELECT kmer, cnt FROM c WHERE substring(kmer, 1, 10) = substring(kmer, 2) OR substring(kmer, 1, 9) = substring(kmer, 3) OR substring(kmer, 1, 8) = substring(kmer, 4)")
 def kmer_low_period(spark, sf_dir):
-    return kmers.count_canonical(documents(spark, sf_dir), 11).filter(nt.low_period(F.col("kmer"), 11))
+    return kmers.count_canonical(documents(spark, sf_dir, encode=False), 11).filter(nt.low_period(F.col("kmer"), 11))
 
 
 @query(f"""WITH {_counts(11)}, b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x)
 SELECT kmer, 'out' AS side, concat(substring(kmer, 2), x) AS neighbour FROM c, b UNION ALL SELECT kmer, 'in', concat(x, substring(kmer, 1, 10)) FROM c, b""")
 def kmer_neighbours(spark, sf_dir):
-    found = kmers.count_canonical(documents(spark, sf_dir), 11)
+    found = kmers.count_canonical(documents(spark, sf_dir, encode=False), 11)
     sides = (("out", nt.out_neighbours(F.col("kmer"))), ("in", nt.in_neighbours(F.col("kmer"), 11)))
     out, into = (found.select("kmer", F.lit(name).alias("side"), F.explode(near).alias("neighbour")) for name, near in sides)
     return out.unionAll(into)
@@ -260,7 +260,7 @@ def kmer_neighbours(spark, sf_dir):
 
 
 def _graph(spark, sf_dir, k: int = K) -> tuple[DataFrame, DataFrame]:
-    counts = settle(kmers.count_canonical(documents(spark, sf_dir), k))
+    counts = settle(kmers.count_canonical(documents(spark, sf_dir, encode=False), k))
     return counts, graph.edges(counts, k)
 
 
@@ -309,20 +309,20 @@ def graph_node_ids(spark, sf_dir):
 
 @query(f"WITH {_edges(K)} SELECT \"row\", col, val FROM x")
 def graph_matrix(spark, sf_dir):
-    return assemble(documents(spark, sf_dir), K).matrix
+    return assemble(documents(spark, sf_dir, encode=False), K).matrix
 
 
 @query(f"""WITH {_edges(K)} SELECT '{matrices.BANNER}' AS line UNION ALL SELECT concat((SELECT count(*) FROM n), ' ', (SELECT count(*) FROM n), ' ', (SELECT count(*) FROM e))
 UNION ALL SELECT concat("row", ' ', col, ' ', val) FROM x""")
 def matrix_market_file(spark, sf_dir):
-    found = assemble(documents(spark, sf_dir), K)
+    found = assemble(documents(spark, sf_dir, encode=False), K)
     return matrices.matrix_market_lines(found.matrix, found.size()).select("line")
 
 
 @query(f"""WITH {_edges(K)}, p AS (SELECT col, count(*) AS k FROM x GROUP BY col), j AS (SELECT unnest(range(1, (SELECT count(*) FROM n) + 2)) AS col)
 SELECT j.col, (1 + coalesce(sum(coalesce(p.k, 0)) OVER (ORDER BY j.col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS ptr FROM j LEFT JOIN p ON p.col = j.col""")
 def harwell_boeing_pointers(spark, sf_dir):
-    found = assemble(documents(spark, sf_dir), K)
+    found = assemble(documents(spark, sf_dir, encode=False), K)
     return matrices.column_pointers(found.matrix, found.size())
 
 
@@ -341,7 +341,7 @@ UNION ALL SELECT 1, col, 0, {_wide("ptr::BIGINT", 11)} FROM q
 UNION ALL SELECT 2, col, "row", {_wide('"row"', 11)} FROM x
 UNION ALL SELECT 3, col, "row", {_wide("val", 9)} FROM x""")
 def harwell_boeing_file(spark, sf_dir):
-    found = assemble(documents(spark, sf_dir), K)
+    found = assemble(documents(spark, sf_dir, encode=False), K)
     return matrices.harwell_boeing_lines(found.matrix, found.size()).select("section", "a", "b", "line")
 
 
@@ -355,7 +355,7 @@ _BENCH_GRAPH = _edges(11, "benchmark", "item_id")
 @query(f"""WITH RECURSIVE {_BENCH_GRAPH}, g AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e){_LEAST}
 SELECT (row_number() OVER (ORDER BY least_vertex) - 1)::BIGINT AS component, count(*)::BIGINT AS size FROM t GROUP BY least_vertex""")
 def component_sizes(spark, sf_dir):
-    counts = settle(kmers.count_canonical(benchmark(spark, sf_dir), 11))
+    counts = settle(kmers.count_canonical(benchmark(spark, sf_dir, encode=False), 11))
     return graph.component_sizes(settle(graph.edges(counts, 11)))
 
 
@@ -363,7 +363,7 @@ def component_sizes(spark, sf_dir):
 g AS (SELECT a, b FROM h UNION SELECT b, a FROM h){_LEAST}
 SELECT (row_number() OVER (ORDER BY least_vertex) - 1)::BIGINT AS component, count(*)::BIGINT AS size FROM t GROUP BY least_vertex""")
 def component_sizes_canonical(spark, sf_dir):
-    counts = settle(kmers.count_canonical(benchmark(spark, sf_dir), 11))
+    counts = settle(kmers.count_canonical(benchmark(spark, sf_dir, encode=False), 11))
     return graph.component_sizes(settle(graph.edges(counts, 11)), "canonical")
 
 
@@ -372,21 +372,21 @@ g AS (SELECT a, b FROM h UNION SELECT b, a FROM h){_LEAST},
 z AS (SELECT kmer FROM c ORDER BY cnt DESC, kmer LIMIT {SEEDS})
 SELECT e.u, e.v, e.w FROM e JOIN t ON t.vertex = least(e.u, {_rc("e.u")}) WHERE t.least_vertex IN (SELECT least_vertex FROM t JOIN z ON z.kmer = t.vertex)""")
 def seed_reachable(spark, sf_dir):
-    counts = settle(kmers.count_canonical(benchmark(spark, sf_dir), 11))
+    counts = settle(kmers.count_canonical(benchmark(spark, sf_dir, encode=False), 11))
     return graph.reachable(settle(graph.edges(counts, 11)), kmers.seeds(counts, SEEDS))
 
 
 @query(f"""WITH RECURSIVE {_BENCH_GRAPH}, g AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e){_LEAST}
 SELECT (count(DISTINCT least_vertex) + (SELECT count(*) FROM o) - count(*))::BIGINT AS components FROM t""")
 def component_count(spark, sf_dir):
-    counts = settle(kmers.count_canonical(benchmark(spark, sf_dir), 11))
+    counts = settle(kmers.count_canonical(benchmark(spark, sf_dir, encode=False), 11))
     strands = F.when(F.col("kmer") == nt.reverse_complement(F.col("kmer")), 1).otherwise(2)
     return graph.component_count(settle(graph.edges(counts, 11)), counts.agg(F.sum(strands).alias("n")))
 
 
 @query(f"""WITH {_edges(K)} SELECT u, v, row_number() OVER (ORDER BY w DESC, {_draw_sql("concat_ws(':', '7', u, v)")}, u, v) - 1 AS pos FROM e""")
 def edge_shuffle(spark, sf_dir):
-    return curve.ordered(assemble(documents(spark, sf_dir), K).edges, seed=7)
+    return curve.ordered(assemble(documents(spark, sf_dir, encode=False), K).edges, seed=7)
 
 
 @query(f"""WITH RECURSIVE {_BENCH_GRAPH}, p AS MATERIALIZED (SELECT "row" AS u, col AS v, row_number() OVER (ORDER BY val DESC, "row", col) - 1 AS pos FROM x),
@@ -399,7 +399,7 @@ t(pos, vertex, least_vertex) USING KEY (pos, vertex) AS (
    WHERE t.least_vertex < now.least_vertex GROUP BY g.pos, g.b))
 SELECT pos, count(DISTINCT least_vertex)::BIGINT AS components FROM t GROUP BY pos""")
 def expansion_curve(spark, sf_dir):
-    found = assemble(benchmark(spark, sf_dir), 11)
+    found = assemble(benchmark(spark, sf_dir, encode=False), 11)
     return curve.expansion_curve(found.matrix, 100, u="row", v="col", w="val")
 
 
@@ -436,7 +436,7 @@ q AS (SELECT kmer, {_KMER_VALUE} AS h, 0::UHUGEINT AS y, 0::UHUGEINT AS z, {", "
 SELECT kmer, (CASE WHEN h >= {2**63}::UHUGEINT THEN h::HUGEINT - {2**64}::HUGEINT ELSE h::HUGEINT END)::BIGINT AS hash, (h & {hashing.FINGERPRINT_MASK}::UHUGEINT)::BIGINT AS fingerprint,
 {", ".join(f"bucket_{i}" for i in range(hashing.BUCKET_WAYS))} FROM {_after("q", *_WANG, *_WAYS)}""")
 def kmer_hashes(spark, sf_dir):
-    packed = kmers.count_canonical(benchmark(spark, sf_dir), 25).select("kmer", nt.pack(F.col("kmer"), 25).alias("packed"))
+    packed = kmers.count_canonical(benchmark(spark, sf_dir, encode=False), 25).select("kmer", nt.pack(F.col("kmer"), 25).alias("packed"))
     hashed = packed.withColumn("hash", hashing.kmer_hash(F.col("packed")))
     placed = hashed.withColumn("buckets", hashing.buckets(F.col("hash"), _BUCKETS))
     return placed.select("kmer", "hash", hashing.fingerprint(F.col("hash")).alias("fingerprint"), *[F.col("buckets")[i].alias(f"bucket_{i}") for i in range(hashing.BUCKET_WAYS)])
@@ -509,7 +509,7 @@ def fastq_round_trip(spark, sf_dir):
 
 @query(f"WITH {_edges(K)} SELECT \"row\", col, val FROM x")
 def matrix_market_round_trip(spark, sf_dir):
-    found = assemble(documents(spark, sf_dir), K)
+    found = assemble(documents(spark, sf_dir, encode=False), K)
     path = _scratch(spark, "mm")
     matrices.write_matrix(found.matrix, found.size(), path)
     return matrices.read_matrix_market(spark, path)[0]
