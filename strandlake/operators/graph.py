@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import nucleotide as nt
+from strandlake.operators import prefix
 from strandlake.operators.components import connected_components, settle
 
 
@@ -77,20 +78,15 @@ def nodes(edge_frame: DataFrame) -> DataFrame:
 def dense_ids(frame: DataFrame, key: str, first: int = 1) -> DataFrame:
     """The rows with id = first, first + 1, ... in the order of a distinct key.
 
-    Rows are dealt by ranges of the key and numbered within each; only the sizes of the
-    ranges, one number a partition, pass through the driver.
+    Rows are dealt by ranges of the key and numbered within each; the ranges' sizes are
+    summed up in tasks, so nothing passes through the driver.
     """
-    spark = frame.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = settle(frame.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()))
-    sizes = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())
-    ahead, starts = first, []
-    for part, size in sizes:
-        starts.append((part, ahead))
-        ahead += size
-    before = spark.createDataFrame(starts or [(0, first)], "_part int, _ahead bigint")
+    before = prefix.ahead(dealt.groupBy(F.col("_part").alias("block")).agg(F.count(F.lit(1)).alias("total")), n)
     number = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return dealt.withColumn("_n", number).join(F.broadcast(before), "_part").withColumn("id", F.col("_ahead") + F.col("_n") - 1).drop("_part", "_n", "_ahead")
+    numbered = dealt.withColumn("_n", number).join(before.withColumnRenamed("block", "_part"), "_part")
+    return numbered.withColumn("id", F.col("ahead") + F.col("_n") + (first - 1)).drop("_part", "_n", "ahead")
 
 
 def node_ids(edge_frame: DataFrame) -> DataFrame:

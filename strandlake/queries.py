@@ -403,6 +403,21 @@ def expansion_curve(spark, sf_dir):
     return curve.expansion_curve(found.matrix, 100, u="row", v="col", w="val")
 
 
+_DOC_GRAPH = _edges(K)
+
+
+@query(f"""WITH RECURSIVE {_DOC_GRAPH}, g AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e){_LEAST}
+SELECT (row_number() OVER (ORDER BY least_vertex) - 1)::BIGINT AS component, count(*)::BIGINT AS size FROM t GROUP BY least_vertex""")
+def component_sizes_documents(spark, sf_dir):
+    return graph.component_sizes(settle(_graph(spark, sf_dir)[1]))
+
+
+@query()  # tests compare curves with a recount for each prefix; in SQL that takes minutes on this graph
+def expansion_curve_documents(spark, sf_dir):
+    found = assemble(documents(spark, sf_dir, encode=False), K)
+    return curve.expansion_curve(found.matrix, 25_000, u="row", v="col", w="val")
+
+
 # ---- hashes
 
 _ALL = "18446744073709551615::UHUGEINT"

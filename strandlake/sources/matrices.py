@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators import prefix
+
 BANNER = "%%MatrixMarket matrix coordinate integer general"
 TITLE = "adjacency matrix of an overlap graph of k-mers"
 # A fixed value: the label in the first card of the files that users of such tools have.
@@ -34,16 +36,10 @@ def matrix_market_lines(matrix: DataFrame, n: int) -> DataFrame:
 
 def column_pointers(matrix: DataFrame, n: int) -> DataFrame:
     """(col, ptr) for col = 1 .. n + 1: one more than the entries in the columns before it."""
-    spark = matrix.sparkSession
     per = matrix.groupBy("col").agg(F.count("*").alias("c"))
-    size = 1 << 16
-    every = spark.range(1, n + 2).withColumnRenamed("id", "col").join(per, "col", "left").select("col", F.coalesce("c", F.lit(0)).alias("c"), F.floor(F.col("col") / size).alias("block"))
-    sums, ahead, starts = sorted((r["block"], r["c"]) for r in every.groupBy("block").agg(F.sum("c").alias("c")).collect()), 0, []
-    for block, c in sums:
-        starts.append((block, ahead))
-        ahead += c
-    before = spark.createDataFrame(starts, "block bigint, ahead bigint")
-    return every.join(F.broadcast(before), "block").select("col", (1 + F.col("ahead") + F.expr("sum(c) over (partition by block order by col) - c")).cast("bigint").alias("ptr"))
+    every = matrix.sparkSession.range(1, n + 2).withColumnRenamed("id", "col").join(per, "col", "left").select("col", F.coalesce("c", F.lit(0)).alias("c"))
+    summed = prefix.running(every.withColumn("place", F.col("col") - 1), "place", "c", n + 1)
+    return summed.select("col", (1 + F.col("running") - F.col("c")).cast("bigint").alias("ptr"))
 
 
 def harwell_boeing_lines(matrix: DataFrame, n: int) -> DataFrame:
