@@ -1,7 +1,7 @@
 """Exact k-mer counts by super-k-mers dealt by minimiser, on two-bit packed keys.
 
 The minimiser of a k-mer is the least of its m-mers, both strands alike, in the order of a
-mixed number.  Neighbouring k-mers of a read mostly share theirs, and such a stretch of up
+mixed number in which the m-mer of A alone, what most of a text reads as, comes last.  Neighbouring k-mers of a read mostly share theirs, and such a stretch of up
 to ``MOST`` k-mers, a super-k-mer, is one row of a packed first k-mer and the few bases
 after it: about two bytes a k-mer instead of the k-mer's own length.  Tasks add up the
 super-k-mers they repeat before anything is sent, so a k-mer that fills a third of the
@@ -102,7 +102,7 @@ def super_kmers(codes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarr
         return none, none, none.astype(np.int32)
     m = minimiser_length(k)
     forward, back = windows(codes, m), windows(3 - codes, m, backwards=True)
-    least = least_in(mixed(np.minimum(forward, back)), k - m + 1)
+    least = least_in(~mixed(np.minimum(forward, back)), k - m + 1)  # all A, which mixes to 0, comes last
     n = len(least)
     within = np.ones(n, bool)  # windows over the end of a read are none
     edge = starts[1:]
