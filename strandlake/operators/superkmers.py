@@ -1,7 +1,8 @@
 """Exact k-mer counts by super-k-mers dealt by minimiser, on two-bit packed keys.
 
-The minimiser of a k-mer is the least of its m-mers, both strands alike, in the order of a
-mixed number in which the m-mer of A alone, what most of a text reads as, comes last.  Neighbouring k-mers of a read mostly share theirs, and such a stretch of up
+The minimiser of a k-mer is the first of its m-mers, both strands alike, in an order that
+is mixed but for runs of one base and the like: these stand in every third k-mer of some
+inputs, and are chosen only where there is nothing else.  Neighbouring k-mers of a read mostly share theirs, and such a stretch of up
 to ``MOST`` k-mers, a super-k-mer, is one row of a packed first k-mer and the few bases
 after it: about two bytes a k-mer instead of the k-mer's own length.  Tasks add up the
 super-k-mers they repeat before anything is sent, so a k-mer that fills a third of the
@@ -52,6 +53,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def ranked(x: np.ndarray, m: int) -> np.ndarray:
+    """A number for each packed m-mer by which minimisers are chosen: those that change their base less than three times come last."""
+    differs = x ^ (x >> np.uint64(2))
+    changes = np.minimum(np.bitwise_count((differs | (differs >> np.uint64(1))) & np.uint64(0x5555555555555555 & nt.mask(m) >> 2)).astype(np.uint64), 3)
+    return ((np.uint64(32) - changes) << np.uint64(58)) | (mixed(x) >> np.uint64(6))
+
+
 def windows(codes: np.ndarray, k: int, backwards: bool = False) -> np.ndarray:
     """The k codes from each place on as one number, first code highest (or lowest), by doubling the width."""
     out, width = None, 0
@@ -102,7 +110,7 @@ def super_kmers(codes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarr
         return none, none, none.astype(np.int32)
     m = minimiser_length(k)
     forward, back = windows(codes, m), windows(3 - codes, m, backwards=True)
-    least = least_in(~mixed(np.minimum(forward, back)), k - m + 1)  # all A, which mixes to 0, comes last
+    least = least_in(ranked(np.minimum(forward, back), m), k - m + 1)
     n = len(least)
     within = np.ones(n, bool)  # windows over the end of a read are none
     edge = starts[1:]
