@@ -1,4 +1,4 @@
-"""File listing and first bytes by Hadoop's file systems, so that any store Spark reads will do."""
+"""File listing and spooling by Hadoop's file systems, so that any store Spark reads will do."""
 
 from __future__ import annotations
 
@@ -37,25 +37,3 @@ def spooled(spark: SparkSession, stream: BinaryIO, path: str, block: int = 1 <<
     finally:
         out.close()
     return path
-
-
-def first_byte(spark: SparkSession, path: str) -> int:
-    """-1 for an empty file."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
-    try:
-        return stream.read()
-    finally:
-        stream.close()
-
-
-def last_byte(spark: SparkSession, path: str, size: int) -> int:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
-    try:
-        if not size:
-            return -1
-        stream.seek(size - 1)
-        return stream.read()
-    finally:
-        stream.close()

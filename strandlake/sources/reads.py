@@ -8,16 +8,14 @@ carriage returns (which encode as A).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.nucleotide import encode
-from strandlake.sources.files import first_byte, last_byte, listed
+from strandlake.operators.components import settle
+from strandlake.sources import splits
+from strandlake.sources.files import listed
 
-#: FASTQ files up to this size are read whole, one in a task; larger ones are split by line number.
-WHOLE_BYTES = 64 << 20
 EXTENSIONS = {"fa": "fasta", "fasta": "fasta", "fna": "fasta", "ffn": "fasta", "fq": "fastq", "fastq": "fastq"}
 
 
@@ -32,73 +30,44 @@ def _fasta_record(record: Column, compat: bool) -> list[Column]:
     if not compat:
         head = F.regexp_replace(head, "\r$", "")
     drop = "[\n ]" if compat else "[\n\r ]"
-    return [head.alias("id1"), F.regexp_replace(body, drop, "").alias("seq"), F.lit("").alias("id2"), F.lit("").alias("qual")]
+    return [head.alias("id1"), F.regexp_replace(body, drop, "").alias("seq")]
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], compat: bool = False) -> DataFrame:
     """Records begin with a > at a line's start; what stands before the first is ignored.
 
-    Files that begin with > are split anywhere between records.  Others are read whole,
-    since only the start of the file tells their first lines from a record; so is every
-    file under ``compat``, which has to know the last record.  There an empty header adds
-    its sequence to the next record's.
+    Files are split anywhere between records.  The first row of a file is told by its place,
+    so that it is dropped if it doesn't begin with >.  Under ``compat`` the last record
+    of each file is left out, and an empty header adds its sequence to the next record's.
+    """
+    files = [f for f, n in listed(spark, paths) if n]
+    if not files:
+        return _empty(spark)
+    rows = splits.firsts(splits.rows(spark, files, "\n>")).filter(F.col("value").startswith(">") | ~F.col("first"))
+    record = F.when(F.col("first"), F.expr("substring(value, 2)")).otherwise(F.col("value"))
+    found = rows.withColumn("record", record).select(*splits.PLACE, *_fasta_record(F.col("record"), compat))
+    if compat:
+        found = settle(found)
+        last = found.groupBy("file").agg(F.max(F.struct("block", "at")).alias("last")).select("file", "last.block", "last.at")
+        found = splits.carried(found.join(last, splits.PLACE, "left_anti"))
+    return found.select("id1", "seq", F.lit("").alias("id2"), F.lit("").alias("qual"))
+
+
+def read_fastq(spark: SparkSession, paths: str | list[str], compat: bool = False) -> DataFrame:
+    """Records are four lines each, by position: a quality line may begin with @.  A record cut short is dropped.
+
+    Files are split anywhere between lines; a first pass counts the lines of the splits.
     """
-    files = listed(spark, paths)
-    clean = [f for f, n in files if n and not compat and first_byte(spark, f) == ord(">")]
-    others = [f for f, n in files if n and f not in set(clean)]
-    parts = []
-    if clean:
-        rows = spark.read.option("lineSep", "\n>").text(clean)
-        parts.append(rows.select(F.regexp_replace("value", "^>", "").alias("record")).select(*_fasta_record(F.col("record"), compat)))
-    if others:
-        rows = spark.read.text(others, wholetext=True).filter("value like '>%' or instr(value, '\n>') > 0")
-        text = F.when(F.col("value").startswith(">"), F.expr("substring(value, 2)")).otherwise(F.expr("substring(value, instr(value, '\n>') + 2)"))
-        records = F.split(text, "\n>")
-        if not compat:
-            parts.append(rows.select(F.explode(records).alias("record")).select(*_fasta_record(F.col("record"), compat)))
-        else:
-            one = F.transform(records, lambda r: F.struct(F.substring_index(r, "\n", 1).alias("id1"), F.when(F.instr(r, "\n") > 0, F.regexp_replace(F.substr(r, F.instr(r, F.lit("\n")) + 1), "[\n ]", "")).otherwise("").alias("seq")))
-            start = F.struct(F.array().cast("array<struct<id1:string,seq:string>>").alias("done"), F.lit("").alias("held"))
-
-            def step(acc, r):
-                whole = F.concat(acc["held"], r["seq"])
-                named = F.length(r["id1"]) > 0
-                done = F.when(named, F.concat(acc["done"], F.array(F.struct(r["id1"].alias("id1"), whole.alias("seq"))))).otherwise(acc["done"])
-                return F.struct(done.alias("done"), F.when(named, F.lit("")).otherwise(whole).alias("held"))
-
-            merged = F.aggregate(F.slice(one, 1, F.greatest(F.size(one) - 1, F.lit(0))), start, step, lambda acc: acc["done"])
-            parts.append(rows.select(F.inline(merged)).select("id1", "seq", F.lit("").alias("id2"), F.lit("").alias("qual")))
-    return reduce(DataFrame.unionAll, parts) if parts else _empty(spark)
-
-
-def read_fastq(spark: SparkSession, paths: str | list[str], compat: bool = False, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """Records are four lines each, by position: a quality line may begin with @.  A record cut short is dropped."""
-    files = listed(spark, paths)
-    small = [f for f, n in files if 0 < n <= whole_bytes]
-    parts = []
-    if small:
-        value = F.col("value") if compat else F.regexp_replace("value", "\r\n", "\n")
-        if compat:  # without a last newline the last line, and so its record, isn't there
-            value = F.when(value.endswith("\n"), value).otherwise(F.concat(F.regexp_replace(value, "[^\n]*\\z", "")))
-        lines = F.split(F.regexp_replace(value, "\n\\z", ""), "\n")
-        rows = spark.read.text(small, wholetext=True).select(lines.alias("lines")).filter("size(lines) >= 4")
-        records = F.transform(
-            F.sequence(F.lit(0), F.floor(F.size("lines") / 4).cast("int") - 1),
-            lambda i: F.struct(*[F.element_at("lines", i * 4 + j).alias(c) for j, c in enumerate(("id1", "seq", "id2", "qual"), 1)]),
-        )
-        parts.append(rows.select(F.inline(records)))
-    for path, n in files:
-        if n > whole_bytes:
-            numbered = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().toDF("line string, at bigint")
-            if compat and last_byte(spark, path, n) != ord("\n"):
-                numbered = numbered.filter(F.col("at") < numbered.count() - 1)
-            line = F.col("line") if compat else F.regexp_replace("line", "\r$", "")
-            fields = [F.max(F.when(F.col("at") % 4 == j, line)).alias(c) for j, c in enumerate(("id1", "seq", "id2", "qual"))]
-            parts.append(numbered.groupBy(F.floor(F.col("at") / 4).alias("record")).agg(*fields).filter("qual IS NOT NULL").drop("record"))
-    if not parts:
+    files = [f for f, n in listed(spark, paths) if n]
+    if not files:
         return _empty(spark)
-    found = reduce(DataFrame.unionAll, parts)
-    return found.select(F.regexp_replace("id1", "^@", "").alias("id1"), "seq", F.regexp_replace("id2", "^\\+", "").alias("id2"), "qual")
+    lines = splits.numbered_lines(spark, files)
+    if compat:  # without a last newline the last line, and so its record, isn't there
+        lines = lines.filter("ended OR line < lines - 1")
+    else:
+        lines = lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
+    found = splits.line_groups(lines, 4)
+    return found.select(F.regexp_replace("l0", "^@", "").alias("id1"), F.col("l1").alias("seq"), F.regexp_replace("l2", "^\\+", "").alias("id2"), F.col("l3").alias("qual"))
 
 
 def read(spark: SparkSession, paths: str | list[str], fmt: str | None = None, compat: bool = False) -> DataFrame:

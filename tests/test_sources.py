@@ -38,9 +38,8 @@ def test_fastq(spark, tmp_path):
     text = "@r1\nACGT\n+r1\n@III\n@r2\nGG\n+\nII"
     path = put(tmp_path, "a.fq", text)
     both = [("r1", "ACGT", "r1", "@III"), ("r2", "GG", "", "II")]
-    for whole in (reads.WHOLE_BYTES, 0):  # read whole, or by line numbers
-        assert rows(reads.read_fastq(spark, path, whole_bytes=whole), "id1", "seq", "id2", "qual") == both
-        assert rows(reads.read_fastq(spark, path, compat=True, whole_bytes=whole), "id1", "seq", "id2", "qual") == both[:1]
+    assert rows(reads.read_fastq(spark, path), "id1", "seq", "id2", "qual") == both
+    assert rows(reads.read_fastq(spark, path, compat=True), "id1", "seq", "id2", "qual") == both[:1]
 
 
 def test_missing_files_and_formats(spark, tmp_path):
