@@ -7,12 +7,21 @@ k-mer as its weight.  The (k+1)-mer itself need not occur.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import nucleotide as nt
 from strandlake.operators import prefix
-from strandlake.operators.components import connected_components, settle
+from strandlake.operators.components import connected_components, settle, shared_folder
+
+#: Folders that neighbours are kept in by a hash of the k-mer, for each shuffle partition.
+FOLDERS = 4
+#: Steps of a search from seeds, and the share of all k-mers it may have reached, before components finish it.
+FRONTIER_ROUNDS = 32
+FRONTIER_SHARE = 1 / 16
 
 
 def oriented(counts: DataFrame) -> DataFrame:
@@ -130,9 +139,48 @@ def component_count(edge_frame: DataFrame, n_vertices: DataFrame | None = None,
     return found.crossJoin(n_vertices.select("n")).select((F.col("components") + F.col("n") - F.col("touched")).alias("components"))  # one row each
 
 
-def reachable(edge_frame: DataFrame, seeds: DataFrame) -> DataFrame:
+def reachable(edge_frame: DataFrame, seeds: DataFrame, rounds: int = FRONTIER_ROUNDS, share: float = FRONTIER_SHARE) -> DataFrame:
     """Edges of the components that hold a seed; seeds are canonical k-mers and reach along both strands."""
-    found = settle(vertex_components(edge_frame, "canonical"))
-    held = found.join(seeds.select("kmer"), "kmer", "left_semi").select("component").distinct()
-    inside = found.join(held, "component", "left_semi").select(F.col("kmer").alias("c"))
+    inside = reached(edge_frame, seeds, rounds, share).select(F.col("kmer").alias("c"))
     return edge_frame.withColumn("c", nt.canonical(F.col("u"))).join(inside, "c", "left_semi").drop("c")
+
+
+def reached(edge_frame: DataFrame, seeds: DataFrame, rounds: int = FRONTIER_ROUNDS, share: float = FRONTIER_SHARE) -> DataFrame:
+    """(kmer): the canonical k-mers on an edge that a path joins with a seed, seeds included.
+
+    A frontier moves out from the seeds.  Neighbours are kept in folders by a hash of the
+    k-mer, and a round reads those of its frontier's hashes only, so it costs what it
+    reaches.  What a round finds lies one step on, in the frontier or one step back: the
+    visited that it leaves out are the last two frontiers.  Frontiers that still move
+    after ``rounds``, or have reached more than ``share`` of all k-mers, are past
+    what single steps are for: the components of what isn't visited yet finish the search.
+    """
+    spark, ends = edge_frame.sparkSession, [nt.canonical(F.col(c)) for c in "uv"]
+    one_way = edge_frame.select(ends[0].alias("a"), ends[1].alias("b"))
+    n = FOLDERS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near_path = f"{shared_folder(spark)}/rounds/{uuid.uuid4().hex}"
+    near = one_way.unionAll(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("p", _folder("a", n))
+    near.repartition("p").write.partitionBy("p").parquet(near_path)
+    near = spark.read.schema("a string, b string, p int").parquet(near_path)
+    total = near.select("a").distinct().count()
+    frontier = settle(near.join(seeds.select(F.col("kmer").alias("a")), "a", "left_semi").select(F.col("a").alias("kmer")).distinct())
+    before, levels, seen = frontier.limit(0), [frontier], frontier.count()
+    for _ in range(rounds):
+        if seen > share * total:
+            break
+        folders = [r.p for r in frontier.select(_folder("kmer", n).alias("p")).distinct().collect()]  # as many as there are folders at most
+        if not folders:
+            return reduce(DataFrame.unionAll, levels)
+        step = near.filter(F.col("p").isin(folders)).join(frontier.withColumnRenamed("kmer", "a"), "a", "left_semi").select(F.col("b").alias("kmer")).distinct()
+        before, frontier = frontier, settle(step.join(frontier, "kmer", "left_anti").join(before, "kmer", "left_anti"))
+        levels.append(frontier)
+        seen += frontier.count()
+    done = reduce(DataFrame.unionAll, levels[:-1], levels[-1].limit(0))
+    rest = near.select("a", "b").join(done.withColumnRenamed("kmer", "a"), "a", "left_anti").join(done.withColumnRenamed("kmer", "b"), "b", "left_anti")
+    found = settle(connected_components(rest.select("a", "b"), "a", "b").select(F.col("vertex").alias("kmer"), "component"))
+    held = found.join(frontier, "kmer", "left_semi").select("component").distinct()
+    return done.unionAll(frontier).unionAll(found.join(held, "component", "left_semi").select("kmer")).distinct()
+
+
+def _folder(kmer: str, n: int):
+    return F.pmod(F.xxhash64(kmer), F.lit(n)).cast("int")
