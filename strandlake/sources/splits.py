@@ -91,11 +91,12 @@ def _groups(width: int):
 def line_groups(lines: DataFrame, width: int) -> DataFrame:
     """(l0, l1, ...): each ``width`` lines of a file, by number; a last group that is cut short is dropped.
 
-    Only lines of groups that lie over the ends of batches and splits are exchanged.
+    Only lines of groups that lie over the ends of batches and splits are exchanged; the files are read
+    once more for these, as a table of all lines would take more disk than a reading takes time.
     """
     names = [f"l{j}" for j in range(width)]
     schema = ", ".join(["file string, record long", *[f"{c} string" for c in names], "whole boolean"])
-    found = settle(lines.select("file", "line", "value").mapInArrow(_groups(width), schema))
+    found = lines.select("file", "line", "value").mapInArrow(_groups(width), schema)
     cut = found.filter("NOT whole").groupBy("file", "record").agg(*[F.max(c).alias(c) for c in names])
     return found.filter("whole").select(*names).unionAll(cut.filter(f"{names[-1]} IS NOT NULL").select(*names))
 
