@@ -146,6 +146,13 @@ def hamming_offset(spark, sf_dir):
     return found.select("item_id", miss.cast("int").alias("miss"), nt.mismatches(F.col("q"), seq, F.lit(5), 10).cast("int").alias("miss10"))
 
 
+@query(f"""WITH {_seqs("benchmark", "item_id")}, p AS (SELECT item_id, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS q, unnest(range(1, length(seq) + 1)) AS i FROM s)
+SELECT item_id, sum((substring(q, i, 1) <> substring(seq, i + 3, 1))::INT)::INT AS miss FROM p GROUP BY item_id""")
+def hamming_whole(spark, sf_dir):
+    seq = F.col("seq")
+    return benchmark(spark, sf_dir).filter(F.length(seq) > 0).select("item_id", nt.mismatches(nt.reverse_complement(seq), seq, F.lit(3)).cast("int").alias("miss"))
+
+
 # ---- k-mers
 
 _number = "list_reduce(list_transform(string_split(kmer, ''), lambda x: (strpos('ACGT', x) - 1)::BIGINT), lambda a, b: a * 4 + b)"
