@@ -6,9 +6,11 @@ Packed k-mers go in as DECIMAL(20,0) or BIGINT; 64-bit results come out as signe
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,11 +116,15 @@ def murmur3_many(texts: list[bytes], seed: int = MURMUR_SEED) -> np.ndarray:
     return out
 
 
+# Fixed value: the polynomial of ECMA-182, reflected.
+_POLYNOMIAL = 0xC96C5795D7870F42
+
+
 def _crc_table() -> list[int]:
     table = []
     for n in range(256):
         for _ in range(8):
-            n = n >> 1 ^ (0xC96C5795D7870F42 if n & 1 else 0)
+            n = n >> 1 ^ (_POLYNOMIAL if n & 1 else 0)
         table.append(n)
     return table
 
@@ -151,6 +157,48 @@ def crc64_many(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+# Checksums are remainders of polynomials over GF(2), the highest bit being the coefficient of x^0.
+_ONE = 1 << 63
+
+
+def _times(a: int, b: int) -> int:
+    out = 0
+    for bit in range(63, -1, -1):
+        out ^= b if a >> bit & 1 else 0
+        b = b >> 1 ^ (_POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+@cache
+def _shift_tables(back: bool) -> np.ndarray:
+    """[k, j, v]: the byte v at place j times x^(8 * 2^k), or divided by it if ``back``: 1 MB."""
+    power = (_ONE ^ _POLYNOMIAL) << 1 & 2**64 - 1 | 1 if back else _ONE >> 1
+    for _ in range(3):
+        power = _times(power, power)
+    out = np.zeros((63, 8, 256), np.uint64)
+    for k in range(63):
+        bits = np.array([_times(1 << i, power) for i in range(64)], np.uint64).reshape(8, 8)
+        for bit in range(8):  # a byte's products are those of its bits, added up
+            out[k, :, 1 << bit : 2 << bit] = out[k, :, : 1 << bit] ^ bits[:, bit, None]
+        power = _times(power, power)
+    return out
+
+
+def crc64_shift(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Checksums, unsigned, times x^(8 n), n signed: what they add to the checksum of a text that goes on for n bytes."""
+    crc, far = crc.astype(np.uint64), np.abs(n)
+    for back in (False, True):
+        side = n < 0 if back else n > 0
+        for k in range(int(far[side].max()).bit_length() if side.any() else 0):
+            at = np.flatnonzero(side & (far >> k & 1).astype(bool))
+            tables, old = _shift_tables(back)[k], crc[at]
+            new = np.zeros(len(at), np.uint64)
+            for j in range(8):
+                new ^= tables[j][(old >> np.uint64(8 * j) & np.uint64(255)).astype(np.intp)]
+            crc[at] = new
+    return crc
+
+
 _CODES = np.zeros(256, np.uint8)
 _CODES[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
@@ -191,6 +239,21 @@ def _crc_udf(data: pd.Series) -> pd.Series:
     return _each(data, crc64_many)
 
 
+@F.pandas_udf(T.LongType())
+def _shift_udf(crc: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series(crc64_shift(_u64(crc), n.to_numpy(np.int64)).view(np.int64))
+
+
+@F.pandas_udf(T.LongType())
+def _part_udf(data: pd.Series, start: pd.Series) -> pd.Series:
+    """A part's checksum, divided by x^8 for each byte up to its end."""
+    ends = (start + data.map(len, na_action="ignore").fillna(0)).to_numpy(np.int64)
+    out = _each(data, crc64_many)
+    there = out.notna().to_numpy()
+    out[there] = crc64_shift(_u64(out[there].astype(np.int64)), -ends[there]).view(np.int64)
+    return out
+
+
 @F.pandas_udf(T.BinaryType())
 def _limbs_udf(seq: pd.Series) -> pd.Series:
     return seq.map(lambda x: None if x is None else limb_bytes(x))
@@ -241,8 +304,43 @@ def murmur3(data: Column) -> Column:
     return _murmur_udf(data.cast("binary"))
 
 
-def crc64(data: Column) -> Column:
-    return _crc_udf(data.cast("binary"))
+def crc64(data: Column, initial: Column | None = None) -> Column:
+    """The checksum of data, or of what ``initial`` is the checksum of with data after it; null if either is."""
+    raw = data.cast("binary")
+    return _crc_udf(raw) if initial is None else crc64_chained(initial, _crc_udf(raw), F.octet_length(raw))
+
+
+def crc64_chained(first: Column, second: Column, length: Column) -> Column:
+    """The checksum of two stretches from each one's own and the second's length in bytes."""
+    return _shifted(first, length).bitwiseXOR(second)
+
+
+def _shifted(crc: Column, length: Column) -> Column:
+    return F.when(crc.isNotNull() & length.isNotNull(), _shift_udf(signed(crc), signed(length)))
+
+
+def crc64_of_parts(parts: DataFrame, *keys: str, start: str = "start", data: str = "data", crc: str = "crc64") -> DataFrame:
+    """(keys, crc): the checksums of texts that come in parts, rows in any order, part ``start`` bytes into the text of its keys.
+
+    A part's checksum is divided by x^8 for each byte up to its end, these are added up, and
+    the sum is multiplied by x^8 for each byte of the text: one aggregation that tasks begin
+    before the exchange, of one number a text, however many parts there are.  Parts must
+    cover their text once.  Null parts count as none; a text of these alone has a null checksum.
+    """
+    raw = F.col(data).cast("binary")
+    part = F.when(F.col(start).isNotNull(), _part_udf(raw, signed(F.col(start))))
+    found = parts.select(*keys, F.octet_length(raw).cast("bigint").alias("_n"), part.alias("_s"))
+    summed = found.groupBy(*keys).agg(F.bit_xor("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return summed.select(*keys, _shifted(F.col("_s"), F.col("_n")).alias(crc))
+
+
+def in_parts(frame: DataFrame, text: str, size: int, start: str = "start", data: str = "data") -> DataFrame:
+    """The rows once for each ``size`` bytes of a text, with ``start`` and ``data`` in the text's place; empty and null texts have one part."""
+    if size < 1:
+        raise ValueError("a part has a byte or more")
+    raw, keep = F.col(text).cast("binary"), [c for c in frame.columns if c != text]
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length(raw) - 1, F.lit(0)), F.lit(size))
+    return frame.withColumn(start, F.explode_outer(starts)).select(*keep, start, F.substring(raw, F.col(start) + 1, F.lit(size)).alias(data))
 
 
 def sequence_crc64(seq: Column) -> Column:

@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+#: Where tables are settled, if not among the shared rounds.
+_passing: ContextVar[str | None] = ContextVar("passing", default=None)
+
 
 def shared_folder(spark) -> str:
     """spark.checkpoint.dir; where it is unset and all tasks run on this machine, a folder of its own."""
@@ -25,9 +30,27 @@ def shared_folder(spark) -> str:
     return at.rstrip("/")
 
 
+def remove(spark, path: str) -> None:
+    """Deletes a folder on any file system that Spark reads; one that isn't there is left so."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing(spark):
+    """Tables that are settled within are deleted at the end; what is left must have been written elsewhere."""
+    path = f"{shared_folder(spark)}/rounds/{uuid.uuid4().hex}"
+    token = _passing.set(path)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        remove(spark, path)
+
+
 def settle(frame: DataFrame) -> DataFrame:
     """The same rows read back from the shared folder."""
-    path = f"{shared_folder(frame.sparkSession)}/rounds/{uuid.uuid4().hex}"
+    path = f"{_passing.get() or shared_folder(frame.sparkSession) + '/rounds'}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

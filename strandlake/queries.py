@@ -14,6 +14,8 @@ from strandlake.operators.components import settle, shared_folder
 from strandlake.plans.assembly import assemble
 from strandlake.sources import matrices, reads
 from strandlake.streaming import counts as streams
+from strandlake.streaming import ids
+from strandlake.streaming.components import GrowingComponents
 
 K = 15
 SEEDS = 20
@@ -505,6 +507,56 @@ def text_checksums(spark, sf_dir):
     return frame.select("item_id", hashing.murmur3(F.col("text")).alias("murmur3"), hashing.crc64(F.col("text")).alias("crc64"), hashing.sequence_crc64(seq).alias("seq_crc64"), hashing.sequence_murmur3(seq).alias("seq_murmur3"))
 
 
+#: Bytes of a text that are hashed at a time.
+PART = 1000
+
+
+@query(f"""WITH r AS (SELECT list(v ORDER BY n) AS crc FROM (
+  SELECT n, list_reduce(range(8)::UBIGINT[], lambda c, i: xor(c >> 1, (c & 1::UBIGINT) * {0xC96C5795D7870F42}::UBIGINT), n::UBIGINT) AS v FROM range(256) AS x(n))),
+h AS (SELECT doc_id, hex(encode(text)) AS hex, hex(encode(concat(doc_id::VARCHAR, text))) AS joint FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, {_TEXT_BYTES} AS tb, {_TEXT_BYTES.replace("hex", "joint")} AS cb FROM h)
+SELECT doc_id, {_crc_sql("tb")} AS crc64, {_crc_sql("cb")} AS chained FROM b, r""")
+def checksum_parts(spark, sf_dir):
+    """Checksums of documents hashed in parts, and of each one's number with the text after it, from the two's own."""
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("text IS NOT NULL")
+    number = F.col("doc_id").cast("string")
+    parts = hashing.in_parts(found.withColumn("bytes", F.octet_length("text")), "text", PART)
+    summed = hashing.crc64_of_parts(parts, "doc_id", "bytes")
+    return summed.select("doc_id", "crc64", hashing.crc64_chained(hashing.crc64(number), F.col("crc64"), F.col("bytes")).alias("chained"))
+
+
+# ---- as data arrive
+
+#: Batches that a table is dealt into, to arrive one after the other.
+ARRIVALS = 4
+
+
+@query(f"""WITH {_seqs()}, w AS (SELECT doc_id % {ARRIVALS} AS batch, unnest(list_transform(range(1, length(seq) - 9), lambda i: substring(seq, i, 11))) AS z FROM s),
+f AS (SELECT least(z, {_rc("z")}) AS kmer, min(batch) AS batch FROM w GROUP BY 1)
+SELECT kmer, row_number() OVER (ORDER BY batch, kmer) AS id FROM f""")
+def kmer_ids_growing(spark, sf_dir):
+    """Ids of the canonical k-mers of all documents, which come in batches; a k-mer keeps the id of its first batch."""
+    grown = ids.GrowingIds(spark, _scratch(spark, "ids"), "kmer")
+    found = documents(spark, sf_dir, encode=False)
+    for batch in range(ARRIVALS):
+        grown.update(kmers.count_canonical(found.filter(F.pmod("doc_id", F.lit(ARRIVALS)) == batch), 11), batch)
+    return grown.ids().select("kmer", "id")
+
+
+@query(f"""WITH RECURSIVE {_DOC_GRAPH}, g AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e){_LEAST}
+SELECT vertex AS kmer, least_vertex AS component FROM t""")
+def components_growing(spark, sf_dir):
+    """The component of each node of the documents' graph, whose edges come as a stream of files."""
+    path = _scratch(spark, "edges")
+    edges = _graph(spark, sf_dir)[1].select("u", "v")
+    edges.repartition(ARRIVALS).write.parquet(path)
+    grown = GrowingComponents(spark, _scratch(spark, "components"), "string")
+    stream = spark.readStream.schema("u string, v string").option("maxFilesPerTrigger", 1).parquet(path)
+    taken = stream.writeStream.option("checkpointLocation", _scratch(spark, "stream")).trigger(availableNow=True)
+    taken.foreachBatch(lambda frame, batch: grown.update(frame, batch, "u", "v")).start().awaitTermination()
+    return grown.components().select(F.col("vertex").alias("kmer"), "component")
+
+
 # ---- files
 
 
