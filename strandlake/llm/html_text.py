@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,7 @@ _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r">|=\s*([\"'])")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in UNSEEN}
 _BLOCK_TAG = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS, key=len, reverse=True)) + r")(?=[\s/>])", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?=[\s/>])")
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HIDDEN = re.compile(r"(?:^|[\s\"'])(?:aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*?display\s*:\s*none|'[^']*?display\s*:\s*none))", re.I)
@@ -113,6 +116,31 @@ class _Page:
         self.page = page
         self.gone: set[str] = set()
         self.closes: dict[str, tuple[int, int]] = {}
+        self.tags: dict[str, list[tuple[int, int]]] | None = None
+        self.levels: dict[str, tuple[list[int], list[int], dict[int, list[int]]]] = {}
+
+    def shut(self, name: str, at: int) -> int:
+        """Where the end tag begins that ends the block of this name around a place; -1 if there is none.
+
+        The page's block tags are looked up once; a name's running depth, and the tags that
+        lead to each depth, then give the first tag after the place that leads below its depth.
+        """
+        if self.tags is None:
+            self.tags = {}
+            for m in _TAG.finditer(self.page):
+                if (found := m[2].lower()) in BLOCKS:
+                    self.tags.setdefault(found, []).append((m.start(), -1 if m[1] else 1))
+        if name not in self.levels:
+            tags = self.tags.get(name, [])
+            levels, to = list(accumulate(step for _, step in tags)), {}
+            for i, level in enumerate(levels):
+                to.setdefault(level, []).append(i)
+            self.levels[name] = [begin for begin, _ in tags], levels, to
+        begins, levels, to = self.levels[name]
+        first = bisect_left(begins, at)
+        below = to.get((levels[first - 1] if first else 0) - 1, [])
+        i = bisect_left(below, first)
+        return begins[below[i]] if i < len(below) else -1
 
     def find(self, what: str, at: int) -> int:
         if what in self.gone:
@@ -146,22 +174,12 @@ class _Page:
         begin, end = self.close(name, at)
         if name in ("script", "style"):
             return end if begin >= 0 else len(self.page)
-        if begin >= 0:
-            depth = 1
-            for m in _around(around).finditer(self.page, at, begin) if around else ():
-                depth += -1 if m[1] else 1
-                if not depth:
-                    break
-            if depth:
-                return end
+        if begin >= 0 and not (around and 0 <= self.shut(around, at) < begin):
+            return end
         found = _BLOCK_TAG.search(self.page, at)
         return found.start() if found else len(self.page)
 
 
-def _around(name: str) -> re.Pattern:
-    return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I)
-
-
 @dataclass
 class _Mark:
     """An element that may be furniture, with what it holds."""

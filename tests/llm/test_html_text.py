@@ -103,6 +103,40 @@ def test_broken_markup_takes_time_in_proportion(piece):
     assert seconds(1_600_000) < 0.5 + 24 * seconds(200_000)  # eight times the length; sixty-four times if it were quadratic
 
 
+def test_nested_unseen_elements_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        page = "<div><svg>" * n + "</svg></div>" * n
+        began = time.process_time()
+        h.main_text(page)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 0.5 + 24 * seconds(5_000)
+
+
+def test_the_end_of_the_block_around_is_that_of_a_scan():
+    import random
+    import re
+
+    def scan(page, name, at):
+        depth = 1
+        for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(page, at):
+            depth += -1 if m[1] else 1
+            if not depth:
+                return m.start()
+        return -1
+
+    rng = random.Random(2)
+    for _ in range(200):
+        page = "".join(rng.choice(["<div>", "</div>", "<DIV a>", "</div >", "<p>", "</P>", "<divan>", "<div", "<svg>", "</svg>", "x", "<", "<h1/>"]) for _ in range(40))
+        look = h._Page(page)
+        for at in [m.end() for m in re.finditer(">", page)]:
+            for name in ("div", "p", "h1", "ul"):
+                assert look.shut(name, at) == scan(page, name, at)
+
+
 def _pieces(page):
     """Block texts as the standard parser sees them."""
     from html.parser import HTMLParser
