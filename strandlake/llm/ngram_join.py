@@ -4,7 +4,8 @@ Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of
 k-word shingles (A-Z lower-cased; with fewer than k words the whole sequence is the one
 shingle).  The join uses relations between sets to skip work:
 
-1. Documents with equal sets form a class; only the class's smallest doc_id goes on.
+1. Documents with equal sets form a class, which has a number of its own; one of the
+   class's texts goes on, that of its smallest doc_id.
 2. Shingles that no other class has can't be in an overlap.  A set with fewer than
    percent of its shingles shared can't link and goes no further.
 3. The others are indexed by their prefix in one global order (rare first).  In each
@@ -18,9 +19,10 @@ shingle).  The join uses relations between sets to skip work:
    a group of n near copies costs about n comparisons instead of n squared.
 
 Defined results: null, empty and blank texts have no shingles (n_shingles 0) and are
-their own component.  Repeated rows of one doc_id are equal sets.  A null doc_id keeps
-its count, links with nothing and has a null component.  Shingles are compared by
-64-bit hashes.
+their own component.  Rows of one doc_id may have different texts: each keeps its own
+n_shingles, and what any of them links with is in the component of them all.  A null
+doc_id keeps its count, links with nothing and has a null component.  Shingles are
+compared by 64-bit hashes, sets for equality by their size and 128 bits.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from strandlake.operators.components import connected_components
 
 WORDS = 4
 PERCENT = 85
+#: What tells sets apart: how many shingles, a sum and an exclusive or of their hashes.
+SET = ("n_shingles", "s1", "s2")
 
 
 def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
@@ -56,28 +60,34 @@ def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each set's size and two numbers that only equal sets share."""
+    sums = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    xors = np.array([np.bitwise_xor.reduce(mix64(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    return np.array([len(s) for s in sets], np.int64), sums, xors
+
+
 def _digests(k: int):
     def digest(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text"), k)
-                sums = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                xors = np.array([np.bitwise_xor.reduce(mix64(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums), pa.array(xors)],
-                    names=["doc_id", "n_shingles", "s1", "s2"],
-                )
+                found = digests(shingle_sets(part.column("text"), k))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *map(pa.array, found)], names=["doc_id", *SET])
 
     return digest
 
 
 def _chosen(left: pa.Table, reps: pa.Table, k: int) -> list[tuple[int, np.ndarray]]:
-    """Sets of the chunk's class representatives, by doc_id, each once."""
-    wanted = set(reps.column("doc_id").to_pylist())
+    """Sets of the chunk's classes by the classes' numbers, each once."""
+    wanted = dict(zip(zip(*(reps.column(c).to_pylist() for c in ("doc_id", *SET)), strict=True), reps.column("node").to_pylist(), strict=True))
     out: dict[int, np.ndarray] = {}
-    for part in slices(left.select(["doc_id", "text"]).filter(pc.is_in(left.column("doc_id"), pa.array(sorted(x for x in wanted if x is not None), pa.int64()))), "text"):
-        for doc, keys in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), k), strict=True):
-            out.setdefault(doc, keys)
+    ids = pc.unique(reps.column("doc_id"))
+    for part in slices(left.select(["doc_id", "text"]).filter(pc.is_in(left.column("doc_id"), ids)), "text"):
+        sets = shingle_sets(part.column("text"), k)
+        rows = zip(part.column("doc_id").to_pylist(), *(x.tolist() for x in digests(sets)), strict=True)
+        for row, keys in zip(rows, sets, strict=True):
+            if (node := wanted.get(row)) is not None:
+                out.setdefault(node, keys)
     return sorted(out.items())
 
 
@@ -101,28 +111,28 @@ def _rarity(table: pa.Table) -> pa.Table:
     return spread.answers(table, level[at], lengths, 1)
 
 
-SHARED = "doc_id long, n int, s int, tokens array<long>"
+SHARED = "node long, n int, s int, tokens array<long>"
 
 
 def _keep_shared(k: int, percent: int):
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, sizes, shared, tokens = [], [], [], []
+        nodes, sizes, shared, tokens = [], [], [], []
         if left.num_rows and right.num_rows:
             sets = _chosen(left, right.filter(pc.equal(right.column("round"), 0)), k)
             if sets:
                 keys = np.unique(np.concatenate([s for _, s in sets]))
                 level = spread.answered(right, 1)
-                for doc, own in sets:
+                for node, own in sets:
                     mine = level[np.searchsorted(keys, own)]
                     s = int((mine > 0).sum())
                     if s and 100 * s >= percent * len(own):
                         some = own[mine > 0]
                         order = np.lexsort((some, mine[mine > 0]))
-                        ids.append(doc)
+                        nodes.append(node)
                         sizes.append(len(own))
                         shared.append(s)
                         tokens.append(some[order].view(np.int64))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32()), "s": pa.array(shared, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+        return pa.table({"node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int32()), "s": pa.array(shared, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
     return keep
 
@@ -134,55 +144,56 @@ def _need(n1: str, n2: str, percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """x, y, their exact overlap o, and whether they link."""
-    one = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
-    two = sets.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
+    one = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
+    two = sets.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
     o = F.size(F.array_intersect("tx", "ty"))
     both = pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "nx", "ny", o.alias("o"))
     return both.select("x", "y", "o", (100 * F.col("o") >= percent * (F.col("nx") + F.col("ny") - F.col("o"))).alias("linked"))
 
 
 def shared_sets(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the classes' representatives those that can link, with their shared shingles, rare ones first."""
+    """Of the classes' sets those that can link, with their shared shingles, rare ones first."""
     spark = docs.sparkSession
     n, c, p = spread.buckets(spark), spread.chunks(spark), spread.partitions(spark)
     texts = spread.by_chunk(docs.filter("doc_id IS NOT NULL"), ["doc_id", "text"], c)
-    reps = classes.select(spread.chunk_of(F.col("rep"), c).alias("chunk"), F.col("rep").alias("doc_id")).repartition(p, "chunk")
+    sent = ["doc_id", *SET, "node"]
+    reps = classes.select(spread.chunk_of(F.col("rep"), c).alias("chunk"), F.col("rep").alias("doc_id"), *SET, "node").repartition(p, "chunk")
     level = (
         texts.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(_send_shingles(n, k), spread.SENT)
         .repartition(p, "bucket").groupBy("bucket").applyInArrow(_rarity, spread.ANSWER_DDL)
     )
-    told = level.select("chunk", "round", "bucket", "marks", F.lit(None).cast("long").alias("doc_id")).unionAll(
-        reps.select("chunk", F.lit(0).alias("round"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("marks"), "doc_id")
+    told = level.select("chunk", "round", "bucket", "marks", *[F.lit(None).cast("long").alias(x) for x in sent]).unionAll(
+        reps.select("chunk", F.lit(0).alias("round"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("marks"), *sent)
     )
     return texts.groupBy("chunk").cogroup(told.repartition(p, "chunk").groupBy("chunk")).applyInArrow(_keep_shared(k, percent), SHARED)
 
 
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, component) for the sets that link with another; component is the least doc_id reached."""
+    """(node, component) for the sets that link with another; component is the least node reached."""
     sets = sets.withColumn("u", F.col("n") - F.col("s"))
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100.0 - F.lit(1e-9)) + 1 - F.col("u")
-    posts = sets.select("doc_id", "n", "s", "u", F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("at", "token"))
+    posts = sets.select("node", "n", "s", "u", F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("at", "token"))
     posts = posts.withColumn("pos", F.col("at") + F.col("u")).drop("at")
-    lists = posts.groupBy("token").agg(F.min(F.struct("u", "n", "doc_id", "s")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    lists = posts.groupBy("token").agg(F.min(F.struct("u", "n", "node", "s")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     posts = cut(
-        posts.join(lists.select("token", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.s").alias("hub_s")), "token")
+        posts.join(lists.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.s").alias("hub_s")), "token")
     )
-    fits = (F.least("s", "hub_s") >= _need("n", "hub_n", percent)) & (F.col("doc_id") != F.col("hub"))
-    hubs = posts.filter(fits).select(F.col("hub").alias("x"), F.col("doc_id").alias("y")).distinct()
+    fits = (F.least("s", "hub_s") >= _need("n", "hub_n", percent)) & (F.col("node") != F.col("hub"))
+    hubs = posts.filter(fits).select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
     known = cut(_verified(hubs, sets, percent))
     first = known.filter("linked").select("x", "y")
-    comps = cut(connected_components(first, "x", "y").select(F.col("vertex").alias("doc_id"), "component"))
+    comps = cut(connected_components(first, "x", "y").select(F.col("vertex").alias("node"), "component"))
     # entries of lists that aren't in one component yet; a set that the hub can't reach has overlap 0..s with it
     entries = (
-        posts.join(comps, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        .join(known.select(F.col("x").alias("hub"), F.col("y").alias("doc_id"), "o"), ["hub", "doc_id"], "left")
+        posts.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        .join(known.select(F.col("x").alias("hub"), F.col("y").alias("node"), "o"), ["hub", "node"], "left")
     )
     open_ = entries.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("token")
-    entries = entries.filter("doc_id <> hub").join(open_, "token", "left_semi")
+    entries = entries.filter("node <> hub").join(open_, "token", "left_semi")
     ratio = np.log(100.0 / percent)
     measures = ["n", "s", "rest", "in_hub", "off_hub"]
     entries = entries.select(
-        "token", "doc_id", "n", "s", "component", (F.col("n") - F.col("pos")).alias("rest"), F.coalesce("o", "s").alias("in_hub"),
+        "token", "node", "n", "s", "component", (F.col("n") - F.col("pos")).alias("rest"), F.coalesce("o", "s").alias("in_hub"),
         F.when(F.col("o").isNull(), F.col("s")).otherwise(F.col("s") - F.col("o")).alias("off_hub"),
     )
 
@@ -200,12 +211,12 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
 
     # first, each entry against its list's sets of each size as wholes: most have no partner left
     sizes = entries.groupBy("token", "n").agg(*bounds(F.min("component").alias("c0"), F.max("component").alias("c1")))
-    one = side(entries, "1", ["doc_id", "component", *measures])
+    one = side(entries, "1", ["node", "component", *measures])
     two = side(sizes, "2", ["c0", "c1", *measures])
     other = (F.col("c02") != F.col("component1")) | (F.col("c12") != F.col("component1"))
     some = one.join(two, (F.col("token1") == F.col("token2")) & other & able(), "left_semi")
     entries = cut(
-        some.select(*[F.col(f"{c}1").alias(c) for c in ("token", "doc_id", "component", *measures)])
+        some.select(*[F.col(f"{c}1").alias(c) for c in ("token", "node", "component", *measures)])
         .withColumn("len", F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int"))
         .withColumn("block", F.floor((F.col("n") - F.col("rest")) / 8).cast("int"))
     )
@@ -214,31 +225,53 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     left, right = (side(blocks, t, [*key, *measures]) for t in "12")
     near = (F.col("component1") < F.col("component2")) & (F.abs(F.col("len1") - F.col("len2")) <= 1) & able()
     pairs = left.join(right, F.col("token1") == F.col("token2")).filter(near).drop(*[f"{c}1" for c in measures])
-    left, right = (side(entries, t, [*key, "doc_id", *measures]) for t in "12")
+    left, right = (side(entries, t, [*key, "node", *measures]) for t in "12")
     close = pairs.join(left, ["token1", *[f"{c}1" for c in key]]).filter(able()).drop(*[f"{c}2" for c in measures])
     close = close.join(right, ["token2", *[f"{c}2" for c in key]]).filter(able())
-    rest = close.select(F.col("doc_id1").alias("x"), F.col("doc_id2").alias("y")).distinct()
+    rest = close.select(F.col("node1").alias("x"), F.col("node2").alias("y")).distinct()
     # what these links join are whole components
     found = cut(_verified(rest, sets, percent).filter("linked").select("x", "y"))
     for end in ("x", "y"):
-        own = comps.select(F.col("doc_id").alias(end), F.col("component").alias("c"))
+        own = comps.select(F.col("node").alias(end), F.col("component").alias("c"))
         found = found.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
     joined = connected_components(found, "x", "y").select(F.col("vertex").alias("component"), F.col("component").alias("least"))
-    every = comps.unionAll(joined.select(F.col("component").alias("doc_id"), "component")).dropDuplicates(["doc_id"])
-    return every.join(joined, "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
+    every = comps.unionAll(joined.select(F.col("component").alias("node"), "component")).dropDuplicates(["node"])
+    return every.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+
+
+def _of_one_id(sets: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """The components, with those joined that texts of one doc_id are in."""
+    own = sets.join(classes.select(*SET, "node"), list(SET)).join(comps, "node", "left")
+    own = cut(own.select("doc_id", "node", F.coalesce("component", "node").alias("component")))
+    least = own.groupBy("doc_id").agg(F.min("component").alias("least"))
+    joined = connected_components(own.join(least, "doc_id"), "component", "least").select(F.col("vertex").alias("component"), F.col("component").alias("least"))
+    every = comps.unionAll(own.select("node", "component")).dropDuplicates(["node"])
+    return cut(every.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
 
 
 def components(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for each row of ``docs``."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(picked.mapInArrow(_digests(k), "doc_id long, n_shingles long, s1 long, s2 long"))
-    classes = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    able = cut(shared_sets(picked, classes, k, percent))
-    comps = linked_sets(able, percent).withColumnRenamed("doc_id", "rep")
-    reach = classes.join(comps, "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    return sets.join(reach, ["n_shingles", "s1", "s2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    # numbers are written with their classes, so they stay the same however often they are read
+    classes = cut(
+        sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*SET).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
     )
+    comps = cut(linked_sets(cut(shared_sets(picked, classes, k, percent)), percent))
+    by_id = sets.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("c0"), F.max(F.struct(*SET)).alias("c1"))
+    several = cut(by_id.filter("c0 <> c1").select("doc_id"))
+    some = sets.join(several, "doc_id", "left_semi")
+    unlike = bool(several.head(1))
+    if unlike:
+        comps = _of_one_id(some, classes, comps)
+    inside = comps.join(classes.select("node", "rep"), "node")
+    least = inside.groupBy("component").agg(F.min("rep").alias("least"))
+    reach = classes.join(comps, "node", "left").join(least, "component", "left").select(*SET, F.coalesce("least", "rep").alias("component_id"))
+    found = sets.join(reach, list(SET), "left")
+    if unlike:  # a text without shingles, too, is where the others of its doc_id are
+        others = some.join(reach, list(SET)).groupBy("doc_id").agg(F.min("component_id").alias("other"))
+        found = found.join(others, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "other"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

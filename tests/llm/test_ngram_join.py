@@ -60,3 +60,14 @@ def test_odd_and_empty_tables(odd, none):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == [(1, 2, 1), (1, 2, 1), (2, 0, 2)]
     assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (2, None)]
     assert nj.components(none).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    """What any text of an id links with is in the component of them all, the one without words included."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(13)) for x in "abc")
+    near, far = f"{b} more", f"{c} more"
+    rows = [(1, a), (1, b), (2, b), (6, near), (9, c), (9, a), (9, None), (12, far), (20, ""), (20, far), (30, "x y z"), (None, a)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(nj.components(frame).collect(), key=str)
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (6, 1), (9, 1), (12, 1), (20, 1), (30, 30), (None, None)}
+    assert sorted(r.n_shingles for r in got if r.doc_id == 9) == [0, 10, 10]
