@@ -9,6 +9,9 @@ Elements are furniture by their tag or by a word of their class, id or role.  A
 wrapper often has such a word too (``has-sidebar``, a form around all): a mark doesn't
 count on html, body, main and article, nor on an element that holds an article, nor on
 one that holds most of the page's words while nothing else on the page reads like text.
+A word that names a topic as often (``social``, ``search``) is a weak mark, and as a
+part of a name inside an article none if the element holds what reads like text.  Links
+of an article that nothing marks as furniture are its own, but for those of a word or two.
 
 Defined results: null and empty pages give an empty text.  Comments, scripts, styles
 and other unseen elements are dropped whole; a comment, script or style that is never
@@ -49,6 +52,9 @@ HINTS = frozenset(
     "disqus discussion feedback login search form contentinfo complementary tags tagcloud outbrain taboola".split()
 )
 
+#: Hints that name a topic as often as furniture.
+VAGUE = frozenset("header form search social login tags".split())
+_BY_SIDE = re.compile(r"side[-_]?by[-_]?side")
 #: Hints that on a paragraph of an article describe its style.
 STYLES = frozenset(("warning", "disclaimer"))
 PARAGRAPHS = frozenset("p li blockquote pre td dd".split())
@@ -80,20 +86,24 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-NONE, STYLE, WEAK, STRONG, SURE = range(5)
+NONE, STYLE, FAINT, WEAK, STRONG, SURE = range(6)
 
 
 def _hint(attrs: str, less: frozenset = frozenset()) -> int:
-    """How surely class, id or role name furniture: STRONG if a word of them says nothing else, WEAK if a part of one does."""
+    """How surely class, id or role name furniture: STRONG if a word of them says nothing else, WEAK if a part of one does.
+
+    VAGUE words say it less surely: WEAK by themselves, FAINT as a part.
+    """
     found = NONE
     for m in _NAMED.finditer(attrs):
-        for word in (m[1] or m[2] or m[3] or "").lower().split():
+        for word in _BY_SIDE.sub("", (m[1] or m[2] or m[3] or "").lower()).split():
             parts = [x for x in _PARTS.split(word) if x]
-            hints = sum(x in HINTS and x not in less for x in parts)
-            if word in HINTS and word not in less or parts and hints == len(parts):
-                found = STRONG
+            hints = [x for x in parts if x in HINTS and x not in less]
+            firm = not VAGUE.issuperset(hints)
+            if word in HINTS and word not in less or parts and len(hints) == len(parts):
+                found = max(found, STRONG if firm or word in HINTS and word not in VAGUE else WEAK)
             elif hints:
-                found = max(found, WEAK)
+                found = max(found, WEAK if firm else FAINT)
     return found
 
 
@@ -186,6 +196,7 @@ class _Mark:
 
     parent: int
     surety: int
+    inside: bool = False  # whether it lies in an article
     article: bool = False  # whether it holds one
     words: int = 0
     texts: int = 0
@@ -206,9 +217,9 @@ def _furniture(marks: list[_Mark], inner: list[int], found: list[Block]) -> list
     out, free = [NONE], own[0]
     for i, mark in enumerate(marks[1:], 1):
         surety = mark.surety
-        if surety in (WEAK, STRONG):
-            most = 2 * mark.words > marks[0].words and not free and mark.texts >= (1 if surety == WEAK else 2)
-            if mark.article or most:
+        if surety in (FAINT, WEAK, STRONG):
+            most = 2 * mark.words > marks[0].words and not free and mark.texts >= (2 if surety == STRONG else 1)
+            if mark.article or most or surety == FAINT and mark.inside and mark.texts:
                 surety = NONE
         out.append(max(out[mark.parent], surety))
         if out[i] == NONE:
@@ -300,11 +311,11 @@ def blocks(page: str) -> list[Block]:
                         hint = STYLE
                     own = SURE if _hidden(attrs) else max(own, hint)
                 if name in ("article", "main"):
-                    if own in (NONE, WEAK):  # a comment marked up as an article leaves its section as it is
+                    if own in (NONE, FAINT, WEAK):  # a comment marked up as an article leaves its section as it is
                         marks[mark].article = True
                         own = NONE
                 if own:
-                    marks.append(_Mark(mark, own))
+                    marks.append(_Mark(mark, own, good))
                     mark = len(marks) - 1
                 stack.append((name, mark, good or name in ("article", "main"), name in _HEADINGS or (head and name != "div")))
                 open_[name] += 1
@@ -333,8 +344,10 @@ TABLE = (
     (15, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 1), (30, 0.05, 20, 0.0, 5, 1.0, 0, 0, 0, 1), (11, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 1),
     (45, 0.0, 3, 1.0, 2, 1.0, 0, 1, 0, 1), (7, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1, 1), (6, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1, 1),
     (50, 0.0, 3, 1.0, 3, 1.0, 2, 0, 0, 0), (18, 0.0, 40, 0.0, 3, 1.0, 2, 1, 0, 0), (55, 0.1, 60, 0.0, 2, 1.0, 2, 1, 0, 0),
-    (4, 1.0, 40, 0.0, 4, 1.0, 0, 1, 0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 1, 0, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 0, 0),
-    (6, 0.9, 5, 1.0, 6, 1.0, 0, 1, 0, 0), (10, 1.0, 30, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (4, 1.0, 40, 0.0, 4, 1.0, 0, 1, 0, 1), (3, 1.0, 3, 1.0, 3, 1.0, 0, 1, 0, 1), (2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 0, 0),
+    (6, 0.9, 5, 1.0, 6, 1.0, 0, 1, 0, 1), (10, 1.0, 30, 0.0, 0, 0.0, 0, 1, 0, 1), (4, 1.0, 4, 1.0, 30, 0.0, 0, 1, 0, 1), (4, 1.0, 4, 1.0, 70, 0.0, 0, 1, 0, 1), (5, 1.0, 50, 0.0, 60, 0.0, 0, 1, 0, 1),
+    (1, 0.0, 4, 1.0, 0, 0.0, 0, 1, 0, 1), (5, 0.0, 5, 1.0, 2, 0.0, 0, 1, 0, 1), (3, 0.0, 4, 1.0, 3, 1.0, 0, 1, 0, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 40, 0.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 2, 1.0, 30, 0.0, 0, 1, 0, 0), (2, 1.0, 2, 1.0, 0, 0.0, 0, 1, 0, 0),
     (50, 0.0, 40, 0.0, 45, 0.0, 0, 0, 0, 1), (35, 0.02, 20, 0.0, 60, 0.0, 0, 0, 0, 1), (16, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
     (9, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1), (80, 0.1, 2, 1.0, 4, 1.0, 0, 0, 0, 1), (22, 0.0, 3, 0.0, 40, 0.0, 0, 0, 0, 1),
     (5, 0.0, 4, 1.0, 60, 0.0, 0, 0, 1, 1), (8, 0.0, 2, 0.0, 45, 0.0, 0, 0, 1, 1), (30, 0.3, 40, 0.0, 30, 0.0, 0, 0, 0, 1),

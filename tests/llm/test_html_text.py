@@ -200,3 +200,25 @@ def test_blocks_are_those_of_the_standard_parser():
     for _ in range(400):
         page = some(0)
         assert [b.text for b in h.blocks(page)] == _pieces(page), page
+
+
+LONG = " ".join(f"word{i} of the text" for i in range(10))
+LINKS = [f"A linked thing {i}" for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><h1>T</h1><p>%s</p><ul>%s</ul><p>End.</p></article>" % (LONG, "".join(f"<li><a href='/{i}'>{x}</a></li>" for i, x in enumerate(LINKS))), ["T", LONG, *LINKS, "End."]),
+        (f"<article><p>{LONG}</p><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></article>", [LONG]),
+        (f"<article><p>{LONG}</p><div class='side-by-side'><p>{LONG}</p></div></article>", [LONG, LONG]),
+        (f"<article><p>{LONG}</p><div class='search-results-explained'><p>{LONG}</p></div></article>", [LONG, LONG]),
+        (f"<article><p>{LONG}</p><div class='side-column'><p>{LONG}</p></div></article>", [LONG]),
+        (f"<body><div class='social'><p>{LONG}</p></div></body>", [LONG]),
+        (f"<body><div class='social'><p>{LONG}</p></div><p>{LONG} too</p></body>", [f"{LONG} too"]),
+        (f"<body><div class='cookie-notice'><p>{LONG}</p></div></body>", [""]),
+        (f"<article><p>{LONG}</p><div class='social-bar'><a href=x>Post it there</a></div><div class='post-comments'><p>{LONG}</p></div><div class='ad-slot'>{LONG}</div></article>", [LONG]),
+    ],
+)
+def test_what_an_article_keeps_of_links_and_marked_parts(page, want):
+    assert h.main_text(page).split("\n\n") == want
