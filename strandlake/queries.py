@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import hashing
 from strandlake.functions import nucleotide as nt
-from strandlake.operators import curve, graph, kmers, sampling
+from strandlake.operators import curve, graph, kmers, sampling, seedcache
 from strandlake.operators.components import settle, shared_folder
 from strandlake.plans.assembly import assemble
 from strandlake.sources import matrices, reads
@@ -200,6 +200,16 @@ def kmer_seeds(spark, sf_dir):
     return kmers.seeds(kmers.count_canonical(documents(spark, sf_dir, encode=False), 25), SEEDS)
 
 
+@query(f"WITH {_counts(25)} SELECT kmer, cnt FROM c ORDER BY cnt DESC, kmer LIMIT {SEEDS}")
+def kmer_seeds_recounted(spark, sf_dir):
+    return seedcache.seeds_recounted(documents(spark, sf_dir, encode=False), 25, SEEDS)
+
+
+@query()
+def kmer_seeds_decaying(spark, sf_dir):
+    return seedcache.seeds_decaying(documents(spark, sf_dir, encode=False), 25, SEEDS)
+
+
 @query()
 def kmer_seeds_approximate(spark, sf_dir):
     return kmers.seeds_approximate(documents(spark, sf_dir), 25, SEEDS)
