@@ -13,8 +13,6 @@ k-mers, which needs neither all k-mers in one place nor the tasks in any order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,15 +85,6 @@ class SeedCache:
         return self.keys[held], self.counts[held]
 
 
-def _counted(batches, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Canonical packed k-mers of reads with their counts, a stretch of reads at a time."""
-    for batch in batches:
-        for codes, starts in sk._stretches(batch.column(0), k):
-            _, head, tail = sk.super_kmers(codes, starts, k)
-            keys, counts = sk.expanded(head, tail, np.ones(len(head), np.int64), k)
-            yield sk.counted(np.minimum(keys, sk.reversed_complement(keys, k)), counts)
-
-
 def _batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"packed": keys.view(np.int64), "cnt": counts})
 
@@ -113,7 +102,7 @@ def _most(rows: DataFrame, n: int) -> DataFrame:
 def _candidates(reads: DataFrame, k: int, n: int, cells: int, seed: int, seq: str) -> DataFrame:
     def fill(batches):
         cache = SeedCache(cells, seed)
-        for found in _counted(batches, k):
+        for found in sk.stretch_counts(batches, k):
             cache.add(*found)
         yield _batch(*cache.rows())
 
@@ -142,7 +131,7 @@ def seeds_recounted(reads: DataFrame, k: int, n: int, cells: int = CELLS, seed:
 
     def recount(batches):
         total = np.zeros(len(wanted), np.int64)
-        for keys, counts in _counted(batches, k):
+        for keys, counts in sk.stretch_counts(batches, k):
             at = np.minimum(np.searchsorted(wanted, keys), max(len(wanted) - 1, 0))
             same = wanted[at] == keys if len(wanted) else np.zeros(len(keys), bool)
             total[at[same]] += counts[same]

@@ -30,9 +30,11 @@ MOST = 9
 #: Shortest minimiser, where k is as long: enough of them for any number of partitions.
 LEAST_M = 15
 #: Bases that are packed at once; bounds a task's memory, not a read's length.
-STRETCH = 1 << 20
-#: Super-k-mers that a task adds up before it sends them, and k-mers that it counts at once.
+STRETCH = 1 << 18
+#: Super-k-mers that a task adds up before it sends them, and twice the k-mers that it counts at once.
 HELD = 1 << 21
+#: Rows in a batch that a task sends.
+SENT = 1 << 16
 
 ROWS = "bin long, head long, tail int, cnt long"
 
@@ -100,6 +102,17 @@ def least_in(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def _within(starts: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Which of the first n windows of k codes lie in one read: those over the end of a read are none."""
+    within, edge = np.ones(n, bool), starts[1:]
+    if len(edge):
+        over = np.zeros(n + 1, np.int64)
+        np.add.at(over, np.clip(edge - k + 1, 0, n), 1)
+        np.add.at(over, np.clip(edge, 0, n), -1)
+        within = np.cumsum(over[:-1]) == 0
+    return within
+
+
 def super_kmers(codes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser, head, tail) for reads that lie one after the other in ``codes`` and begin at ``starts``.
 
@@ -112,13 +125,7 @@ def super_kmers(codes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarr
     forward, back = windows(codes, m), windows(3 - codes, m, backwards=True)
     least = least_in(ranked(np.minimum(forward, back), m), k - m + 1)
     n = len(least)
-    within = np.ones(n, bool)  # windows over the end of a read are none
-    edge = starts[1:]
-    if len(edge):
-        over = np.zeros(n + 1, np.int64)
-        np.add.at(over, np.clip(edge - k + 1, 0, n), 1)
-        np.add.at(over, np.clip(edge, 0, n), -1)
-        within = np.cumsum(over[:-1]) == 0
+    within = _within(starts, n, k)
     begin = np.empty(n, bool)
     begin[0] = True
     begin[1:] = (least[1:] != least[:-1]) | (within[1:] != within[:-1])
@@ -199,14 +206,16 @@ def _stretches(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarra
         at = to
 
 
+def _rows(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(minimiser, head, tail, count) as batches of ROWS."""
+    for at in range(0, len(columns[0]), SENT):
+        bins, head, tail, cnt = (x[at : at + SENT] for x in columns)
+        yield pa.RecordBatch.from_pydict({"bin": bins.view(np.int64), "head": head.view(np.int64), "tail": tail, "cnt": cnt})
+
+
 def _cut(k: int):
     def cut(batches):
         held, n = [], 0
-
-        def send():
-            rows = added(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_pydict({"bin": rows[0].view(np.int64), "head": rows[1].view(np.int64), "tail": rows[2], "cnt": rows[3]})
-
         for batch in batches:
             for codes, starts in _stretches(batch.column(0), k):
                 found = super_kmers(codes, starts, k)
@@ -216,12 +225,19 @@ def _cut(k: int):
                     held = [added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     n = len(held[0][0])
                     if n > HELD // 2:  # few repeats: send what there is
-                        yield from send()
+                        yield from _rows(*held[0])
                         held, n = [], 0
         if n:
-            yield from send()
+            yield from _rows(*added(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    return cut
+    def cut_whole(batches):
+        """Where the minimiser is the k-mer itself, a super-k-mer is one k-mer."""
+        for keys, counts in _task_counts(batches, k, canonical=False):
+            for keys, counts in _pieces(keys, counts):
+                bins = ranked(np.minimum(keys, reversed_complement(keys, k)), k)
+                yield from _rows(bins, keys, np.zeros(len(keys), np.int32), counts)
+
+    return cut_whole if minimiser_length(k) == k else cut
 
 
 def _count(k: int, canonical: bool):
@@ -235,8 +251,8 @@ def _count(k: int, canonical: bool):
             if canonical:
                 keys = np.minimum(keys, reversed_complement(keys, k))
             keys, counts = counted(keys, counts)
-            for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"kmer": letters(keys[at : at + (1 << 16)], k), "cnt": counts[at : at + (1 << 16)]})
+            for keys, counts in _pieces(keys, counts):
+                yield pa.RecordBatch.from_pydict({"kmer": letters(keys, k), "cnt": counts})
 
         last = None
         for batch in batches:
@@ -244,13 +260,13 @@ def _count(k: int, canonical: bool):
                 continue
             bins = batch.column("bin").to_numpy()
             head, tail, cnt = batch.column("head").to_numpy().view(np.uint64), batch.column("tail").to_numpy(), batch.column("cnt").to_numpy()
-            if n > HELD:  # the rows of the minimiser that the last batch ended in still belong to what is held
+            if n > HELD // 2:  # the rows of the minimiser that the last batch ended in still belong to what is held
                 first = int(np.argmax(bins != last)) if (bins != last).any() else len(bins)
                 held.append((head[:first], tail[:first], cnt[:first]))
                 if first < len(bins):
                     yield from tell(held)
                     held, n = [(head[first:], tail[first:], cnt[first:])], int((1 + (tail[first:] & 15)).sum())
-                elif n > 4 * HELD:  # one minimiser: its super-k-mers repeat from task to task
+                elif n > 2 * HELD:  # one minimiser: its super-k-mers repeat from task to task
                     held = [_repeats(held)]
                     n = int((1 + (held[0][1] & 15)).sum())
             else:
@@ -268,6 +284,57 @@ def _repeats(parts):
     return added(head, head, tail, cnt)[1:]
 
 
+def stretch_counts(batches, k: int, canonical: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct packed k-mers of reads in order, with their counts, a stretch of reads at a time."""
+    for batch in batches:
+        for codes, starts in _stretches(batch.column(0), k):
+            if len(codes) < k:
+                continue
+            keys = windows(codes, k)
+            if canonical:
+                keys = np.minimum(keys, windows(3 - codes, k, backwards=True))
+            keys = np.sort(keys[_within(starts, len(keys), k)])
+            if len(keys):
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                yield keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _task_counts(batches, k: int, canonical: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same over all that a task reads, as many distinct ones at once as fit."""
+    held, n = [], 0
+    for found in stretch_counts(batches, k, canonical):
+        held.append(found)
+        n += len(found[0])
+        if n > HELD // 2:
+            held = [counted(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            n = len(held[0][0])
+            if n > HELD // 4:  # few repeats: give what there is
+                yield held[0]
+                held, n = [], 0
+    if held:
+        yield counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _pieces(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(keys), SENT):
+        yield keys[at : at + SENT], counts[at : at + SENT]
+
+
+def _count_within(k: int, canonical: bool):
+    def count(batches):
+        for found in _task_counts(batches, k, canonical):
+            for keys, counts in _pieces(*found):
+                yield pa.RecordBatch.from_pydict({"kmer": letters(keys, k), "cnt": counts})
+
+    return count
+
+
+def count_within(reads: DataFrame, k: int, seq: str = "seq", canonical: bool = True) -> DataFrame:
+    """(kmer, cnt) as in ``count``, but of each task's own reads, HELD k-mers at once: a k-mer has rows in many tasks, whose sum is its count."""
+    nt.check_k(k)
+    return reads.select(F.col(seq).cast("string").alias("seq")).mapInArrow(_count_within(k, canonical), "kmer string, cnt long")
+
+
 def count(reads: DataFrame, k: int, seq: str = "seq", canonical: bool = True) -> DataFrame:
     """(kmer, cnt) for each k-mer of the reads, both strands under the lesser one if canonical.
 

@@ -90,3 +90,14 @@ def test_a_read_of_a_hundred_million_bases(spark):
     frame = spark.range(1).select(F.expr(f"repeat('{unit}', 10000)").alias("seq"))
     found = kmers.count_canonical(frame, 25).agg(F.count("*"), F.sum("cnt"), F.max("cnt")).first()
     assert tuple(found) == (10_000, 100_000_000 - 24, 10_000)
+
+
+def test_a_task_sends_whole_kmers_once_and_in_small_batches(reads, monkeypatch):
+    monkeypatch.setattr(sk, "SENT", 50)
+    batch = pa.RecordBatch.from_pydict({"seq": pa.array(reads)})
+    for k in (11, 15):
+        sent = list(sk._cut(k)([batch, batch]))
+        rows = pa.Table.from_batches(sent)
+        assert max(x.num_rows for x in sent) <= 50 < rows.num_rows
+        assert set(rows["tail"].to_pylist()) == {0} and len(set(rows["head"].to_pylist())) == rows.num_rows == len(brute(reads, k, False))
+    assert max(x.num_rows for x in sk._cut(25)([batch, batch])) <= 50
