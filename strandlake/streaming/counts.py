@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.nucleotide import canonical, encode
 from strandlake.operators.kmers import kmers
+from strandlake.operators.superkmers import count_within
 
 
 def read_lines(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
@@ -16,8 +17,8 @@ def read_lines(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame
 
 
 def running_counts(stream: DataFrame, k: int) -> DataFrame:
-    """(kmer, cnt) over all reads so far; for update or complete output."""
-    return kmers(stream, k).groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt"))
+    """(kmer, cnt) over all reads, or any text in seq, so far; for update or complete output.  Tasks count their own k-mers before the exchange."""
+    return count_within(stream, k).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 
 
 def windowed_counts(stream: DataFrame, k: int, time: str = "ts", late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

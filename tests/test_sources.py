@@ -147,3 +147,13 @@ def test_no_folder_of_one_machine_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_folder(SimpleNamespace(conf={"spark.master": "spark://host:7077"}))
+
+
+def test_running_counts_take_any_text(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put(folder, "1.txt", "acgtt\nNAaa\n\n")
+    lines = spark.readStream.text(str(folder)).withColumnRenamed("value", "seq")
+    query = streaming.running_counts(lines, 3).writeStream.format("memory").queryName("texts").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.kmer: r.cnt for r in spark.table("texts").collect()} == {"ACG": 2, "AAC": 1, "AAA": 2}
