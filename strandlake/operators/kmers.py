@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import nucleotide as nt
 from strandlake.operators import superkmers
+from strandlake.operators.components import settle
 from strandlake.operators.sampling import digest_number
 
 #: Where a fixed-width counter of ten bits stops.
@@ -16,6 +19,8 @@ STRETCH = 1 << 16
 #: Cells in each way of a count sketch, and its ways (at most four).
 SKETCH_WIDTH = 1 << 16
 SKETCH_DEPTH = 4
+#: Cells of a way that are sent to every task.
+SMALL_SKETCH = 1 << 18
 
 
 def kmers(reads: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = (), stretch: int = STRETCH) -> DataFrame:
@@ -65,34 +70,64 @@ def seeds(counts: DataFrame, n: int) -> DataFrame:
     return counts.orderBy(F.desc("cnt"), "kmer").limit(n)
 
 
+def _frequent(k: int, tracked: int):
+    """A task's summary of frequent k-mers: where more than ``tracked`` are held, all lose the count of the first beyond; those held at the end get it back."""
+
+    def run(batches):
+        keys, counts, lost = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for found, n in superkmers.stretch_counts(batches, k):
+            keys, counts = superkmers.counted(np.concatenate([keys, found]), np.concatenate([counts, n]))
+            if len(keys) > tracked:
+                at = len(keys) - tracked - 1
+                least = int(np.partition(counts, at)[at])
+                keys, counts, lost = keys[counts > least], counts[counts > least] - least, lost + least
+        yield pa.RecordBatch.from_pydict({"kmer": superkmers.letters(keys, k), "cnt": counts + lost})
+
+    return run
+
+
 def seeds_approximate(reads: DataFrame, k: int, n: int, tracked: int = 10_000, seq: str = "seq") -> DataFrame:
-    """About the n most frequent canonical k-mers, from a bounded sketch in one pass."""
-    found = kmers(reads, k, seq).select(nt.canonical(F.col("kmer")).alias("kmer"))
-    top = found.agg(F.expr(f"approx_top_k(kmer, {int(n)}, {max(int(tracked), int(n))})").alias("top"))
-    return top.select(F.inline("top")).select(F.col("item").alias("kmer"), F.col("count").alias("cnt"))
+    """(kmer, cnt): about the n most frequent canonical k-mers of reads or any text, from a bounded summary a task in one pass.
+
+    Summaries are added up.  A count is off by at most the number of all k-mers over ``tracked``,
+    and exact for a k-mer that every task held whenever it dropped others.
+    """
+    nt.check_k(k)
+    rows = reads.select(F.col(seq).cast("string").alias("seq")).mapInArrow(_frequent(k, max(int(tracked), int(n), 1)), "kmer string, cnt long")
+    return seeds(rows.groupBy("kmer").agg(F.sum("cnt").alias("cnt")), n)
 
 
-def _ways(frame: DataFrame, width: int, depth: int) -> DataFrame:
-    """(kmer, way, cell): the cells of each k-mer's ways."""
+def _cells(width: int, depth: int) -> list[Column]:
+    """The cell of a k-mer in each way."""
     if not 1 <= depth <= 4 or width < 1:
         raise ValueError("a sketch has one to four ways of at least one cell")
-    cells = [F.struct(F.lit(i).alias("way"), (digest_number(F.col("kmer"), i) % width).alias("cell")) for i in range(depth)]
-    return frame.select("kmer", F.inline(F.array(*cells)))
+    return [digest_number(F.col("kmer"), i) % width for i in range(depth)]
 
 
 def sketch(reads: DataFrame, k: int, width: int = SKETCH_WIDTH, depth: int = SKETCH_DEPTH, seq: str = "seq") -> DataFrame:
-    """(way, cell, cnt): a count-min sketch of the canonical k-mers, summed in each task before the shuffle.
+    """(way, cell, cnt): a count-min sketch of the canonical k-mers of reads or any text, summed in each task before the shuffle.
 
     It has at most ``width * depth`` rows whatever the reads; exact counts have one for each distinct k-mer.
+    A k-mer that a task repeats is placed once, with its count there.
     """
-    found = kmers(reads, k, seq).select(nt.canonical(F.col("kmer")).alias("kmer"))
-    return _ways(found, width, depth).groupBy("way", "cell").agg(F.count("*").alias("cnt"))
+    cells = [F.struct(F.lit(i).alias("way"), cell.alias("cell")) for i, cell in enumerate(_cells(width, depth))]
+    found = superkmers.count_within(reads, k, seq).select("cnt", F.inline(F.array(*cells)))
+    return found.groupBy("way", "cell").agg(F.sum("cnt").alias("cnt"))
 
 
 def sketch_lookup(keys: DataFrame, cells: DataFrame, width: int = SKETCH_WIDTH, depth: int = SKETCH_DEPTH) -> DataFrame:
-    """(kmer, cnt) of distinct keys by a sketch of this width and depth: never below the exact count."""
-    found = _ways(keys.select("kmer"), width, depth).join(cells, ["way", "cell"], "left")
-    return found.groupBy("kmer").agg(F.min(F.coalesce("cnt", F.lit(0).cast("bigint"))).alias("cnt"))
+    """(kmer, cnt) of distinct keys by a sketch of this width and depth: never below the exact count.
+
+    Cells of a sketch of up to SMALL_SKETCH go to the keys; keys go to those of larger ones.
+    """
+    ways = _cells(width, depth)
+    cells = settle(cells)  # read once a way
+    found = keys.select("kmer", *[cell.alias(f"cell_{i}") for i, cell in enumerate(ways)])
+    for i in range(depth):
+        own = cells.filter(F.col("way") == i).select(F.col("cell").alias(f"cell_{i}"), F.col("cnt").alias(f"cnt_{i}"))
+        found = found.join(F.broadcast(own) if width <= SMALL_SKETCH else own, f"cell_{i}", "left")
+    least = [F.coalesce(f"cnt_{i}", F.lit(0).cast("bigint")) for i in range(depth)]
+    return found.select("kmer", (F.least(*least) if depth > 1 else least[0]).alias("cnt"))
 
 
 def lookup(keys: DataFrame, counts: DataFrame) -> DataFrame:

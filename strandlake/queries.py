@@ -212,7 +212,7 @@ def kmer_seeds_decaying(spark, sf_dir):
 
 @query()
 def kmer_seeds_approximate(spark, sf_dir):
-    return kmers.seeds_approximate(documents(spark, sf_dir), 25, SEEDS)
+    return kmers.seeds_approximate(documents(spark, sf_dir, encode=False), 25, SEEDS)
 
 
 @query(f"""WITH {_counts(K)}, q AS (SELECT DISTINCT least(substring(z, i, {K}), {_rc(f"substring(z, i, {K})")}) AS kmer
@@ -247,7 +247,7 @@ def kmer_masks(spark, sf_dir):
 {" ".join(f"UNION ALL SELECT kmer, cnt, {i}, {_draw_sql('kmer', i)} % {kmers.SKETCH_WIDTH} FROM c" for i in range(1, kmers.SKETCH_DEPTH))}),
 t AS (SELECT way, cell, sum(cnt)::BIGINT AS cnt FROM w GROUP BY way, cell) SELECT kmer, min(t.cnt) AS cnt FROM w JOIN t USING (way, cell) GROUP BY kmer""")
 def kmer_sketch_counts(spark, sf_dir):
-    found = documents(spark, sf_dir)
+    found = documents(spark, sf_dir, encode=False)
     return kmers.sketch_lookup(kmers.count_canonical(documents(spark, sf_dir, encode=False), K), kmers.sketch(found, K))
 
 
@@ -256,7 +256,7 @@ def kmer_count_streamed(spark, sf_dir):
     path = f"{sf_dir}/documents.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/{{documents}}.parquet")  # a pattern: the table may be one file
     out = _scratch(spark, "counts")
-    running = streams.running_counts(reads.from_text(stream, "text"), 11).writeStream.outputMode("complete").trigger(availableNow=True)
+    running = streams.running_counts(stream.select(F.col("text").alias("seq")), 11).writeStream.outputMode("complete").trigger(availableNow=True)
     running.option("checkpointLocation", _scratch(spark, "stream")).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
     return spark.read.parquet(out)
 

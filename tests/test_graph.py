@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from strandlake.operators import curve, graph, kmers
+from strandlake.operators import curve, graph, kmers, superkmers
 from strandlake.operators.components import connected_components
 from strandlake.plans.assembly import assemble
 from strandlake.sources import matrices
@@ -190,3 +190,17 @@ def test_component_count_with_vertices_on_no_edge(spark):
     assert graph.component_count(edges).first().components == 3
     assert graph.component_count(edges, spark.createDataFrame([(10,)], "n bigint")).first().components == 3 + 10 - 6
     assert graph.component_count(edges.limit(0), spark.createDataFrame([(4,)], "n bigint")).first().components == 4
+
+
+def test_sketches_and_approximate_seeds_take_any_text_and_place_a_tasks_kmer_once(spark):
+    texts = ["acgttgcaN acg", "ACGTTGCA", None, "", "AC"] + ["ttttt acgtacgt"] * 40
+    raw = spark.createDataFrame([(x,) for x in texts], "seq string").coalesce(1)
+    exact = {r.kmer: r.cnt for r in kmers.count_canonical(raw, 3).collect()}
+    assert {r.kmer: r.cnt for r in superkmers.count_within(raw, 3).collect()} == exact and superkmers.count_within(raw, 3).count() == len(exact)
+    got = kmers.sketch_lookup(kmers.count_canonical(raw, 3), kmers.sketch(raw, 3))
+    assert {r.kmer: r.cnt for r in got.collect()} == exact
+    top = kmers.seeds_approximate(raw, 3, 5).collect()
+    assert [(r.kmer, r.cnt) for r in top] == sorted(exact.items(), key=lambda x: (-x[1], x[0]))[:5]
+    total, few = sum(exact.values()), 6
+    short = {r.kmer: r.cnt for r in kmers.seeds_approximate(raw, 3, few, tracked=few).collect()}
+    assert all(abs(exact[x] - n) <= total // few for x, n in short.items())
