@@ -283,6 +283,11 @@ def _graph(spark, sf_dir, k: int = K) -> tuple[DataFrame, DataFrame]:
     return counts, graph.edges(counts, k)
 
 
+def _packed_edges(spark, sf_dir) -> DataFrame:
+    """(u, v) as numbers in the order of the k-mers: rounds over components compare and exchange these."""
+    return _graph(spark, sf_dir)[1].select(*[nt.pack(F.col(c), K).cast("bigint").alias(c) for c in "uv"])
+
+
 @query(f"WITH {_edges(K)} SELECT u, v, w FROM e")
 def graph_edges(spark, sf_dir):
     return _graph(spark, sf_dir)[1]
@@ -428,7 +433,7 @@ _DOC_GRAPH = _edges(K)
 @query(f"""WITH RECURSIVE {_DOC_GRAPH}, g AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e){_LEAST}
 SELECT (row_number() OVER (ORDER BY least_vertex) - 1)::BIGINT AS component, count(*)::BIGINT AS size FROM t GROUP BY least_vertex""")
 def component_sizes_documents(spark, sf_dir):
-    return graph.component_sizes(settle(_graph(spark, sf_dir)[1]))
+    return graph.component_sizes(settle(_packed_edges(spark, sf_dir)))
 
 
 @query()  # tests compare curves with a recount for each prefix; in SQL that takes minutes on this graph
@@ -558,13 +563,12 @@ SELECT vertex AS kmer, least_vertex AS component FROM t""")
 def components_growing(spark, sf_dir):
     """The component of each node of the documents' graph, whose edges come as a stream of files."""
     path = _scratch(spark, "edges")
-    edges = _graph(spark, sf_dir)[1].select("u", "v")
-    edges.repartition(ARRIVALS).write.parquet(path)
-    grown = GrowingComponents(spark, _scratch(spark, "components"), "string")
-    stream = spark.readStream.schema("u string, v string").option("maxFilesPerTrigger", 1).parquet(path)
+    _packed_edges(spark, sf_dir).repartition(ARRIVALS).write.parquet(path)
+    grown = GrowingComponents(spark, _scratch(spark, "components"))
+    stream = spark.readStream.schema("u bigint, v bigint").option("maxFilesPerTrigger", 1).parquet(path)
     taken = stream.writeStream.option("checkpointLocation", _scratch(spark, "stream")).trigger(availableNow=True)
     taken.foreachBatch(lambda frame, batch: grown.update(frame, batch, "u", "v")).start().awaitTermination()
-    return grown.components().select(F.col("vertex").alias("kmer"), "component")
+    return grown.components().select(nt.unpack(F.col("vertex"), K).alias("kmer"), nt.unpack(F.col("component"), K).alias("component"))
 
 
 # ---- files

@@ -84,3 +84,19 @@ def test_ids_are_dense_and_stay(spark, tmp_path):
         for k in sorted({k for k in keys if k} - set(seen)):
             seen[k] = len(seen) + 1
         assert dict(tuple(r) for r in grown.ids().collect()) == seen
+
+
+def test_components_of_documents_go_by_numbers_in_the_order_of_their_kmers(spark, tmp_path):
+    from strandlake import queries
+
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 40)))) for i in range(12)]
+    spark.createDataFrame([*rows, (50, None), (51, "acgtnacgtnacgtn acg")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries._packed_edges(spark, str(tmp_path)).dtypes == [("u", "bigint"), ("v", "bigint")]
+    edges = queries.graph_edges(spark, str(tmp_path)).select("u", "v")
+    want = {r.vertex: r.component for r in connected_components(edges, "u", "v").collect()}
+    got = {r.kmer: r.component for r in queries.components_growing(spark, str(tmp_path)).collect()}
+    assert got == want and len(set(want.values())) > 3
+    least = sorted(set(want.values()))
+    sizes = {r.component: r.size for r in queries.component_sizes_documents(spark, str(tmp_path)).collect()}
+    assert sizes == {i: list(want.values()).count(x) for i, x in enumerate(least)}
