@@ -252,34 +252,41 @@ class Attention:
     def gradients(self, shown: np.ndarray, goal: np.ndarray, first: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, n = self.p, len(shown)
         h, (x, xq, flat, q, k, v, s, a, g, r) = self._body(shown, first)
-        want = goal.ravel()
-        real = want >= 0
-        total = max(1, int(real.sum()))
-        group, inner = np.where(real, want, 0) // PER_CLASS, np.where(real, want, 0) % PER_CLASS
+        want = goal.astype(np.int16).ravel()
+        order = np.argsort(want, kind="stable")  # a radix sort; places without a target come first
+        order = order[np.count_nonzero(want < 0) :]
+        want = want[order].astype(np.intp)
+        at, total = np.arange(len(want)), max(1, len(want))
+        bounds = np.searchsorted(want, np.arange(CLASSES + 1) * PER_CLASS)
+        of_class = [(c, int(bounds[c]), int(bounds[c + 1])) for c in range(CLASSES) if bounds[c + 1] > bounds[c]]
         d: dict[str, np.ndarray] = {}
+        value = 0.0
 
         def soft(z, pick):
-            z = z - z.max(1, keepdims=True)
-            e = np.exp(z)
-            prob = e / e.sum(1, keepdims=True)
-            loss = -np.log(prob[np.arange(len(z)), pick] + 1e-30)
-            prob[np.arange(len(z)), pick] -= 1
-            return loss, prob
-
-        loss, dz = soft(h @ p["class"] + p["class_b"], group)
-        dz *= real[:, None] / np.float32(total)
-        value = float((loss * real).sum())
-        d["class"], d["class_b"] = h.T @ dz, dz.sum(0)
-        dh = dz @ p["class"].T
+            nonlocal value
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+            value -= float(np.log(z[at, pick] + 1e-30).sum())
+            z[at, pick] -= 1
+            z /= np.float32(total)
+
+        ho = h[order]
+        dz = ho @ p["class"] + p["class_b"]
+        soft(dz, want // PER_CLASS)
+        d["class"], d["class_b"] = ho.T @ dz, dz.sum(0)
+        dho = dz @ p["class"].T
         d["unit"], d["unit_b"] = np.zeros_like(p["unit"]), np.zeros_like(p["unit_b"])
-        for c in range(CLASSES):
-            rows = np.flatnonzero((group == c) & real)
-            if len(rows):
-                loss, du = soft(h[rows] @ p["unit"][c] + p["unit_b"][c], inner[rows])
-                du /= np.float32(total)
-                value += float(loss.sum())
-                d["unit"][c], d["unit_b"][c] = h[rows].T @ du, du.sum(0)
-                dh[rows] += du @ p["unit"][c].T
+        du = np.empty((len(want), PER_CLASS), h.dtype)
+        for c, i, j in of_class:
+            np.matmul(ho[i:j], p["unit"][c], out=du[i:j])
+            du[i:j] += p["unit_b"][c]
+        soft(du, want % PER_CLASS)
+        for c, i, j in of_class:
+            d["unit"][c], d["unit_b"][c] = ho[i:j].T @ du[i:j], du[i:j].sum(0)
+            dho[i:j] += du[i:j] @ p["unit"][c].T
+        dh = np.zeros_like(h)
+        dh[order] = dho
         d["w2"], d["b2"] = r.T @ dh, dh.sum(0)
         dr = (dh @ p["w2"].T) * (r > 0)
         d["w1"], d["b1"] = g.T @ dr, dr.sum(0)
@@ -297,11 +304,14 @@ class Attention:
         dx[:, CONTEXT:] += (dg + dq @ p["q"].T).reshape(n, SCORED, DIM)
         d["place"] = dx.sum(0)
         d["embed"] = np.zeros_like(p["embed"])
-        np.add.at(d["embed"], shown.ravel(), dx.reshape(-1, DIM))
+        units = shown.astype(np.int16).ravel()
+        order = np.argsort(units, kind="stable")
+        used, begin = np.unique(units[order], return_index=True)
+        d["embed"][used] = np.add.reduceat(dx.reshape(-1, DIM)[order], begin, axis=0)
         return value / total, d
 
     def train(self, shown: np.ndarray, goal: np.ndarray, first: np.ndarray, steps: int = STEPS, seed: int = 11, *, rate: float = RATE, fresh: bool = True) -> list[float]:
-        """Adam on batches drawn anew each time round; the rate falls to nothing over the steps.  A net that isn't fresh goes on from its weights."""
+        """Adam on batches drawn anew each time round, the last one shorter; the rate falls to nothing over the steps.  A net that isn't fresh goes on from its weights."""
         if not len(shown):
             return []
         if fresh:
@@ -311,7 +321,7 @@ class Attention:
         u = {k: np.zeros_like(v) for k, v in self.p.items()}
         losses, order, at = [], rng.permutation(len(shown)), 0
         for step in range(1, steps + 1):
-            if at + BATCH > len(order):
+            if at >= len(order):
                 order, at = rng.permutation(len(shown)), 0
             rows = order[at : at + BATCH]
             at += BATCH

@@ -3,13 +3,13 @@
 Word counts come from every training document: chunks send the buckets of the hash space
 their distinct words with counts, and get back the corpus count of each.  The units of the
 attention model (attention_lm) are those most frequent in all training documents, counted
-in the same pass.  Its net is fitted on stretches of STRETCH words from any place of texts
-of any length, drawn by hash: a fixed share of the corpus, more of a small one.  A first
-part, of bounded size, is trained on the driver; the rest, which grows with the corpus,
-in groups of that size on the executors, each going on from the first weights, and the
-groups' weights are averaged.  A word's probability is (1 - w) of what the model gives its
-units plus w of its corpus share; w is fitted by EM on stretches of documents that the
-net hasn't seen, these documents' own words taken out of the counts.
+in the same pass.  Five in six of these documents train its net, every word of every one,
+the others fit the mixture.  The net begins with stretches of STRETCH words from any place
+of texts of any length, drawn by hash, of bounded size, on the driver; tasks then go on
+from these weights over groups of whole texts where they read them, and the weights of
+all groups are averaged, each by its size.  A word's probability is (1 - w) of what the
+model gives its units plus w of its corpus share; w is fitted by EM on every word of the
+documents that the net hasn't seen, each document's own words taken out of the counts.
 
 Defined results: a null or empty text is its end alone.  A null doc_id counts as held
 out: it is scored and teaches nothing.  Repeated rows count as often as they stand in
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +32,14 @@ from strandlake.llm.words import Words, mix64, slices, split_words
 #: Words in a stretch, and those before it whose units are its context.
 STRETCH = 48
 BEFORE = CONTEXT + 1
-#: The share of the corpus that trains the net, and the bytes that train it on the driver (a small corpus has no others).
-TRAIN_SHARE = 1 / 50
+#: The share of the net's documents that trains it: all; the bytes that begin it on the driver, and those of a group.
+TRAIN_SHARE = 1.0
 FIRST_BYTES = 2_400_000
-#: One training document of so many fits the mixture, not the net; the share of these that does, and its least bytes.
+#: One training document of so many fits the mixture, not the net.
 HELD_SHARE = 6
-MIXTURE_SHARE = 1 / 50
-MIXTURE_BYTES = 400_000
-#: Bytes of stretches in a group that fits the mixture.
-GROUP_BYTES = 1 << 20
-#: Chunk numbers of rows that aren't documents: totals, unit counts, and (downwards) stretches that fit the mixture.
+#: Bytes of documents in a group that fits the mixture.
+GROUP_BYTES = 4 << 20
+#: Chunk numbers of rows that aren't documents: totals, unit counts, and (downwards) documents that fit the mixture.
 TOTALS, UNIT_TOTALS, SAMPLE = -1, -2, -10
 #: Buckets beyond those of the words, that sum the counts of units.
 UNIT_BUCKETS = 16
@@ -160,16 +159,23 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _onward(shared):
-    """A group's weights after one pass over its windows from the shared net's."""
+    """The weights of a task's groups, each after one pass over its whole texts from the shared net's, times their windows and summed."""
 
-    def run(table: pa.Table) -> pa.Table:
-        net = Attention()
-        net.p = {k: v.copy() for k, v in shared.value.items()}
-        rows = _unpacked(table)
-        net.train(*rows, steps=max(1, len(rows[0]) // BATCH), rate=RATE / 4, fresh=False)
-        flat = np.concatenate([net.p[k].ravel() for k in sorted(net.p)]).astype(np.float64)
-        part = table.column("part")[0].as_py()
-        return pa.table({"slot": pa.array([part % UNIT_BUCKETS], pa.int32()), "n": pa.array([len(rows[0])], pa.int64()), "weights": pa.array([(flat * len(rows[0])).tobytes()], pa.binary())})
+    def run(batches):
+        units, start = shared.value
+        total, n, slot = 0.0, 0, TaskContext.get().partitionId() % UNIT_BUCKETS
+        for batch in batches:
+            for part in slices(batch, "text", FIRST_BYTES):
+                w = split_words(part.column("text"))
+                seq, begin, first = unit_rows(units, w, w.data.tobytes(), w.hashes(lower=True))
+                rows = windows(seq.astype(np.int16), begin[first])
+                net = Attention()
+                net.p = {k: v.copy() for k, v in start.items()}
+                net.train(*rows, steps=-(-len(rows[0]) // BATCH), rate=RATE / 4, fresh=False)
+                total = total + np.concatenate([net.p[k].ravel() for k in sorted(net.p)]).astype(np.float64) * len(rows[0])
+                n += len(rows[0])
+        if n:
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
     return run
 
@@ -179,47 +185,22 @@ def _sum_weights(table: pa.Table) -> pa.Table:
     return pa.table({"slot": table.column("slot")[:1], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
 
-def _mixture_stretches(share: float, groups: int):
-    """Stretches drawn from (h, text), with how often each of their words stands in the whole document."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w = split_words(part.column("text"))
-                seeds = part.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                raw, h, out = w.data.tobytes(), w.hashes(lower=True), []
-                for row, number, key in zip(*(x.tolist() for x in _drawn(w, seeds, share)), strict=True):
-                    begin, end = int(w.first[row]), int(w.first[row + 1])
-                    low = begin + number * STRETCH
-                    high = min(low + STRETCH, end)
-                    _, at, n = np.unique(h[begin:end], return_inverse=True, return_counts=True)
-                    text = b" ".join(raw[a:b] for a, b in zip(w.starts[low:high].tolist(), w.ends[low:high].tolist(), strict=True)).decode()
-                    out.append((SAMPLE - key % groups, text, n[at[low - begin : high - begin]].astype(np.int64).tobytes(), high == end))
-                if out:
-                    cols = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.binary(), pa.bool_()), strict=True)], names=["chunk", "text", "own", "ends"])
-
-    return run
-
-
 def _ratios(shared):
-    """For a group of stretches a histogram of the log of corpus share over the net's probability; the last bin counts words without a share."""
+    """For a group of documents a histogram of the log of corpus share over the net's probability; the last bin counts words without a share."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model: Model = shared.value
         total = np.zeros(BINS + 1, np.int64)
         if left.num_rows:
-            parts = [(p, split_words(p.column("text"))) for p in slices(left, "text")]
-            hashes = [w.hashes(lower=True) for _, w in parts]
+            parts = [split_words(p.column("text")) for p in slices(left, "text")]
+            hashes = [w.hashes(lower=True) for w in parts]
             keys = np.unique(np.concatenate(hashes))
             corpus = spread.answered(right, 1, np.uint64).astype(np.float64)
-            for (part, w), h in zip(parts, hashes, strict=True):
+            for w, h in zip(parts, hashes, strict=True):
                 log_model, _ = model.log_words(w, w.data.tobytes(), h)
-                own = spread.joined(part.column("own"), np.int64)[0]
-                counts = _rows(w, np.maximum(corpus[np.searchsorted(keys, h)] - own, 0) if len(h) else np.zeros(0), float(model.ends))
-                real = np.ones(len(counts), bool)  # a stretch that doesn't end its text has no end to score
-                real[np.cumsum(w.counts() + 1) - 1] = part.column("ends").to_numpy(zero_copy_only=False).astype(bool)
-                log_model, counts = log_model[real], counts[real]
+                at = np.searchsorted(keys, h)
+                _, index, own = np.unique(w.rows() * len(keys) + at, return_inverse=True, return_counts=True)
+                counts = _rows(w, np.maximum(corpus[at] - own[index], 0) if len(h) else np.zeros(0), float(model.ends - 1))
                 ratio = model.base_log(counts) - log_model
                 place = np.clip(((ratio + REACH) * (BINS / (2 * REACH))).astype(np.int64), 0, BINS - 1)
                 total += np.bincount(np.where(counts > 0, place, BINS), minlength=BINS + 1)
@@ -228,6 +209,21 @@ def _ratios(shared):
     return run
 
 
+def unit_rows(units: Units, w: Words, raw: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units of all tokens of all rows (a row's words, then its end), where each token begins in them, and which token each row begins with."""
+    rows = len(w.first) - 1
+    _, index, at = np.unique(hashes, return_index=True, return_inverse=True)
+    spelt = units.of([raw[w.starts[i] : w.ends[i]].lower() for i in index.tolist()])
+    sizes = np.array([1] + [len(s) // 2 for s in spelt], np.int64)
+    pool = np.frombuffer(b"".join([np.array([END], np.int16).tobytes(), *spelt]), np.int16).astype(np.int64)
+    offsets = np.cumsum(sizes) - sizes
+    token = np.zeros(len(hashes) + rows, np.int64)  # 0 is the end
+    token[np.arange(len(hashes)) + w.rows()] = at + 1
+    size = sizes[token]
+    begin = np.cumsum(size) - size
+    return pool[np.repeat(offsets[token] - begin, size) + np.arange(int(size.sum()))], begin, w.first[:-1] + np.arange(rows)
+
+
 class Model:
     def __init__(self, units: Units, net: Attention, share: float, tokens: int, distinct: int, ends: int):
         self.units, self.net, self.share = units, net, share
@@ -235,18 +231,7 @@ class Model:
 
     def log_words(self, w: Words, raw: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of each token of each row (its words, then its end), and where each row's tokens begin."""
-        rows = len(w.first) - 1
-        _, index, at = np.unique(hashes, return_index=True, return_inverse=True)
-        spelt = self.units.of([raw[w.starts[i] : w.ends[i]].lower() for i in index.tolist()])
-        sizes = np.array([1] + [len(s) // 2 for s in spelt], np.int64)
-        pool = np.frombuffer(b"".join([np.array([END], np.int16).tobytes(), *spelt]), np.int16).astype(np.int64)
-        offsets = np.cumsum(sizes) - sizes
-        token = np.zeros(len(hashes) + rows, np.int64)  # 0 is the end
-        token[np.arange(len(hashes)) + w.rows()] = at + 1
-        size = sizes[token]
-        begin = np.cumsum(size) - size
-        seq = pool[np.repeat(offsets[token] - begin, size) + np.arange(int(size.sum()))]
-        first = w.first[:-1] + np.arange(rows)
+        seq, begin, first = unit_rows(self.units, w, raw, hashes)
         shown, goal, head = windows(seq, begin[first])
         found = self.net.log_probs(shown, goal, head)[goal >= 0]
         return np.add.reduceat(found.astype(np.float64), begin), first
@@ -305,29 +290,31 @@ def _mixture(found: np.ndarray, rounds: int = 30) -> float:
     return weight
 
 
+def _go_on(seen: DataFrame, units: Units, net: Attention) -> int:
+    """Takes the net on over all windows of all texts, in groups whose weights are averaged; how many windows they were."""
+    form = "slot int, n long, weights binary"
+    shared = seen.sparkSession.sparkContext.broadcast((units, net.p))
+    sums = seen.select("text").mapInArrow(_onward(shared), form).groupBy("slot").applyInArrow(_sum_weights, form).collect()  # UNIT_BUCKETS rows at most
+    n = sum(r.n for r in sums)
+    if n:
+        flat = sum(np.frombuffer(bytes(r.weights), np.float64) for r in sorted(sums, key=lambda r: r.slot)) / n
+        at = 0
+        for k in sorted(net.p):
+            shape, many = net.p[k].shape, net.p[k].size
+            net.p[k] = flat[at : at + many].reshape(shape).astype(np.float32)
+            at += many
+    return n
+
+
 def _fitted(taught: DataFrame, units: Units, size: int, steps: int) -> Attention:
-    """The net, trained on stretches of documents (h, text) with ``size`` bytes in all."""
+    """The net, trained on documents (h, text) with ``size`` bytes in all."""
     spark = taught.sparkSession
     net = Attention()
     low = FIRST_BYTES / max(size, 1)
-    share = max(TRAIN_SHARE, low)
-    drawn = cut(taught.filter(F.pmod("h", F.lit(HELD_SHARE)) != 0).mapInArrow(_training(spark.sparkContext.broadcast(units), share), WINDOWS))
-    first = F.col("key") < int(min(low, 1.0) * 2**31)
-    net.train(*_unpacked(drawn.filter(first).toArrow()), steps=steps)
-    if share > low and steps:
-        groups = int(-(-(share - low) * size // FIRST_BYTES))
-        weights = spark.sparkContext.broadcast(net.p)
-        rest = drawn.filter(~first).withColumn("part", (F.col("key") % groups).cast("int"))
-        form = "slot int, n long, weights binary"
-        sums = rest.groupBy("part").applyInArrow(_onward(weights), form).groupBy("slot").applyInArrow(_sum_weights, form).collect()
-        n = sum(r.n for r in sums)
-        if n:
-            flat = sum(np.frombuffer(bytes(r.weights), np.float64) for r in sorted(sums, key=lambda r: r.slot)) / n
-            at = 0
-            for k in sorted(net.p):
-                shape, many = net.p[k].shape, net.p[k].size
-                net.p[k] = flat[at : at + many].reshape(shape).astype(np.float32)
-                at += many
+    seen = taught.filter(F.pmod("h", F.lit(HELD_SHARE)) != 0)
+    net.train(*_unpacked(seen.mapInArrow(_training(spark.sparkContext.broadcast(units), min(low, TRAIN_SHARE)), WINDOWS).toArrow()), steps=steps)
+    if low < TRAIN_SHARE and steps:
+        _go_on(seen, units, net)
     return net
 
 
@@ -340,9 +327,8 @@ def score(docs: DataFrame, held: str = "held_out", *, path: str | None = None, s
     texts = spread.by_chunk(picked, ["doc_id", "held_out", "text"], spread.chunks(spark))
     taught = picked.filter("NOT held_out").select(F.xxhash64("doc_id").alias("h"), "text")
     ends, size = taught.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    share = max(MIXTURE_SHARE, HELD_SHARE * MIXTURE_BYTES / max(size, 1))
-    groups = max(1, int(min(share, 1.0) * size / HELD_SHARE / GROUP_BYTES))
-    unseen = cut(taught.filter(F.pmod("h", F.lit(HELD_SHARE)) == 0).mapInArrow(_mixture_stretches(share, groups), "chunk int, text string, own binary, ends boolean"))
+    groups = max(1, size // (HELD_SHARE * GROUP_BYTES))
+    unseen = taught.filter(F.pmod("h", F.lit(HELD_SHARE)) == 0).select((SAMPLE - F.pmod(F.xxhash64("h"), F.lit(groups))).cast("int").alias("chunk"), "text")
     extra = unseen.select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("held_out"), "text")
     counted = cut(
         texts.unionAll(extra).groupBy("chunk").applyInArrow(_send_counts(n, path), spread.SENT)

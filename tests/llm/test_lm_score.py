@@ -123,3 +123,28 @@ def test_training_grows_with_the_corpus_and_reaches_every_place(spark, monkeypat
     seq = np.arange(100, 400)
     whole, part = lm.windows(seq, np.array([0])), lm.stretch_windows(seq[:48], seq[48:])
     assert all((a[2:] == b).all() for a, b in zip(whole, part))
+
+
+def test_every_training_word_teaches_net_or_mixture(spark, monkeypatch):
+    monkeypatch.setattr(ls, "FIRST_BYTES", 20_000)
+    rows = [(i, " ".join("alpha beta gamma delta".split() * (2000 + i)), i % 10 == 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    fits = {r[0] for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ls.HELD_SHARE)) == 0).select("doc_id").collect()}
+    found, went, mixture, on = [], [], ls._mixture, ls._go_on
+    monkeypatch.setattr(ls, "_mixture", lambda x: (found.append(int(x.sum())), mixture(x))[1])
+    monkeypatch.setattr(ls, "_go_on", lambda seen, units, net: went.append((units, on(seen, units, net))))
+    ls.score(docs, steps=20)
+    taught = [(i, text.encode().split()) for i, text, held in rows if not held]
+    assert found == [sum(len(ws) + 1 for i, ws in taught if i in fits)]
+    units, n = went[0]
+    sizes = [sum(len(x) // 2 for x in units.of(ws)) + 1 for i, ws in taught if i not in fits]
+    assert n == sum(-(-size // lm.SCORED) for size in sizes)
+
+
+def test_a_pass_holds_every_window(monkeypatch):
+    net, seen = lm.Attention(), []
+    rows = lm.windows(np.arange(1, 1 + lm.SCORED * 200) % lm.UNITS, np.array([0]))
+    gradients = net.gradients
+    monkeypatch.setattr(net, "gradients", lambda s, g, f: (seen.extend(g[:, 0].tolist()), gradients(s, g, f))[1])
+    net.train(*rows, steps=2, fresh=False)
+    assert sorted(seen) == sorted(rows[1][:, 0].tolist())
