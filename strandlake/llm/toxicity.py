@@ -9,9 +9,12 @@ word and as the likeliest row of words, known ones of any length standing anywhe
 both take time in proportion to its length.  The score comes from a logistic regression on restored words and their
 beginnings, each counted once a document.
 
-The character model, the known words and the regression are fitted on a bounded sample
-of labelled documents (``positives`` and ``negatives``, those with the lowest hashes,
-of at most ``max_chars`` characters).
+The character model, the known words and the regression are fitted on every labelled
+document, whole.  Words, their trigrams and the documents of each feature are counted in
+tasks and summed by Spark; a document is decoded once, and its restored words are kept for
+the counts and for the regression, which Spark's own fits.  Near copies (the same three
+lowest hashes of five words) of one label count once.  A known word stands twice and at
+least once in KNOWN_WORDS words, so that no more than so many are known.
 
 Defined results: null and empty texts get the score of a text without any signal.  A
 document labelled several times is toxic if any label is.  Without labels of both kinds
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -30,19 +32,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.store import remainder
+from strandlake.llm.store import cut, remainder
+from strandlake.llm.words import mix64, slices, split_words, window_hashes, window_starts
 
-POSITIVES = 1500
-NEGATIVES = 3000
-MAX_CHARS = 12_000
+#: A known word stands at least once in so many words of the labelled documents.
+KNOWN_WORDS = 1_000_000
 MIN_DOCS = 3
 MIN_Z = 3.5
 #: Documents that a word needs to be an example by itself.
 ALONE_DOCS = 20
 PREFIXES = (4, 5, 6, 7, 8)
+#: What the square of a weight costs in the regression.
+RIDGE = 1e-6
 #: Words a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -66,22 +72,44 @@ LEAST_WORD, WORD_LETTER, WORD_PRICE, BREAK = 3, 3.0, 6.0, 2.0
 _COST_LIKE, _COST_DROP, _COST_LOSE, _COST_RUN, _COST_PAIR, LETTER, KNOWN_WORD = 1.0, 0.5, 6.0, 0.5, 4.0, 2.5, 6.0
 
 
+def _known(words: dict[str, int], total: int) -> set[str]:
+    return {w for w, n in words.items() if n >= 2 and n * KNOWN_WORDS >= total}
+
+
+def _grams(words: dict[str, int]) -> Counter:
+    """Weights of the trigrams of distinct words with these counts, whole numbers so that sums don't depend on an order."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        weight = round((1 + math.log(n)) * (1 << 20))
+        marked = f"^^{w}$"
+        for i in range(2, len(marked)):
+            out[marked[i - 2 : i + 1]] += weight
+    return out
+
+
 class CharModel:
     """Interpolated character trigrams; words are weighted by the logarithm of their count."""
 
-    def __init__(self, words: Counter):
-        self.known = {w for w, n in words.items() if n >= 2}
-        tri: dict[str, Counter] = defaultdict(Counter)
+    def __init__(self, words: dict[str, int]):
+        self._fill(_known(words, sum(words.values())), _grams(words))
+
+    @classmethod
+    def summed(cls, known: Iterable[str], grams: dict[str, int]) -> CharModel:
+        """From known words and the weights of trigrams (``_grams``), summed over all words."""
+        made = cls.__new__(cls)
+        made._fill(set(known), grams)
+        return made
+
+    def _fill(self, known: set[str], grams: dict[str, int]):
+        self.known = known
+        tri: dict[str, dict[str, int]] = defaultdict(dict)
         one: Counter = Counter()
-        for w, n in words.items():
-            weight = 1 + np.log(n)
-            marked = f"^^{w}$"
-            for i in range(2, len(marked)):
-                tri[marked[i - 2 : i]][marked[i]] += weight
-                one[marked[i]] += weight
+        for gram in sorted(grams):
+            tri[gram[:2]][gram[2]] = grams[gram]
+            one[gram[2]] += grams[gram]
         total = sum(one.values()) or 1
         self.base = {c: n / total for c, n in one.items()}
-        self.tri = {h: (sum(c.values()), dict(c)) for h, c in tri.items()}
+        self.tri = {h: (sum(c.values()), c) for h, c in tri.items()}
         self._open()
 
     def _open(self):
@@ -375,99 +403,212 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def _features_of(text: str, chars: CharModel) -> set[str]:
+def restored(text: str, chars: CharModel, cache: dict[str, str]) -> set[str]:
+    """The distinct restored words of a text."""
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
     out: set[str] = set()
     for token in set(text.split()):
-        out.update(features(restore(token, chars)))
-    for word in spaced(text, chars):
-        out.update(features(word))
+        word = cache.get(token)
+        if word is None:
+            word = cache[token] = restore(token, chars)
+        out.add(word)
+    out.update(spaced(text, chars))
+    out.discard("")
+    return out
+
+
+def _features_of(words: Iterable[str]) -> set[str]:
+    return {f for word in words for f in features(word)}
+
+
+def sketches(texts: pa.Array) -> np.ndarray:
+    """A hash of each text's three lowest hashes of five words (of all its words, if fewer): near copies mostly share it."""
+    w = split_words(texts)
+    h, count = w.hashes(lower=True), w.counts()
+    out = np.zeros(len(count), np.uint64)
+    for i in range(4):
+        some = np.flatnonzero((count > i) & (count < 5))
+        out[some] = mix64(out[some] + h[w.first[some] + i])
+    most = np.uint64(2**64 - 1)
+    at = window_starts(w.first, 5)
+    if len(at):
+        found, rows = window_hashes(h, 5)[at], np.flatnonzero(count >= 5)
+        each = count[rows] - 4
+        begin = np.cumsum(each) - each
+        for _ in range(3):
+            low = np.minimum.reduceat(found, begin)
+            out[rows] = mix64(out[rows] + low)
+            found[found == np.repeat(low, each)] = most
     return out
 
 
-def _unlike(texts: list[str]) -> list[bool]:
-    """False for a text that shares one of its lowest five-word hashes with one before it: copies would count twice."""
-    seen: set[int] = set()
+def _odds(a, b, pos: int, neg: int):
+    """How many standard errors a feature's log odds ratio is above 0, for Spark columns or numbers."""
+    log, root = (F.log, F.sqrt) if hasattr(a, "cast") else (math.log, math.sqrt)
+    return (log((a + 0.5) / (pos - a + 0.5)) - log((b + 0.5) / (neg - b + 0.5))) / root(1 / (a + 0.5) + 1 / (b + 0.5))
+
+
+def _alone(chosen: dict[str, tuple[int, int]], pos: int, neg: int, totals: tuple[int, int]) -> list[tuple[list[str], float]]:
+    """A chosen word by itself is an example too, as toxic as the documents that hold it: its features, and how toxic."""
     out = []
-    for text in texts:
-        w = text.lower().encode().split()
-        low = sorted({zlib.crc32(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))})[:3]
-        out.append(seen.isdisjoint(low))
-        seen.update(low)
+    for f, (a, b) in sorted(chosen.items()):
+        if f.endswith("$") and a >= ALONE_DOCS:
+            own = a * totals[1] / pos
+            out.append(([x for x in features(f[:-1]) if x in chosen], (own + 0.1) / (own + b * totals[0] / neg + 1)))
     return out
 
 
 def fit(rows: Iterable[tuple[str, int]], totals: tuple[int, int]) -> Model:
-    """A model from (text, toxic) rows; totals: how many rows of label 0 and 1 the sample stands for."""
+    """A model from a few (text, toxic) rows in memory, as ``train`` fits it on tables; totals: how many documents of label 0 and 1 they stand for."""
     rows = [(t or "", int(y)) for t, y in rows]
-    y = np.array([r[1] for r in rows], float)
-    if not len(y) or y.min() == y.max():
+    copies = zip(sketches(pa.array([t for t, _ in rows], pa.string())).tolist(), rows, strict=True)
+    rows = list({(h, y): (t, y) for h, (t, y) in copies}.values())
+    pos = sum(y for _, y in rows)
+    neg = len(rows) - pos
+    if not pos or not neg:
         return Model(None, {}, 0.0)
-    rows = [r for r, fresh in zip(rows, _unlike([t for t, _ in rows]), strict=True) if fresh]
-    y = np.array([r[1] for r in rows], float)
     words: Counter = Counter()
     for text, _ in rows:
         words.update(w for t in text.split() if (w := plain(t)))
-    chars = CharModel(words)
-    # features are counted, never held for all documents: first those of toxic ones, then these among the others
+    chars, cache = CharModel(words), {}
+    docs = [(_features_of(restored(t, chars, cache)), y) for t, y in rows]
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for (text, _), label in zip(rows, y, strict=True):
-        if label:
-            counts[1].update(_features_of(text, chars))
-    for f in [f for f, n in counts[1].items() if n < MIN_DOCS]:
-        del counts[1][f]
-    for (text, _), label in zip(rows, y, strict=True):
-        if not label:
-            counts[0].update(f for f in _features_of(text, chars) if f in counts[1])
-    pos, neg = y.sum(), len(y) - y.sum()
-    chosen = set()
-    for f, a in counts[1].items():
-        b = counts[0][f]
-        odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
-        if odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > MIN_Z:
-            chosen.add(f)
-    docs = [_features_of(t, chars) & chosen for t, _ in rows]
+    for found, y in docs:
+        counts[y].update(found)
+    chosen = {f: (a, counts[0][f]) for f, a in counts[1].items() if a >= MIN_DOCS and _odds(a, counts[0][f], pos, neg) > MIN_Z}
+    examples = [(sorted(found & chosen.keys()), float(y), totals[y] / (pos if y else neg) * (pos + neg) / max(1, sum(totals))) for found, y in docs]
+    examples += [(found, y, 3.0) for found, y in _alone(chosen, pos, neg, totals)]
     place = {f: i for i, f in enumerate(sorted(chosen))}
-    weight = np.where(y == 1, totals[1] / pos, totals[0] / neg)
-    weight /= weight.mean()
-    # a chosen word by itself is an example too, as toxic as the documents that hold it
-    for f in sorted(chosen):
-        a, b = counts[1][f], counts[0][f]
-        if f.endswith("$") and a >= ALONE_DOCS:
-            own = a * totals[1] / pos
-            docs.append(set(features(f[:-1])))
-            y = np.append(y, (own + 0.1) / (own + b * totals[0] / neg + 1))
-            weight = np.append(weight, 3.0)
-    r = np.concatenate([np.full(sum(f in place for f in d), i) for i, d in enumerate(docs)]).astype(int)
-    c = np.array([place[f] for d in docs for f in sorted(d) if f in place], int)
+    y, weight = (np.array([x[i] for x in examples]) for i in (1, 2))
+    r = np.repeat(np.arange(len(examples)), [len(x[0]) for x in examples])
+    c = np.array([place[f] for x in examples for f in x[0]], int)
     w, bias = np.zeros(len(place)), float(np.log(max(totals[1], 1) / max(totals[0], 1)))
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, 801):  # Adam on the weighted log loss
         z = bias + np.bincount(r, weights=w[c], minlength=len(y)) if len(c) else np.full(len(y), bias)
         d = weight * (1 / (1 + np.exp(-z)) - y) / len(y)
-        grad = np.append(np.bincount(c, weights=d[r], minlength=len(w)) + 1e-6 * w, d.sum())
+        grad = np.append(np.bincount(c, weights=d[r], minlength=len(w)) + RIDGE * w, d.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
     return Model(chars, {f: float(w[i]) for f, i in place.items()}, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, negatives: int = NEGATIVES, max_chars: int = MAX_CHARS) -> Model:
-    """Fitted on labelled documents (doc_id, text) and (doc_id, toxic), a bounded number of each kind."""
-    marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    totals = dict(marks.groupBy((F.col("toxic") > 0).cast("int")).count().collect())
-    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").filter(F.length("text") <= max_chars)
-    rows: list[tuple[str, int]] = []
-    for label, most in ((0, negatives), (1, positives)):
-        some = marks.filter((F.col("toxic") > 0).cast("int") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        got = texts.join(F.broadcast(some.select("doc_id")), "doc_id").orderBy("doc_id", "text").limit(2 * most).toArrow()
-        rows += [(t, label) for t in got.column("text").to_pylist()[:most]]
-    return fit(rows, (totals.get(0, 0), totals.get(1, 0)))
+def _sketched(batches):
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found = pa.array(sketches(part.column("text")).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), found], names=["doc_id", "key", "sketch"])
+
+
+def _counted(counts: dict, names: tuple[str, ...]) -> pa.RecordBatch:
+    """Counts, or tuples of them, by their key; the keys are dropped from ``counts``."""
+    values = [x if isinstance(x, (list, tuple)) else (x,) for x in counts.values()]
+    columns = [pa.array(list(counts), pa.string()), *[pa.array([x[i] for x in values], pa.int64()) for i in range(len(names) - 1)]]
+    counts.clear()
+    return pa.RecordBatch.from_arrays(columns, names=list(names))
+
+
+def _plain_words(batches):
+    """Words with a single reading of (text), with counts."""
+    words: Counter = Counter()
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            for token, n in Counter(text.split()).items():
+                if word := plain(token):
+                    words[word] += n
+            if len(words) > CACHE_WORDS:
+                yield _counted(words, ("word", "n"))
+    yield _counted(words, ("word", "n"))
+
+
+def _gram_sums(batches):
+    for batch in batches:
+        yield _counted(_grams(dict(zip(*(batch.column(c).to_pylist() for c in ("word", "n")), strict=True))), ("gram", "weight"))
+
+
+def _reading(shared):
+    """The restored words of (toxic, text), a line each."""
+
+    def run(batches):
+        cache: dict[str, str] = {}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = ["\n".join(sorted(restored(t, shared.value, cache))) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(words, pa.string())], names=["toxic", "words"])
+
+    return run
+
+
+def _feature_counts(batches):
+    """Documents of each label that hold a feature."""
+    counts: dict[str, list[int]] = {}
+    for batch in batches:
+        for y, words in zip(*(batch.column(c).to_pylist() for c in ("toxic", "words")), strict=True):
+            for f in _features_of(words.split("\n")):
+                found = counts.get(f)
+                if found is None:
+                    found = counts[f] = [0, 0]
+                found[y] += 1
+            if len(counts) > CACHE_WORDS:
+                yield _counted(counts, ("feature", "b", "a"))
+    yield _counted(counts, ("feature", "b", "a"))
+
+
+def _active(shared):
+    """The chosen features of each document."""
+
+    def run(batches):
+        for batch in batches:
+            found = [sorted(_features_of(words.split("\n")) & shared.value.keys()) for words in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "active"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fitted on all labelled documents (doc_id, text) and (doc_id, toxic)."""
+    spark = docs.sparkSession
+    marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
+    counted = dict(marks.groupBy("toxic").count().collect())
+    totals = (counted.get(0, 0), counted.get(1, 0))
+    texts = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    form = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, key long, sketch long"
+    one = texts.mapInArrow(_sketched, form).join(marks, "doc_id").groupBy("toxic", "sketch").agg(F.min(F.struct("doc_id", "key")).alias("at")).select("toxic", "at.*")
+    rows = cut(texts.join(one.hint("shuffle_hash"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("toxic", "text"))
+    known = dict(rows.groupBy("toxic").count().collect())
+    neg, pos = known.get(0, 0), known.get(1, 0)
+    if not pos or not neg:
+        return Model(None, {}, 0.0)
+    words = cut(rows.select("text").mapInArrow(_plain_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # no more words than KNOWN_WORDS, no more trigrams than letters allow
+    names = words.filter((F.col("n") >= 2) & (F.col("n") * KNOWN_WORDS >= total)).select("word").toArrow().column(0).to_pylist()
+    grams = words.mapInArrow(_gram_sums, "gram string, weight long").groupBy("gram").agg(F.sum("weight")).toArrow()
+    chars = CharModel.summed(names, dict(zip(*(c.to_pylist() for c in grams.columns), strict=True)))
+    read = cut(rows.mapInArrow(_reading(spark.sparkContext.broadcast(chars)), "toxic int, words string"))
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    held = read.mapInArrow(_feature_counts, "feature string, b long, a long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    chosen = {r.feature: (r.a, r.b) for r in held.filter((F.col("a") >= MIN_DOCS) & (_odds(a, b, pos, neg) > MIN_Z)).collect()}
+    if not chosen:
+        return Model(chars, {}, math.log(totals[1] / totals[0]))
+    share = [totals[y] / n * (pos + neg) / sum(totals) for y, n in ((0, neg), (1, pos))]
+    sets = read.mapInArrow(_active(spark.sparkContext.broadcast(chosen)), "toxic int, active array<string>").groupBy("toxic", "active").count()
+    examples = sets.select("active", F.col("toxic").cast("double").alias("label"), (F.col("count") * F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).alias("weight"))
+    alone = [(found, label, 3.0 * part) for found, y in _alone(chosen, pos, neg, totals) for label, part in ((1.0, y), (0.0, 1 - y))]
+    if alone:
+        examples = examples.unionAll(spark.createDataFrame(alone, "active array<string>, label double, weight double"))
+    vocabulary = sorted(chosen)
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="active", outputCol="features", minTF=1.0).transform(examples)
+    found = LogisticRegression(weightCol="weight", regParam=RIDGE, standardization=False, maxIter=200, tol=1e-8).fit(vectors)
+    return Model(chars, dict(zip(vocabulary, found.coefficients.toArray().tolist(), strict=True)), float(found.intercept))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """score and predicted beside the kept columns."""
     picked = docs.select(*keep, "text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # known words, trigrams and chosen features
 
     def run(batches):
         for batch in batches:

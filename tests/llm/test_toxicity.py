@@ -199,3 +199,42 @@ def test_tokens_left_undecoded_have_no_signal(model):
         assert model._signals(token) == want, token
         found += bool(want)
     assert found > 200
+
+
+def test_long_documents_teach(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 3300) + (" moron" if i % 2 else ""), i % 2) for i in range(80)]
+    assert all(len(text) > 12_000 for _, text, _ in rows)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    found = tx.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert found.score("the of m0r0n and to") >= 0.5 > found.score("the of and to")
+
+
+def test_every_labelled_document_teaches(spark):
+    """More documents of each label than were once drawn; each word stands in two of them, so one left out would lose a known word."""
+    rng = random.Random(13)
+    name = ["".join(rng.choices("bcdfghklmnprstvwz", k=9)) for _ in range(2600)]
+    name = [w for w in name if not any(a == b for a, b in zip(w, w[1:]))]
+    rows = [(2 * i + j, f"{prose(rng, 9)} {w}{' idiot' if i % 3 == 0 else ''}", int(i % 3 == 0)) for i, w in enumerate(name) for j in (0, 1)]
+    assert sum(y for *_, y in rows) > 1000 and len(rows) > 3000
+    rows += rows[:50]  # repeated rows count once
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = tx.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert got.chars.known >= set(name)
+    kept = sorted(set(rows))
+    want = tx.fit([(text, y) for _, text, y in kept], (sum(1 - y for *_, y in kept), sum(y for *_, y in kept)))
+    assert got.chars.__getstate__() == want.chars.__getstate__() and got.weights.keys() == want.weights.keys()
+    for text in ("the of idiot", "the 1d10t of", "the of and to", None):
+        assert abs(got.score(text) - want.score(text)) < 0.02, text
+
+
+def test_near_copies_share_a_sketch():
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    texts = [prose(rng, n) for n in (0, 1, 3, 5, 60, 200)]
+    found = tx.sketches(pa.array([*texts, *[t.upper() for t in texts], None])).tolist()
+    assert found[:6] == found[6:12] and len(set(found)) == 6 and found[12] == found[0]
+    words = texts[5].split()
+    near = [" ".join([*words[:i], "zebra", *words[i + 1 :]]) for i in range(0, 200, 4)]
+    assert sum(x == found[5] for x in tx.sketches(pa.array(near)).tolist()) > 40
