@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -47,6 +48,8 @@ MIN_Z = 3.5
 #: Documents that a word needs to be an example by itself.
 ALONE_DOCS = 20
 PREFIXES = (4, 5, 6, 7, 8)
+#: Bits that mark features of toxic documents by hash.
+MARKS = 1 << 24
 #: What the square of a weight costs in the regression.
 RIDGE = 1e-6
 #: Words a worker remembers.
@@ -541,27 +544,42 @@ def _reading(shared):
     return run
 
 
-def _feature_counts(batches):
-    """Documents of each label that hold a feature."""
-    counts: dict[str, list[int]] = {}
-    for batch in batches:
-        for y, words in zip(*(batch.column(c).to_pylist() for c in ("toxic", "words")), strict=True):
-            for f in _features_of(words.split("\n")):
-                found = counts.get(f)
-                if found is None:
-                    found = counts[f] = [0, 0]
-                found[y] += 1
+def _documents_with(shared=None):
+    """How many documents hold each feature; with a bitmap of hashes, only of features that it marks."""
+
+    def picked(word: str) -> tuple[str, ...]:
+        return tuple(f for f in features(word) if shared is None or shared.value[zlib.crc32(f.encode()) % MARKS])
+
+    def run(batches):
+        counts: Counter = Counter()
+        cache: dict[str, tuple[str, ...]] = {}
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                own: set[str] = set()
+                for word in words.split("\n"):
+                    found = cache.get(word)
+                    if found is None:
+                        found = cache[word] = picked(word)
+                    own.update(found)
+                counts.update(own)
+                if len(cache) > CACHE_WORDS // 2:
+                    cache.clear()
             if len(counts) > CACHE_WORDS:
-                yield _counted(counts, ("feature", "b", "a"))
-    yield _counted(counts, ("feature", "b", "a"))
+                yield _counted(counts, ("feature", "n"))
+        yield _counted(counts, ("feature", "n"))
+
+    return run
 
 
 def _active(shared):
     """The chosen features of each document."""
 
     def run(batches):
+        chosen = shared.value
+        heads = {f[: PREFIXES[0]] for f in chosen}
         for batch in batches:
-            found = [sorted(_features_of(words.split("\n")) & shared.value.keys()) for words in batch.column("words").to_pylist()]
+            texts = [x.split("\n") for x in batch.column("words").to_pylist()]
+            found = [sorted(_features_of(w for w in words if f"{w}$"[: PREFIXES[0]] in heads) & chosen.keys()) for words in texts]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "active"])
 
     return run
@@ -588,13 +606,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     grams = words.mapInArrow(_gram_sums, "gram string, weight long").groupBy("gram").agg(F.sum("weight")).toArrow()
     chars = CharModel.summed(names, dict(zip(*(c.to_pylist() for c in grams.columns), strict=True)))
     read = cut(rows.mapInArrow(_reading(spark.sparkContext.broadcast(chars)), "toxic int, words string"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    held = read.mapInArrow(_feature_counts, "feature string, b long, a long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    chosen = {r.feature: (r.a, r.b) for r in held.filter((F.col("a") >= MIN_DOCS) & (_odds(a, b, pos, neg) > MIN_Z)).collect()}
+    form = "feature string, n long"
+    toxic = read.filter("toxic = 1").select("words").mapInArrow(_documents_with(), form).groupBy("feature").agg(F.sum("n").alias("a"))
+    toxic = cut(toxic.filter(F.col("a") >= MIN_DOCS))
+    # other documents count these features; a false mark is dropped by the join
+    bits = np.zeros(MARKS, bool)
+    bits[toxic.select((F.crc32(F.col("feature").cast("binary")) % MARKS).cast("int").alias("bit")).distinct().toArrow().column(0).to_numpy()] = True
+    marked = spark.sparkContext.broadcast(bits)
+    other = read.filter("toxic = 0").select("words").mapInArrow(_documents_with(marked), form).groupBy("feature").agg(F.sum("n").alias("b"))
+    held = toxic.join(other, "feature", "left").select("feature", "a", F.coalesce("b", F.lit(0)).alias("b"))
+    odds = _odds(F.col("a").cast("double"), F.col("b").cast("double"), pos, neg)
+    chosen = {r.feature: (r.a, r.b) for r in held.filter(odds > MIN_Z).collect()}
     if not chosen:
         return Model(chars, {}, math.log(totals[1] / totals[0]))
     share = [totals[y] / n * (pos + neg) / sum(totals) for y, n in ((0, neg), (1, pos))]
-    sets = read.mapInArrow(_active(spark.sparkContext.broadcast(chosen)), "toxic int, active array<string>").groupBy("toxic", "active").count()
+    sets = cut(read.mapInArrow(_active(spark.sparkContext.broadcast(chosen)), "toxic int, active array<string>").groupBy("toxic", "active").count())
     examples = sets.select("active", F.col("toxic").cast("double").alias("label"), (F.col("count") * F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).alias("weight"))
     alone = [(found, label, 3.0 * part) for found, y in _alone(chosen, pos, neg, totals) for label, part in ((1.0, y), (0.0, 1 - y))]
     if alone:
