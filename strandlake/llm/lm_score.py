@@ -37,8 +37,6 @@ TRAIN_SHARE = 1.0
 FIRST_BYTES = 2_400_000
 #: One training document of so many fits the mixture, not the net.
 HELD_SHARE = 6
-#: Bytes of documents in a group that fits the mixture.
-GROUP_BYTES = 4 << 20
 #: Chunk numbers of rows that aren't documents: totals, unit counts, and (downwards) documents that fit the mixture.
 TOTALS, UNIT_TOTALS, SAMPLE = -1, -2, -10
 #: Buckets beyond those of the words, that sum the counts of units.
@@ -327,7 +325,7 @@ def score(docs: DataFrame, held: str = "held_out", *, path: str | None = None, s
     texts = spread.by_chunk(picked, ["doc_id", "held_out", "text"], spread.chunks(spark))
     taught = picked.filter("NOT held_out").select(F.xxhash64("doc_id").alias("h"), "text")
     ends, size = taught.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    groups = max(1, size // (HELD_SHARE * GROUP_BYTES))
+    groups = max(1, spread.chunks(spark) // HELD_SHARE)  # as large as chunks
     unseen = taught.filter(F.pmod("h", F.lit(HELD_SHARE)) == 0).select((SAMPLE - F.pmod(F.xxhash64("h"), F.lit(groups))).cast("int").alias("chunk"), "text")
     extra = unseen.select("chunk", F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("held_out"), "text")
     counted = cut(
