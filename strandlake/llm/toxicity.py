@@ -52,8 +52,9 @@ PREFIXES = (4, 5, 6, 7, 8)
 MARKS = 1 << 24
 #: What the square of a weight costs in the regression.
 RIDGE = 1e-6
-#: Words a worker remembers.
+#: Words a worker remembers, and the letters of the longest one of them.
 CACHE_WORDS = 400_000
+CACHE_LETTERS = 64
 
 # Signs read as letters.
 LOOKALIKES = {
@@ -66,6 +67,8 @@ _QUOTES = ".,;:?\"'[]}«»“”‘’…"
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?:(?<=\s)|^)\S(?:[ \t]+\S){2,}(?=\s|$)")
+#: The last two signs of any spaced run: found in a fifth of the time, and in few texts.
+_SPACED_END = re.compile(r"[ \t]\S[ \t]+\S(?!\S)")
 #: Letters that a known word needs to be told within a spaced run; what each of its letters is worth there, less a price
 #: for the word (so one long word is worth more than its parts), and the price to begin anew after letters that are no word.
 LEAST_WORD, WORD_LETTER, WORD_PRICE, BREAK = 3, 3.0, 6.0, 2.0
@@ -236,6 +239,31 @@ def decode(token: str, model: CharModel) -> str:
     return "".join(reversed(out))
 
 
+def _one_pair(word: str, at: int, model: CharModel) -> str:
+    """As ``decode``, for letters of which only those at ``at`` and after it are equal neighbours: the better of two readings."""
+    short = word[:at] + word[at + 1 :]
+    score, last, values = 0.0, "^^", []
+    for c in word[:at]:
+        score += LETTER + model.log(last, c)
+        last = last[1] + c
+    for rest, cost in ((word[at:], 0.0), (short[at:], _COST_PAIR)):
+        value, now = score, last
+        for i, c in enumerate(rest):
+            value += (LETTER + model.log(now, c)) if i else (LETTER + model.log(now, c) - cost)
+            now = now[1] + c
+        values.append(value + model.log(now, "$") + (KNOWN_WORD if word[:at] + rest in model.known else 0.0))
+    return word if values[0] >= values[1] else short
+
+
+def _decoded(core: str, model: CharModel) -> str:
+    """``decode``, by two readings where there are no more."""
+    if core.isalpha():
+        pairs = [i for i, (a, b) in enumerate(zip(core, core[1:])) if a == b]
+        if len(pairs) == 1:
+            return _one_pair(core, pairs[0], model)
+    return decode(core, model)
+
+
 def _without_tail(core: str, least: int) -> str:
     """Without a run of ``least`` or more of one sign at the end."""
     if core and not (core[-1].isalnum() or core[-1] == "_"):
@@ -268,7 +296,7 @@ def disguise(token: str) -> str:
 
 def restore(token: str, model: CharModel) -> str:
     word = plain(token)
-    return decode(disguise(token), model) if disguised(word, model) else word
+    return _decoded(disguise(token), model) if disguised(word, model) else word
 
 
 def segments(run: str, model: CharModel) -> list[str]:
@@ -329,7 +357,9 @@ def _ended(state: tuple, model: CharModel) -> float:
 
 def spaced(text: str, model: CharModel) -> list[str]:
     """Words spelt out with blanks between their letters: the run as one word, and the words in it."""
-    out = []
+    out: list[str] = []
+    if not _SPACED_END.search(text):
+        return out
     for m in _SPACED.finditer(text):
         run = "".join(m.group().split()).lower()
         out.append(decode(run, model))
@@ -344,7 +374,10 @@ def features(word: str) -> list[str]:
 class Model:
     def __init__(self, chars: CharModel | None, weights: dict[str, float], bias: float):
         self.chars, self.weights, self.bias = chars, weights, bias
+        #: Tokens with signals, and tokens and beginnings of tokens without any.
         self.cache: dict[str, tuple[str, ...]] = {}
+        self.quiet: set[str] = set()
+        self.calm: dict[str, bool] = {}
         #: What a word with a weight begins with, its end included, and what leads there.
         self.heads = {f[: PREFIXES[0]] for f in weights}
         self.starts = {h[:i] for h in self.heads for i in range(len(h))}
@@ -371,35 +404,53 @@ class Model:
                 return False
         return any(f"{own}$" in self.heads for own in waiting.get(len(core), ()))
 
+    def _calm(self, begin: str) -> bool:
+        """Whether no token that begins so has a signal: no reading changes the unlike letters it begins with."""
+        low = begin.lower()
+        if begin != low and not begin.isascii():
+            return False
+        for n, held in ((2, self.pairs), (PREFIXES[0], self.heads)):
+            own = low[:n]
+            if len(own) == n and own.isalpha() and own not in held and all(a != b for a, b in zip(own, own[1:])):
+                return True
+        return False
+
     def _signals(self, token: str) -> tuple[str, ...]:
-        if token.isalpha() and token.isascii() and len(token) > 1:  # no reading changes two unlike letters it begins with
-            two = token[:2].lower()
-            if two not in self.pairs and two[0] != two[1]:
-                return ()
+        begin = token[: PREFIXES[0]]
+        calm = self.calm.get(begin)
+        if calm is None:
+            if len(self.calm) > CACHE_WORDS:
+                self.calm.clear()
+            calm = self.calm[begin] = self._calm(begin)
+        if calm:
+            return ()
         word = plain(token)
         if disguised(word, self.chars):
             core = disguise(token)
-            word = decode(core, self.chars) if self._begins(core) else ""
+            word = _decoded(core, self.chars) if self._begins(core) else ""
         elif f"{word}$"[: PREFIXES[0]] not in self.heads:
-            return ()  # found anew as quickly as remembered
-        found = tuple(f for f in features(word) if f in self.weights)
-        self.cache[token] = found
-        return found
+            return ()
+        return tuple(f for f in features(word) if f in self.weights)
 
     def score(self, text: str | None) -> float:
         if self.chars is None:
             return 0.0
         active: set[str] = set()
         if text:
-            if len(self.cache) > CACHE_WORDS:
+            if len(self.cache) + len(self.quiet) > CACHE_WORDS:
                 self.cache.clear()
-            cache = self.cache
-            for token in set(text.split()):
+                self.quiet.clear()
+            cache, quiet = self.cache, self.quiet
+            for token in set(text.split()) - quiet:
                 found = cache.get(token)
                 if found is None:
                     found = self._signals(token)
-                if found:
-                    active.update(found)
+                    if len(token) <= CACHE_LETTERS:
+                        if found:
+                            cache[token] = found
+                        else:
+                            quiet.add(token)
+                active.update(found)
             for word in spaced(text, self.chars):
                 active.update(f for f in features(word) if f in self.weights)
         z = self.bias + sum(self.weights[f] for f in sorted(active))
@@ -410,12 +461,10 @@ def restored(text: str, chars: CharModel, cache: dict[str, str]) -> set[str]:
     """The distinct restored words of a text."""
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    out: set[str] = set()
-    for token in set(text.split()):
-        word = cache.get(token)
-        if word is None:
-            word = cache[token] = restore(token, chars)
-        out.add(word)
+    tokens = set(text.split())
+    for token in tokens.difference(cache):
+        cache[token] = restore(token, chars)
+    out = set(map(cache.__getitem__, tokens))
     out.update(spaced(text, chars))
     out.discard("")
     return out
@@ -515,15 +564,22 @@ def _counted(counts: dict, names: tuple[str, ...]) -> pa.RecordBatch:
 
 def _plain_words(batches):
     """Words with a single reading of (text), with counts."""
-    words: Counter = Counter()
+
+    def summed(tokens: Counter) -> pa.RecordBatch:
+        words: dict[str, int] = {}
+        for token, n in tokens.items():
+            if word := plain(token):
+                words[word] = words.get(word, 0) + n
+        tokens.clear()
+        return _counted(words, ("word", "n"))
+
+    tokens: Counter = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            for token, n in Counter(text.split()).items():
-                if word := plain(token):
-                    words[word] += n
-            if len(words) > CACHE_WORDS:
-                yield _counted(words, ("word", "n"))
-    yield _counted(words, ("word", "n"))
+            tokens.update(text.split())
+            if len(tokens) > CACHE_WORDS:
+                yield summed(tokens)
+    yield summed(tokens)
 
 
 def _gram_sums(batches):
@@ -548,19 +604,26 @@ def _documents_with(shared=None):
     """How many documents hold each feature; with a bitmap of hashes, only of features that it marks."""
 
     def picked(word: str) -> tuple[str, ...]:
-        return tuple(f for f in features(word) if shared is None or shared.value[zlib.crc32(f.encode()) % MARKS])
+        if shared is None:
+            return tuple(features(word))
+        marks, least = shared.value, PREFIXES[0]
+        # documents of any feature of a longer word hold its shortest beginning too
+        if len(word) > least and not marks[zlib.crc32(word[:least].encode()) % MARKS]:
+            return ()
+        return tuple(f for f in features(word) if marks[zlib.crc32(f.encode()) % MARKS])
 
     def run(batches):
         counts: Counter = Counter()
         cache: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            for words in batch.column("words").to_pylist():
+            for line in batch.column("words").to_pylist():
+                words = line.split("\n")
                 own: set[str] = set()
-                for word in words.split("\n"):
-                    found = cache.get(word)
+                for word, found in zip(words, map(cache.get, words)):
                     if found is None:
                         found = cache[word] = picked(word)
-                    own.update(found)
+                    if found:
+                        own.update(found)
                 counts.update(own)
                 if len(cache) > CACHE_WORDS // 2:
                     cache.clear()

@@ -238,3 +238,52 @@ def test_near_copies_share_a_sketch():
     words = texts[5].split()
     near = [" ".join([*words[:i], "zebra", *words[i + 1 :]]) for i in range(0, 200, 4)]
     assert sum(x == found[5] for x in tx.sketches(pa.array(near)).tolist()) > 40
+
+
+def test_words_without_a_signal_are_looked_at_once(model, monkeypatch):
+    text, looked, signals = prose(random.Random(8), 500), [], tx.Model._signals
+    fresh = tx.Model(model.chars, model.weights, model.bias)
+    monkeypatch.setattr(tx.Model, "_signals", lambda self, token: (looked.append(token), signals(self, token))[1])
+    scores = {fresh.score(text) for _ in range(3)}
+    assert scores == {model.score(text)} and sorted(looked) == sorted(set(text.split()))
+    fresh.score("x" * 10_000)
+    assert "x" * 10_000 not in fresh.quiet
+
+
+def test_one_pair_of_letters_is_two_readings(model, monkeypatch):
+    rng = random.Random(3)
+    words = ["iddiot", "idiott", "iidiot", "sttupid", "ee", "thhe", "éé", "trassh"] + ["".join(rng.choice("abeinost") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    words += [w[:i] + w[i] + w[i:] for w in BAD for i in range(len(w))]
+    assert [tx._decoded(w, model.chars) for w in words] == [tx.decode(w, model.chars) for w in words]
+    monkeypatch.setattr(tx, "decode", lambda *_: pytest.fail("decoded by the lattice"))
+    assert tx.restore("iddiot", model.chars) == "idiot"
+
+
+def test_calm_beginnings_have_no_signal(model):
+    rng = random.Random(5)
+    calm = 0
+    for _ in range(20_000):
+        token = "".join(rng.choice("idotmrsuaéÉIDMSİΣ10.,(") for _ in range(rng.randint(1, 7)))
+        if model._calm(token[: tx.PREFIXES[0]]):
+            calm += 1
+            assert not any(f in model.weights for f in tx.features(tx.restore(token, model.chars))), token
+    assert calm > 500
+
+
+def test_beginnings_that_no_toxic_document_holds_mark_none_of_their_words(model):
+    import numpy as np
+    import pyarrow as pa
+
+    class Shared:
+        value = np.zeros(tx.MARKS, bool)
+
+    for f in {f for w in ("idiotic", "moron") for f in tx.features(w)}:
+        Shared.value[tx.zlib.crc32(f.encode()) % tx.MARKS] = True
+    lines = ["idiotic\nmoron\nthing", "idiots\nmor", "ido\nmoronic"]
+    got: dict[str, int] = {}
+    for b in tx._documents_with(Shared)([pa.RecordBatch.from_pydict({"words": lines})]):
+        for f, n in zip(*b.to_pydict().values(), strict=True):
+            got[f] = got.get(f, 0) + n
+    every = [{f for w in x.split("\n") for f in tx.features(w)} for x in lines]
+    marked = {f for w in ("idiotic", "moron") for f in tx.features(w)}
+    assert got == {f: n for f in marked if (n := sum(f in x for x in every))}
