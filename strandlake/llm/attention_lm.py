@@ -216,30 +216,54 @@ class Attention:
             "unit": normal(CLASSES, DIM, PER_CLASS, scale=0.1), "unit_b": np.zeros((CLASSES, PER_CLASS), np.float32),
         }
         at = np.arange(WINDOW)
+        self.held: dict[str, np.ndarray] = {}
         self.mask = np.where(at[None, :] <= at[CONTEXT:, None], 0, -1e9).astype(np.float32)
         self.first = self.mask + np.where(at[None, :] < CONTEXT, -1e9, 0).astype(np.float32)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "held"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, held={})
+
+    def _room(self, name: str, *shape: int, kind=None) -> np.ndarray:
+        """An array that is used again for each batch: fresh ones of this size come from the system page by page, which took half of the time."""
+        kind, size = np.dtype(kind or self.p["embed"].dtype), int(np.prod(shape))
+        held = self.held.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self.held[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
     def _body(self, shown: np.ndarray, first: np.ndarray):
-        p, n = self.p, len(shown)
-        x = p["embed"][shown] + p["place"]
-        xq = x[:, CONTEXT:].reshape(-1, DIM)
+        """What the output layer reads, and what the gradient needs; all stand in arrays that the next batch overwrites."""
+        p, n, room = self.p, len(shown), self._room
+        rows = n * SCORED
+        x = np.take(p["embed"], shown, axis=0, out=room("x", n, WINDOW, DIM), mode="clip")
+        x += p["place"]
+        xq = room("xq", rows, DIM)
+        xq.reshape(n, SCORED, DIM)[:] = x[:, CONTEXT:]
         flat = x.reshape(-1, DIM)
-        q = (xq @ p["q"]).reshape(n, SCORED, DIM)
-        k = (flat @ p["k"]).reshape(n, WINDOW, DIM)
-        v = (flat @ p["v"]).reshape(n, WINDOW, DIM)
-        s = np.matmul(q, k.transpose(0, 2, 1))
+        q = np.matmul(xq, p["q"], out=room("q", rows, DIM)).reshape(n, SCORED, DIM)
+        kv = np.matmul(flat, np.concatenate([p["k"], p["v"]], 1), out=room("kv", n * WINDOW, 2 * DIM)).reshape(n, WINDOW, 2 * DIM)
+        s = np.matmul(q, kv[:, :, :DIM].transpose(0, 2, 1), out=room("s", n, SCORED, WINDOW))
         s *= DIM**-0.5
         s += self.mask
-        if first.any():
-            s[first] += self.first
+        some = np.flatnonzero(first)
+        if len(some):
+            s[some] += self.first
         np.minimum(s, 30, out=s)
         np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        a = np.matmul(s, v).reshape(-1, DIM)
-        g = xq + a @ p["o"]
-        r = np.maximum(g @ p["w1"] + p["b1"], 0)
-        h = g + r @ p["w2"] + p["b2"]
-        return h, (x, xq, flat, q, k, v, s, a, g, r)
+        s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype)).reshape(n, SCORED, 1)
+        a = np.matmul(s, kv[:, :, DIM:], out=room("a", n, SCORED, DIM)).reshape(-1, DIM)
+        g = np.matmul(a, p["o"], out=room("g", rows, DIM))
+        g += xq
+        r = np.matmul(g, p["w1"], out=room("r", rows, HIDDEN))
+        r += p["b1"]
+        np.maximum(r, 0, out=r)
+        h = np.matmul(r, p["w2"], out=room("h", rows, DIM))
+        h += g
+        h += p["b2"]
+        return h, (x, xq, flat, q, kv, s, a, g, r)
 
     def log_probs(self, shown: np.ndarray, goal: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log probability of each target, in the order of the windows; 0 where there is none."""
@@ -250,8 +274,9 @@ class Attention:
         return out
 
     def gradients(self, shown: np.ndarray, goal: np.ndarray, first: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p, n = self.p, len(shown)
-        h, (x, xq, flat, q, k, v, s, a, g, r) = self._body(shown, first)
+        p, n, room = self.p, len(shown), self._room
+        h, (x, xq, flat, q, kv, s, a, g, r) = self._body(shown, first)
+        k, v = kv[:, :, :DIM], kv[:, :, DIM:]
         want = goal.astype(np.int16).ravel()
         order = np.argsort(want, kind="stable")  # a radix sort; places without a target come first
         order = order[np.count_nonzero(want < 0) :]
@@ -261,53 +286,70 @@ class Attention:
         of_class = [(c, int(bounds[c]), int(bounds[c + 1])) for c in range(CLASSES) if bounds[c + 1] > bounds[c]]
         d: dict[str, np.ndarray] = {}
         value = 0.0
+        ones = np.ones(max(len(want), WINDOW, n * SCORED, CLASSES, PER_CLASS), h.dtype)  # sums as products, which take less time
 
         def soft(z, pick):
             nonlocal value
-            z -= z.max(1, keepdims=True)
+            if z.size and (z.max() > 60 or z.min() < -60):
+                z -= z.max(1, keepdims=True)
             np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
+            z /= (z @ ones[: z.shape[1]])[:, None]
             value -= float(np.log(z[at, pick] + 1e-30).sum())
             z[at, pick] -= 1
-            z /= np.float32(total)
+            z *= h.dtype.type(1 / total)
 
-        ho = h[order]
-        dz = ho @ p["class"] + p["class_b"]
+        ho = np.take(h, order, axis=0, out=room("ho", len(want), DIM), mode="clip")
+        dz = np.matmul(ho, p["class"], out=room("dz", len(want), CLASSES))
+        dz += p["class_b"]
         soft(dz, want // PER_CLASS)
-        d["class"], d["class_b"] = ho.T @ dz, dz.sum(0)
-        dho = dz @ p["class"].T
+        d["class"], d["class_b"] = ho.T @ dz, ones[: len(dz)] @ dz
+        dho = np.matmul(dz, p["class"].T, out=room("dho", len(want), DIM))
         d["unit"], d["unit_b"] = np.zeros_like(p["unit"]), np.zeros_like(p["unit_b"])
-        du = np.empty((len(want), PER_CLASS), h.dtype)
+        du = room("du", len(want), PER_CLASS)
         for c, i, j in of_class:
             np.matmul(ho[i:j], p["unit"][c], out=du[i:j])
             du[i:j] += p["unit_b"][c]
         soft(du, want % PER_CLASS)
+        back = room("back", len(want), DIM)
         for c, i, j in of_class:
-            d["unit"][c], d["unit_b"][c] = ho[i:j].T @ du[i:j], du[i:j].sum(0)
-            dho[i:j] += du[i:j] @ p["unit"][c].T
-        dh = np.zeros_like(h)
+            own = du[i:j]
+            np.matmul(ho[i:j].T, own, out=d["unit"][c])
+            np.matmul(ones[: j - i], own, out=d["unit_b"][c])
+            np.matmul(own, p["unit"][c].T, out=back[i:j])
+        dho += back
+        dh = room("dh", *h.shape)
+        dh[:] = 0
         dh[order] = dho
-        d["w2"], d["b2"] = r.T @ dh, dh.sum(0)
-        dr = (dh @ p["w2"].T) * (r > 0)
-        d["w1"], d["b1"] = g.T @ dr, dr.sum(0)
-        dg = dh + dr @ p["w1"].T
+        rows = ones[: len(dh)]
+        d["w2"], d["b2"] = r.T @ dh, rows @ dh
+        dr = np.matmul(dh, p["w2"].T, out=room("dr", *r.shape))
+        dr *= np.greater(r, 0, out=room("above", *r.shape, kind=bool))
+        d["w1"], d["b1"] = g.T @ dr, rows @ dr
+        dg = np.matmul(dr, p["w1"].T, out=room("dg", *h.shape))
+        dg += dh
         d["o"] = a.T @ dg
-        da = (dg @ p["o"].T).reshape(n, SCORED, DIM)
-        dv = np.matmul(s.transpose(0, 2, 1), da)
-        ds = np.matmul(da, v.transpose(0, 2, 1))
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-        dq = np.matmul(ds, k).reshape(-1, DIM)
-        dk = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, DIM)
-        dv = dv.reshape(-1, DIM)
-        d["q"], d["k"], d["v"] = xq.T @ dq, flat.T @ dk, flat.T @ dv
-        dx = (dk @ p["k"].T + dv @ p["v"].T).reshape(x.shape)
-        dx[:, CONTEXT:] += (dg + dq @ p["q"].T).reshape(n, SCORED, DIM)
-        d["place"] = dx.sum(0)
+        da = np.matmul(dg, p["o"].T, out=room("da", *h.shape)).reshape(n, SCORED, DIM)
+        dkv = room("dkv", *kv.shape)
+        np.matmul(s.transpose(0, 2, 1), da, out=dkv[:, :, DIM:])
+        ds = np.matmul(da, v.transpose(0, 2, 1), out=room("ds", *s.shape))
+        ds -= np.einsum("nij,nij->ni", da, a.reshape(n, SCORED, DIM))[:, :, None]  # the row sums of ds * s
+        ds *= s
+        ds *= h.dtype.type(DIM**-0.5)
+        dq = np.matmul(ds, k, out=room("dq", *q.shape)).reshape(-1, DIM)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+        dkv = dkv.reshape(-1, 2 * DIM)
+        both = flat.T @ dkv
+        d["q"], d["k"], d["v"] = xq.T @ dq, both[:, :DIM], both[:, DIM:]
+        dx = np.matmul(dkv, np.concatenate([p["k"], p["v"]], 1).T, out=room("dx", *flat.shape)).reshape(x.shape)
+        dg += np.matmul(dq, p["q"].T, out=room("back of q", *h.shape))
+        dx[:, CONTEXT:] += dg.reshape(n, SCORED, DIM)
+        d["place"] = (ones[:n] @ dx.reshape(n, -1)).reshape(WINDOW, DIM)
         d["embed"] = np.zeros_like(p["embed"])
         units = shown.astype(np.int16).ravel()
         order = np.argsort(units, kind="stable")
-        used, begin = np.unique(units[order], return_index=True)
-        d["embed"][used] = np.add.reduceat(dx.reshape(-1, DIM)[order], begin, axis=0)
+        sizes = np.bincount(units, minlength=UNITS)
+        used = np.flatnonzero(sizes)
+        d["embed"][used] = np.add.reduceat(np.take(dx.reshape(-1, DIM), order, axis=0, out=room("by unit", *flat.shape), mode="clip"), (np.cumsum(sizes) - sizes)[used], axis=0)
         return value / total, d
 
     def train(self, shown: np.ndarray, goal: np.ndarray, first: np.ndarray, steps: int = STEPS, seed: int = 11, *, rate: float = RATE, fresh: bool = True) -> list[float]:

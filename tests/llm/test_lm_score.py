@@ -148,3 +148,32 @@ def test_a_pass_holds_every_window(monkeypatch):
     monkeypatch.setattr(net, "gradients", lambda s, g, f: (seen.extend(g[:, 0].tolist()), gradients(s, g, f))[1])
     net.train(*rows, steps=2, fresh=False)
     assert sorted(seen) == sorted(rows[1][:, 0].tolist())
+
+
+def test_batches_use_the_same_memory_and_leave_nothing_behind():
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    shown, goal, first = lm.windows(rng.integers(1, lm.UNITS, lm.SCORED * 200), np.array([0, 1000]))
+    batch = shown[:128], goal[:128], first[:128]
+    net, fresh = lm.Attention(), lm.Attention()
+    net.gradients(shown, goal, first)  # a larger batch before
+    net.gradients(shown[:3], goal[:3], first[:3])  # and a smaller one
+    tracemalloc.start()
+    value, d = net.gradients(*batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20
+    other, want = fresh.gradients(*batch)
+    assert value == other and all((d[k] == want[k]).all() for k in want)
+    assert len(pickle.dumps(net)) == len(pickle.dumps(lm.Attention()))
+
+
+def test_very_large_outputs_have_finite_gradients():
+    net = lm.Attention()
+    net.p["class"] *= 500
+    net.p["unit"] *= 500
+    shown, goal, first = lm.windows(np.random.default_rng(4).integers(1, lm.UNITS, 500), np.array([0]))
+    value, d = net.gradients(shown, goal, first)
+    assert np.isfinite(value) and all(np.isfinite(x).all() for x in d.values())
